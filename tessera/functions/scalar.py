@@ -30,7 +30,7 @@ def to_double(c) -> Column:
 
 def parse_date(c, fmt: str) -> Column:
     """Parse a date string with a pattern such as 'yyyyMMdd' or 'M/d/yyyy' (X2)."""
-    return F.try_to_date(_c(c), F.lit(fmt))
+    return F.try_to_date(_c(c), fmt)
 
 
 def year_diff(later, earlier) -> Column:

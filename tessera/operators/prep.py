@@ -52,8 +52,9 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean",
         base = df.join(st, by, "left")
     else:
         base = attach_scalars(df, df.agg(*stats))
+    # like pandas, a column that had missing values becomes floating point
     for i, c in enumerate(cols):
-        base = base.withColumn(c, F.coalesce(F.col(c), F.col(f"__fill_{i}").cast(df.schema[c].dataType)))
+        base = base.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__fill_{i}").cast("double")))
     return base.drop(*[f"__fill_{i}" for i in range(len(cols))])
 
 

@@ -22,15 +22,18 @@ from pyspark.sql import functions as F
 from tessera.operators._util import as_list
 
 
-def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count: str,
-                      n_buckets: int = 256, out: str = "below") -> DataFrame:
+def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
+                      n_buckets: int = 256, out="below") -> DataFrame:
     """Add ``out`` = sum of ``count`` over strictly smaller ``value`` in the same scope.
 
-    ``ties`` has one row per (scope, value). Bucket boundaries are approximate
-    quantiles of the distinct values (at most ``n_buckets`` numbers reach the
-    driver); the cumulative counts themselves are exact.
+    ``ties`` has one row per (scope, value). ``count``/``out`` may be lists to
+    accumulate several columns in the same pass. Bucket boundaries are
+    approximate quantiles of the distinct values (at most ``n_buckets`` numbers
+    reach the driver); the cumulative counts themselves are exact.
     """
     scope = as_list(scope)
+    counts = [count] if isinstance(count, str) else list(count)
+    outs = [out] if isinstance(out, str) else list(out)
     from pyspark.ml.feature import Bucketizer
     vd = "__vd"
     base = ties.withColumn(vd, F.col(value).cast("double"))
@@ -41,13 +44,15 @@ def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count:
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
     tb = Bucketizer(splits=splits, inputCol=vd, outputCol="__b", handleInvalid="keep").transform(base)
-    btot = tb.groupBy(*scope, "__b").agg(F.sum(count).alias("__bt"))
+    btot = tb.groupBy(*scope, "__b").agg(*[F.sum(c).alias(f"__bt{i}") for i, c in enumerate(counts)])
     w_off = Window.partitionBy(*scope).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    boff = btot.withColumn("__off", F.coalesce(F.sum("__bt").over(w_off), F.lit(0))).drop("__bt")
+    boff = btot.select(*scope, "__b", *[F.coalesce(F.sum(f"__bt{i}").over(w_off), F.lit(0)).alias(f"__off{i}")
+                                        for i in range(len(counts))])
     w_loc = Window.partitionBy(*scope, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (tb.join(boff, [*scope, "__b"])
-            .withColumn(out, F.col("__off") + F.coalesce(F.sum(count).over(w_loc), F.lit(0)))
-            .drop("__b", "__off", vd))
+    res = tb.join(boff, [*scope, "__b"])
+    for i, (c, o) in enumerate(zip(counts, outs)):
+        res = res.withColumn(o, F.col(f"__off{i}") + F.coalesce(F.sum(c).over(w_loc), F.lit(0)))
+    return res.drop("__b", vd, *[f"__off{i}" for i in range(len(counts))])
 
 
 def histogram_by(df: DataFrame, scope: Sequence[str], group: str | None, value: str) -> DataFrame:
