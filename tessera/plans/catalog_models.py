@@ -438,3 +438,21 @@ def repay_decision(spark, sf):
 @query("loan_study", "C4 M5 M6 M7 E5 R2 R4 R5 N5 N8 N9")
 def loan_study(spark, sf):
     return studies.loan_study(spark, sf)
+
+
+@query("poisson_means", "M11", sql="WITH " + Q.FIRST_VISITS.strip() + """
+SELECT device_type, variant AS "group", count(shopping_pageviews) AS n, CAST(sum(shopping_pageviews) AS DOUBLE) AS total,
+       round(avg(shopping_pageviews), 8) AS mean, round(ln(avg(shopping_pageviews)), 8) AS eta,
+       round(1 / sqrt(sum(shopping_pageviews)), 8) AS se_eta
+FROM first_visits GROUP BY 1, 2""")
+def poisson_means(spark, sf):
+    from tessera.operators import counts
+    out = counts.poisson_means(first_visits(spark, sf), "variant", "shopping_pageviews", "device_type")
+    return out.select("device_type", "group", "n", "total",
+                      *[F.round(c, 8).alias(c) for c in ("mean", "eta", "se_eta")])
+
+
+@query("count_models", "M11 M12 M13 M14 M15 N14")
+def count_models(spark, sf):
+    from tessera.operators import counts
+    return counts.fit_count_models(first_visits(spark, sf), "variant", "shopping_pageviews", "device_type")
