@@ -45,12 +45,12 @@ def auc(df: DataFrame, label: str, score: str, scope: Sequence[str] | str | None
     scope = as_list(scope)
     y = F.col(label).cast("int")
     hist = (df.where(F.col(score).isNotNull())
-            .groupBy(*scope, y.alias("__y"), F.col(score).cast("double").alias("v"))
-            .agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(*scope, y.alias("__y"), F.col(score).cast("double").alias("__v"))
+            .agg(F.count(F.lit(1)).alias("__n")))
     ranked, _ = midranks(hist, scope)
-    agg = [F.sum(F.when(F.col("__y") == 1, F.col("n"))).alias("n_pos"),
-           F.sum(F.when(F.col("__y") != 1, F.col("n"))).alias("n_neg"),
-           F.sum(F.when(F.col("__y") == 1, F.col("n") * F.col("midrank"))).alias("__r")]
+    agg = [F.sum(F.when(F.col("__y") == 1, F.col("__n"))).alias("n_pos"),
+           F.sum(F.when(F.col("__y") != 1, F.col("__n"))).alias("n_neg"),
+           F.sum(F.when(F.col("__y") == 1, F.col("__n") * F.col("midrank"))).alias("__r")]
     s = ranked.groupBy(*scope).agg(*agg) if scope else ranked.agg(*agg)
     npos = F.col("n_pos").cast("double")
     val = F.try_divide(F.col("__r") - npos * (npos + 1) / 2, npos * F.col("n_neg"))

@@ -66,18 +66,17 @@ def t_test(df: DataFrame, group: str, value: str, with_p: bool = True) -> DataFr
 
 
 def _anova_of(z: DataFrame, scope: list[str], group: str, col: str) -> DataFrame:
-    gi = z.groupBy(*scope, group).agg(F.count(col).alias("ni"), F.avg(col).alias("zi"),
-                                      F.var_samp(col).alias("vi"))
-    gi = gi.withColumn("ss_in", F.coalesce(F.col("vi") * (F.col("ni") - 1), F.lit(0.0)))
-    agg = [F.sum("ni").alias("N"), F.count(F.lit(1)).alias("k"),
-           (F.sum(F.col("ni") * F.col("zi")) / F.sum("ni")).alias("zbar"),
-           F.sum("ss_in").alias("within"),
-           F.sum(F.col("ni") * F.col("zi") * F.col("zi")).alias("s2"),
-           F.sum(F.col("ni") * F.col("zi")).alias("s1")]
+    gi = z.groupBy(*scope, group).agg(F.count(col).alias("__ni"), F.avg(col).alias("__zi"),
+                                      F.var_samp(col).alias("__vi"))
+    gi = gi.withColumn("__ssin", F.coalesce(F.col("__vi") * (F.col("__ni") - 1), F.lit(0.0)))
+    agg = [F.sum("__ni").alias("N"), F.count(F.lit(1)).alias("k"),
+           F.sum("__ssin").alias("__within"),
+           F.sum(F.col("__ni") * F.col("__zi") * F.col("__zi")).alias("__s2"),
+           F.sum(F.col("__ni") * F.col("__zi")).alias("__s1")]
     tot = gi.groupBy(*scope).agg(*agg) if scope else gi.agg(*agg)
-    between = F.col("s2") - F.col("s1") * F.col("s1") / F.col("N")
+    between = F.col("__s2") - F.col("__s1") * F.col("__s1") / F.col("N")
     return tot.select(*scope, "N", "k",
-                      _div((F.col("N") - F.col("k")) * between, (F.col("k") - 1) * F.col("within")).alias("f"),
+                      _div((F.col("N") - F.col("k")) * between, (F.col("k") - 1) * F.col("__within")).alias("f"),
                       (F.col("k") - 1).alias("df1"), (F.col("N") - F.col("k")).alias("df2"))
 
 
@@ -109,16 +108,16 @@ def kruskal(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
     scope = as_list(scope)
     hist = histogram_by(df, scope, group, value)
     ranked, ties = midranks(hist, scope)
-    per_g = ranked.groupBy(*scope, group).agg(F.sum("n").alias("ni"),
-                                              F.sum(F.col("n") * F.col("midrank")).alias("Ri"))
-    agg = [F.sum("ni").alias("N"), F.count(F.lit(1)).alias("k"),
-           F.sum(F.col("Ri") * F.col("Ri") / F.col("ni")).alias("S")]
+    per_g = ranked.groupBy(*scope, group).agg(F.sum("__n").alias("__ni"),
+                                              F.sum(F.col("__n") * F.col("midrank")).alias("__Ri"))
+    agg = [F.sum("__ni").alias("N"), F.count(F.lit(1)).alias("k"),
+           F.sum(F.col("__Ri") * F.col("__Ri") / F.col("__ni")).alias("__S")]
     per_s = per_g.groupBy(*scope).agg(*agg) if scope else per_g.agg(*agg)
-    tt = tie_term(ties, scope).select(*scope, "T")
+    tt = tie_term(ties, scope).select(*scope, "__T")
     j = per_s.join(tt, scope) if scope else _one_join(per_s, tt)
     n = F.col("N").cast("double")
-    h_raw = 12.0 / (n * (n + 1)) * F.col("S") - 3 * (n + 1)
-    corr = 1 - F.col("T") / (n * n * n - n)
+    h_raw = 12.0 / (n * (n + 1)) * F.col("__S") - 3 * (n + 1)
+    corr = 1 - F.col("__T") / (n * n * n - n)
     out = j.select(*scope, "N", "k", _div(h_raw, corr).alias("h"), (F.col("k") - 1).alias("df"))
     if with_p:
         out = out.withColumn("p_value", dist.chi2_sf_col("h", "df"))
@@ -155,19 +154,19 @@ def mann_whitney(df: DataFrame, group: str, value: str, scope: Sequence[str] | s
     on = [F.col(c) == F.col(f"__p_{c}") for c in scope]
     in_a = hist.join(pairs, on + [F.col(group) == F.col("group_a")])
     in_b = hist.join(pairs, on + [F.col(group) == F.col("group_b")])
-    cols = [*scope, "group_a", "group_b", F.col(group).alias("g"), "v", "n"]
+    cols = [*scope, "group_a", "group_b", F.col(group).alias("__g"), "__v", "__n"]
     ph = in_a.select(*cols).unionByName(in_b.select(*cols))
     pscope = [*scope, "group_a", "group_b"]
     ranked, ties = midranks(ph, pscope)
     per = ranked.groupBy(*pscope).agg(
-        F.sum(F.when(F.col("g") == F.col("group_a"), F.col("n"))).alias("n_a"),
-        F.sum(F.when(F.col("g") == F.col("group_b"), F.col("n"))).alias("n_b"),
-        F.sum(F.when(F.col("g") == F.col("group_a"), F.col("n") * F.col("midrank"))).alias("R_a"))
+        F.sum(F.when(F.col("__g") == F.col("group_a"), F.col("__n"))).alias("n_a"),
+        F.sum(F.when(F.col("__g") == F.col("group_b"), F.col("__n"))).alias("n_b"),
+        F.sum(F.when(F.col("__g") == F.col("group_a"), F.col("__n") * F.col("midrank"))).alias("__Ra"))
     j = per.join(tie_term(ties, pscope), pscope)
-    na, nb, N = (F.col("n_a").cast("double"), F.col("n_b").cast("double"), F.col("N").cast("double"))
-    w = F.col("R_a") - na * (na + 1) / 2
+    na, nb, N = (F.col("n_a").cast("double"), F.col("n_b").cast("double"), F.col("__N").cast("double"))
+    w = F.col("__Ra") - na * (na + 1) / 2
     d = w - na * nb / 2
-    sigma = F.sqrt(na * nb / 12 * ((N + 1) - F.col("T") / (N * (N - 1))))
+    sigma = F.sqrt(na * nb / 12 * ((N + 1) - F.col("__T") / (N * (N - 1))))
     out = j.select(*pscope, "n_a", "n_b", w.alias("w"), _div(d - F.signum(d) * 0.5, sigma).alias("z"))
     if with_p:
         out = out.withColumn("p_value", dist.norm_two_sided_col("z"))
@@ -182,19 +181,21 @@ def conover(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
     hist = histogram_by(df, scope, group, value)
     ranked, ties = midranks(hist, scope)
     per_g = ranked.groupBy(*scope, group).agg(
-        F.sum("n").alias("ni"), F.sum(F.col("n") * F.col("midrank")).alias("Ri"),
-        F.sum(F.col("n") * F.col("midrank") * F.col("midrank")).alias("R2i"))
-    agg = [F.sum("ni").alias("N"), F.count(F.lit(1)).alias("k"), F.sum(F.col("Ri") * F.col("Ri") / F.col("ni")).alias("S"),
-           F.sum("R2i").alias("R2")]
+        F.sum("__n").alias("__ni"), F.sum(F.col("__n") * F.col("midrank")).alias("__Ri"),
+        F.sum(F.col("__n") * F.col("midrank") * F.col("midrank")).alias("__R2i"))
+    agg = [F.sum("__ni").alias("N"), F.count(F.lit(1)).alias("k"),
+           F.sum(F.col("__Ri") * F.col("__Ri") / F.col("__ni")).alias("__S"), F.sum("__R2i").alias("__R2")]
     per_s = per_g.groupBy(*scope).agg(*agg) if scope else per_g.agg(*agg)
-    tt = tie_term(ties, scope).select(*scope, "T")
+    tt = tie_term(ties, scope).select(*scope, "__T")
     s = per_s.join(tt, scope) if scope else _one_join(per_s, tt)
     n = F.col("N").cast("double")
-    h = _div(12.0 / (n * (n + 1)) * F.col("S") - 3 * (n + 1), 1 - F.col("T") / (n * n * n - n))
-    s2 = (F.col("R2") - n * (n + 1) * (n + 1) / 4) / (n - 1)
-    s = s.select(*scope, "N", "k", h.alias("h"), s2.alias("s2"))
-    ga = per_g.select(*scope, F.col(group).alias("group_a"), F.col("ni").alias("n_a"), (F.col("Ri") / F.col("ni")).alias("rbar_a"))
-    gb = per_g.select(*scope, F.col(group).alias("group_b"), F.col("ni").alias("n_b"), (F.col("Ri") / F.col("ni")).alias("rbar_b"))
+    h = _div(12.0 / (n * (n + 1)) * F.col("__S") - 3 * (n + 1), 1 - F.col("__T") / (n * n * n - n))
+    s2 = (F.col("__R2") - n * (n + 1) * (n + 1) / 4) / (n - 1)
+    s = s.select(*scope, "N", "k", h.alias("__h"), s2.alias("__s2"))
+    ga = per_g.select(*scope, F.col(group).alias("group_a"), F.col("__ni").alias("n_a"),
+                      (F.col("__Ri") / F.col("__ni")).alias("__rbar_a"))
+    gb = per_g.select(*scope, F.col(group).alias("group_b"), F.col("__ni").alias("n_b"),
+                      (F.col("__Ri") / F.col("__ni")).alias("__rbar_b"))
     keys = scope or ["__one"]
     if not scope:
         ga, gb = ga.withColumn("__one", F.lit(1)), gb.withColumn("__one", F.lit(1))
@@ -202,9 +203,10 @@ def conover(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
     if not scope:
         pr = pr.drop("__one")
     pr = pr.join(s, scope) if scope else _one_join(pr, s)
-    denom = F.sqrt(F.col("s2") * (n - 1 - F.col("h")) / (n - F.col("k")) * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))
+    denom = F.sqrt(F.col("__s2") * (n - 1 - F.col("__h")) / (n - F.col("k"))
+                   * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))
     out = pr.select(*scope, "group_a", "group_b", "n_a", "n_b",
-                    _div(F.abs(F.col("rbar_a") - F.col("rbar_b")), denom).alias("t"),
+                    _div(F.abs(F.col("__rbar_a") - F.col("__rbar_b")), denom).alias("t"),
                     (F.col("N") - F.col("k")).alias("df"))
     if with_p:
         out = out.withColumn("p_value", dist.t_two_sided_col("t", "df"))
@@ -235,17 +237,17 @@ def signed_rank(df: DataFrame, x: str, y: str, scope: Sequence[str] | str | None
     scope = as_list(scope)
     d = (F.col(x) - F.col(y)).cast("double")
     base = df.select(*scope, d.alias("__d")).where((F.col("__d") != 0) & F.col("__d").isNotNull())
-    hist = (base.groupBy(*scope, F.abs("__d").alias("v"), (F.col("__d") > 0).alias("pos"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    hist = (base.groupBy(*scope, F.abs("__d").alias("__v"), (F.col("__d") > 0).alias("__pos"))
+            .agg(F.count(F.lit(1)).alias("__n")))
     ranked, ties = midranks(hist, scope)
-    agg = [F.sum(F.when(F.col("pos"), F.col("n") * F.col("midrank")).otherwise(0.0)).alias("v_stat")]
+    agg = [F.sum(F.when(F.col("__pos"), F.col("__n") * F.col("midrank")).otherwise(0.0)).alias("v_stat")]
     per = ranked.groupBy(*scope).agg(*agg) if scope else ranked.agg(*agg)
     tt = tie_term(ties, scope)
     j = per.join(tt, scope) if scope else _one_join(per, tt)
-    n = F.col("N").cast("double")
+    n = F.col("__N").cast("double")
     zc = F.col("v_stat") - n * (n + 1) / 4
-    sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("T") / 48)
-    out = j.select(*scope, F.col("N").alias("n"), "v_stat", _div(zc - F.signum(zc) * 0.5, sigma).alias("z"))
+    sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__T") / 48)
+    out = j.select(*scope, F.col("__N").alias("n"), "v_stat", _div(zc - F.signum(zc) * 0.5, sigma).alias("z"))
     if with_p:
         out = out.withColumn("p_value", dist.norm_two_sided_col("z"))
     return out

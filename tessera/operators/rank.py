@@ -56,30 +56,30 @@ def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
 
 
 def histogram_by(df: DataFrame, scope: Sequence[str], group: str | None, value: str) -> DataFrame:
-    """(scope, group, v, n): rows per distinct value, NULL values dropped."""
+    """(scope, group, __v, __n): rows per distinct value, NULL values dropped."""
     scope = as_list(scope)
     g = [group] if group else []
     return (df.where(F.col(value).isNotNull())
-            .groupBy(*scope, *g, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(*scope, *g, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
 
 
 def midranks(hist: DataFrame, scope: Sequence[str], n_buckets: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Mid-ranks of the values in ``hist`` (columns scope..., [group], v, n).
+    """Mid-ranks of the values in ``hist`` (columns scope..., [group], __v, __n).
 
-    Returns (hist with ``midrank``, ties table (scope, v, t, below, midrank)).
+    Returns (hist with ``midrank``, ties table (scope, __v, __t, __below, midrank)).
     """
     scope = as_list(scope)
-    ties = hist.groupBy(*scope, "v").agg(F.sum("n").alias("t"))
-    ranked = cumulative_counts(ties, scope, "v", "t", n_buckets)
-    ranked = ranked.withColumn("midrank", F.col("below") + (F.col("t") + 1) / 2.0)
-    return hist.join(ranked.select(*scope, "v", "t", "midrank"), [*scope, "v"]), ranked
+    ties = hist.groupBy(*scope, "__v").agg(F.sum("__n").alias("__t"))
+    ranked = cumulative_counts(ties, scope, "__v", "__t", n_buckets, out="__below")
+    ranked = ranked.withColumn("midrank", F.col("__below") + (F.col("__t") + 1) / 2.0)
+    return hist.join(ranked.select(*scope, "__v", "__t", "midrank"), [*scope, "__v"]), ranked
 
 
 def tie_term(ties: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Per scope: N and T = sum(t^3 - t) (in double, t^3 overflows long for big ties)."""
+    """Per scope: __N and __T = sum(t^3 - t) (in double, t^3 overflows long for big ties)."""
     scope = as_list(scope)
-    t = F.col("t").cast("double")
-    agg = [F.sum("t").alias("N"), F.sum(t * t * t - t).alias("T")]
+    t = F.col("__t").cast("double")
+    agg = [F.sum("__t").alias("__N"), F.sum(t * t * t - t).alias("__T")]
     return ties.groupBy(*scope).agg(*agg) if scope else ties.agg(*agg)
 
 
@@ -92,19 +92,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     """
     scope = as_list(scope)
     hist = histogram_by(df, scope, None, value)
-    ties = hist.withColumnRenamed("n", "t")
-    cum = cumulative_counts(ties, scope, "v", "t", n_buckets)
-    tot = ties.groupBy(*scope).agg(F.sum("t").alias("__N")) if scope else ties.agg(F.sum("t").alias("__N"))
+    ties = hist.withColumnRenamed("__n", "__t")
+    cum = cumulative_counts(ties, scope, "__v", "__t", n_buckets, out="__below")
+    tot = ties.groupBy(*scope).agg(F.sum("__t").alias("__N")) if scope else ties.agg(F.sum("__t").alias("__N"))
     from tessera.operators._util import attach_scalars
     cum = cum.join(tot, scope) if scope else attach_scalars(cum, tot)
     pos = F.col("p") * (F.col("__N") - 1)
     lo = F.floor(pos)
     hi = F.ceil(pos)
-    covers = lambda idx: (F.col("below") <= idx) & (idx < F.col("below") + F.col("t"))
+    covers = lambda idx: (F.col("__below") <= idx) & (idx < F.col("__below") + F.col("__t"))
     ex = (cum.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
           .withColumn("__lo", covers(lo)).withColumn("__hi", covers(hi))
           .where(F.col("__lo") | F.col("__hi")))
-    v = F.col("v").cast("double")
+    v = F.col("__v").cast("double")
     agg = (ex.groupBy(*scope, "p")
            .agg(F.max(F.when(F.col("__lo"), v)).alias("__vlo"), F.max(F.when(F.col("__hi"), v)).alias("__vhi"),
                 F.first(pos - lo).alias("__frac")))

@@ -283,3 +283,40 @@ def share_total(spark, sf):
     fv = first_visits(spark, sf).where((F.col("variant") == "top_and_bottom") & (F.col("device_type") == "desktop"))
     c = fv.groupBy("top_related_link_clicks").agg(F.count(F.lit(1)).alias("n"))
     return summary.with_share(c, "n", name="freq").withColumn("freq", F.round("freq", 6))
+
+
+@query("report_roundtrip", "S1 S2 S3 S4 S5 S6 T4", sql="\nUNION ALL\n".join(
+    f"SELECT '{fmt}' AS format, count(*) AS n_rows, round(sum(c_acctbal), 2) AS sum_acctbal, "
+    f"count(DISTINCT c_mktsegment) AS n_segments, min(c_custkey) AS min_key FROM customer"
+    for fmt in ("csv", "csv_latin1", "pipe", "json", "parquet")))
+def report_roundtrip(spark, sf):
+    """Customer rows written as CSV (UTF-8 and latin-1), pipe-delimited text,
+    NDJSON and Parquet into a fresh folder under the shared checkpoint
+    directory, read back with explicit schemas, and summarised per format."""
+    import uuid
+
+    from tessera.session import scratch_path
+    from tessera.sources import files
+    c = load(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    schema = c.schema
+    base = scratch_path(spark, f"roundtrip-{uuid.uuid4().hex}")
+    files.write_table(c, f"{base}/csv", "csv", header=True)
+    files.write_table(c, f"{base}/csv_latin1", "csv", header=True, encoding="ISO-8859-1")
+    files.write_table(c, f"{base}/pipe", "csv", header=False, sep="|")
+    files.write_table(c, f"{base}/json", "json")
+    files.write_table(c, f"{base}/parquet", "parquet")
+    back = {
+        "csv": files.read_csv(spark, f"{base}/csv", schema),
+        "csv_latin1": files.read_csv(spark, f"{base}/csv_latin1", schema, encoding="ISO-8859-1"),
+        "pipe": files.read_csv(spark, f"{base}/pipe", schema, header=False, sep="|"),
+        "json": files.read_json_lines(spark, f"{base}/json", schema),
+        "parquet": files.read_table(spark, f"{base}/parquet", "parquet"),
+    }
+    parts = [d.agg(F.lit(fmt).alias("format"), F.count(F.lit(1)).alias("n_rows"),
+                   F.round(F.sum("c_acctbal"), 2).alias("sum_acctbal"),
+                   F.countDistinct("c_mktsegment").alias("n_segments"), F.min("c_custkey").alias("min_key"))
+             for fmt, d in back.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
