@@ -44,9 +44,9 @@ def poisson_means(df: DataFrame, group: str, y: str, scope: Sequence[str] | str
     scope = as_list(scope)
     g = df.groupBy(*scope, F.col(group).alias("group")).agg(
         F.count(y).alias("n"), F.sum(F.col(y).cast("double")).alias("total"))
-    return (g.withColumn("mean", F.col("total") / F.col("n"))
+    return (g.withColumn("mean", F.try_divide(F.col("total"), F.col("n")))
             .withColumn("eta", F.log("mean"))
-            .withColumn("se_eta", 1 / F.sqrt("total")))
+            .withColumn("se_eta", F.try_divide(F.lit(1.0), F.sqrt("total"))))
 
 
 # ------------------------------------------------------------------ log-likelihoods (numpy)

@@ -88,8 +88,8 @@ def regression_metrics(df: DataFrame, label: str, prediction: str,
     e = y - p
     agg = [F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("__sse"), F.var_pop(y).alias("__vy")]
     s = df.groupBy(*scope).agg(*agg) if scope else df.agg(*agg)
-    return s.select(*scope, "n", (1 - F.col("__sse") / (F.col("__vy") * F.col("n"))).alias("r2"),
-                    F.sqrt(F.col("__sse") / F.col("n")).alias("rmse"))
+    return s.select(*scope, "n", (1 - F.try_divide(F.col("__sse"), F.col("__vy") * F.col("n"))).alias("r2"),
+                    F.sqrt(F.try_divide(F.col("__sse"), F.col("n"))).alias("rmse"))
 
 
 def residuals(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -148,8 +148,8 @@ def kde(df: DataFrame, value: str, grid: int = 64, prebins: int = 1024, cut: flo
               .withColumn("g", F.explode(F.sequence(g_lo, F.greatest(g_lo, g_hi))))
               .where(F.col("g") <= g_hi))
     x = F.col("lo") + F.col("g") * step
-    zz = (x - F.col("centre")) / F.col("h")
-    dens = F.col("c") * F.exp(-0.5 * zz * zz) / (F.col("n") * F.col("h") * F.lit(2.5066282746310002))
+    zz = F.try_divide(x - F.col("centre"), F.col("h"))
+    dens = F.try_divide(F.col("c") * F.exp(-0.5 * zz * zz), F.col("n") * F.col("h") * F.lit(2.5066282746310002))
     return (spread.withColumn("x", x).groupBy("g", "x").agg(F.sum(dens).alias("density"))
             .withColumnRenamed("g", "point"))
 

@@ -442,8 +442,8 @@ def loan_study(spark, sf):
 
 @query("poisson_means", "M11", sql="WITH " + Q.FIRST_VISITS.strip() + """
 SELECT device_type, variant AS "group", count(shopping_pageviews) AS n, CAST(sum(shopping_pageviews) AS DOUBLE) AS total,
-       round(avg(shopping_pageviews), 8) AS mean, round(ln(avg(shopping_pageviews)), 8) AS eta,
-       round(1 / sqrt(sum(shopping_pageviews)), 8) AS se_eta
+       round(avg(shopping_pageviews), 8) AS mean, round(ln(NULLIF(avg(shopping_pageviews), 0)), 8) AS eta,
+       round(1 / NULLIF(sqrt(sum(shopping_pageviews)), 0), 8) AS se_eta
 FROM first_visits GROUP BY 1, 2""")
 def poisson_means(spark, sf):
     from tessera.operators import counts

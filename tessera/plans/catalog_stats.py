@@ -30,7 +30,7 @@ pg AS (SELECT s, g, count(*) AS ni, sum(mr) AS ri FROM r GROUP BY s, g),
 ps AS (SELECT s, CAST(sum(ni) AS DOUBLE) AS nn, count(*) AS k, sum(ri * ri / ni) AS ss FROM pg GROUP BY s),
 tt AS (SELECT s, sum(CAST(c AS DOUBLE) * c * c - c) AS tt FROM (SELECT s, v, count(*) AS c FROM x GROUP BY s, v) GROUP BY s)
 SELECT {sel} CAST(nn AS BIGINT) AS "N", k,
-       round((12.0 / (nn * (nn + 1)) * ss - 3 * (nn + 1)) / (1 - tt / (nn * nn * nn - nn)), 6) AS h, k - 1 AS df
+       round((12.0 / (nn * (nn + 1)) * ss - 3 * (nn + 1)) / NULLIF(1 - tt / (nn * nn * nn - nn), 0), 6) AS h, k - 1 AS df
 FROM ps JOIN tt USING (s)"""
 
 
@@ -61,7 +61,7 @@ w AS (SELECT *, ra - na * (na + 1) / 2 AS w FROM ag JOIN tt USING (s, ga, gb))
 SELECT s AS device_type, ga AS group_a, gb AS group_b, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b,
        round(w, 6) AS w,
        round(((w - na * nb / 2) - sign(w - na * nb / 2) * 0.5)
-             / sqrt(na * nb / 12 * ((nn + 1) - tt / (nn * (nn - 1)))), 6) AS z
+             / NULLIF(sqrt(na * nb / 12 * ((nn + 1) - tt / (nn * (nn - 1)))), 0), 6) AS z
 FROM w"""
 
 
@@ -76,11 +76,11 @@ r AS (SELECT s, g, v, rank() OVER (PARTITION BY s ORDER BY v) + (count(*) OVER (
 pg AS (SELECT s, g, count(*) AS ni, sum(mr) AS ri, sum(mr * mr) AS r2 FROM r GROUP BY s, g),
 ps AS (SELECT s, CAST(sum(ni) AS DOUBLE) AS nn, count(*) AS k, sum(ri * ri / ni) AS ss, sum(r2) AS r2 FROM pg GROUP BY s),
 tt AS (SELECT s, sum(CAST(c AS DOUBLE) * c * c - c) AS tt FROM (SELECT s, v, count(*) AS c FROM x GROUP BY s, v) GROUP BY s),
-st AS (SELECT s, nn, k, (12.0 / (nn * (nn + 1)) * ss - 3 * (nn + 1)) / (1 - tt / (nn * nn * nn - nn)) AS h,
+st AS (SELECT s, nn, k, (12.0 / (nn * (nn + 1)) * ss - 3 * (nn + 1)) / NULLIF(1 - tt / (nn * nn * nn - nn), 0) AS h,
               (r2 - nn * (nn + 1) * (nn + 1) / 4) / (nn - 1) AS s2 FROM ps JOIN tt USING (s))
 SELECT a.s AS device_type, a.g AS group_a, b.g AS group_b, a.ni AS n_a, b.ni AS n_b,
        round(abs(a.ri / a.ni - b.ri / b.ni)
-             / sqrt(s2 * (nn - 1 - h) / (nn - k) * (1.0 / a.ni + 1.0 / b.ni)), 6) AS t,
+             / NULLIF(sqrt(s2 * (nn - 1 - h) / (nn - k) * (1.0 / a.ni + 1.0 / b.ni)), 0), 6) AS t,
        CAST(nn - k AS BIGINT) AS df
 FROM pg a JOIN pg b ON a.s = b.s AND a.g < b.g JOIN st ON st.s = a.s"""
 
@@ -100,7 +100,7 @@ v AS (SELECT s, CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN d > 0 THEN mr ELSE
 tt AS (SELECT s, sum(CAST(c AS DOUBLE) * c * c - c) AS tt FROM (SELECT s, a, count(*) AS c FROM nz GROUP BY 1, 2) GROUP BY s)
 SELECT s AS device_type, CAST(n AS BIGINT) AS n, round(vs, 6) AS v_stat,
        round(((vs - n * (n + 1) / 4) - sign(vs - n * (n + 1) / 4) * 0.5)
-             / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tt / 48), 6) AS z
+             / NULLIF(sqrt(n * (n + 1) * (2 * n + 1) / 24 - tt / 48), 0), 6) AS z
 FROM v JOIN tt USING (s)""")
 def signed_rank(spark, sf):
     fv = first_visits(spark, sf).where(F.col("variant") == "top_and_bottom")
@@ -117,7 +117,7 @@ gi AS (SELECT s, g, count(*) AS ni, avg(z) AS zi, coalesce(var_samp(z) * (count(
 tot AS (SELECT s, CAST(sum(ni) AS DOUBLE) AS nn, count(*) AS k, sum(ssin) AS within,
                sum(ni * zi * zi) AS s2, sum(ni * zi) AS s1 FROM gi GROUP BY s)
 SELECT s AS device_type, CAST(nn AS BIGINT) AS "N", k,
-       round((nn - k) * (s2 - s1 * s1 / nn) / ((k - 1) * within), 6) AS f,
+       round((nn - k) * (s2 - s1 * s1 / nn) / NULLIF((k - 1) * within, 0), 6) AS f,
        k - 1 AS df1, CAST(nn - k AS BIGINT) AS df2 FROM tot"""
 
 
@@ -163,8 +163,9 @@ def f_scores(spark, sf):
 m AS (SELECT device_type, variant, avg(ln(total_pageviews)) AS m FROM first_visits GROUP BY 1, 2),
 e AS (SELECT f.device_type, ln(f.total_pageviews) - m.m AS e FROM first_visits f JOIN m USING (device_type, variant)),
 mo AS (SELECT device_type, count(e) AS n, avg(e * e) AS m2, avg(e * e * e) AS m3, avg(e * e * e * e) AS m4 FROM e GROUP BY 1)
-SELECT device_type, n, round(m3 / pow(m2, 1.5), 6) AS skewness, round(m4 / (m2 * m2), 6) AS kurtosis,
-       round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 6) AS jarque_bera FROM mo""")
+SELECT device_type, n, round(m3 / NULLIF(pow(m2, 1.5), 0), 6) AS skewness, round(m4 / NULLIF(m2 * m2, 0), 6) AS kurtosis,
+       round(n / 6.0 * (pow(m3 / NULLIF(pow(m2, 1.5), 0), 2) + pow(m4 / NULLIF(m2 * m2, 0) - 3, 2) / 4), 6) AS jarque_bera
+FROM mo""")
 def residual_normality(spark, sf):
     fv = first_visits(spark, sf).withColumn("log_total_pageviews", F.log("total_pageviews"))
     out = htest.residual_moments(fv, "log_total_pageviews", "variant", "device_type", with_p=False)
@@ -246,7 +247,7 @@ a AS (SELECT device_type, variant, count(*) AS n, avg(CAST(shopping_pageviews AS
 b AS (SELECT *, m2r - mean * mean AS m2, m3r - 3 * mean * m2r + 2 * mean * mean * mean AS m3,
              m4r - 4 * mean * m3r + 6 * mean * mean * m2r - 3 * mean * mean * mean * mean AS m4 FROM a)
 SELECT device_type, variant, n, round(mean, 6) AS mean, round(sd, 6) AS sd, min, max, round(zero_share, 6) AS zero_share,
-       round(m3 / pow(m2, 1.5), 6) AS skewness, round(m4 / (m2 * m2), 6) AS kurtosis FROM b""")
+       round(m3 / NULLIF(pow(m2, 1.5), 0), 6) AS skewness, round(m4 / NULLIF(m2 * m2, 0), 6) AS kurtosis FROM b""")
 def distribution_profile(spark, sf):
     out = htest.distribution_profile(first_visits(spark, sf), "shopping_pageviews", ["device_type", "variant"])
     return _r(out, 6, {"mean", "sd", "zero_share", "skewness", "kurtosis"})
