@@ -65,14 +65,16 @@ def t_test(df: DataFrame, group: str, value: str, with_p: bool = True) -> DataFr
     return out
 
 
-def _anova_of(z: DataFrame, scope: list[str], group: str, col: str) -> DataFrame:
-    gi = z.groupBy(*scope, group).agg(F.count(col).alias("__ni"), F.avg(col).alias("__zi"),
-                                      F.var_samp(col).alias("__vi"))
-    gi = gi.withColumn("__ssin", F.coalesce(F.col("__vi") * (F.col("__ni") - 1), F.lit(0.0)))
-    agg = [F.sum("__ni").alias("N"), F.count(F.lit(1)).alias("k"),
-           F.sum("__ssin").alias("__within"),
+def _anova_of(z: DataFrame, scope: list[str], group: str, col: str, weight: str | None = None) -> DataFrame:
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    zc = F.col(col)
+    gi = z.groupBy(*scope, group).agg(F.sum(F.when(zc.isNotNull(), w)).alias("__ni"), F.sum(w * zc).alias("__sz"),
+                                      F.sum(w * zc * zc).alias("__szz"))
+    gi = gi.withColumn("__zi", F.col("__sz") / F.col("__ni"))
+    agg = [F.sum("__ni").cast("long").alias("N"), F.count(F.lit(1)).alias("k"),
+           F.sum(F.col("__szz") - F.col("__sz") * F.col("__zi")).alias("__within"),
            F.sum(F.col("__ni") * F.col("__zi") * F.col("__zi")).alias("__s2"),
-           F.sum(F.col("__ni") * F.col("__zi")).alias("__s1")]
+           F.sum(F.col("__sz")).alias("__s1")]
     tot = gi.groupBy(*scope).agg(*agg) if scope else gi.agg(*agg)
     between = F.col("__s2") - F.col("__s1") * F.col("__s1") / F.col("N")
     return tot.select(*scope, "N", "k",
@@ -81,20 +83,21 @@ def _anova_of(z: DataFrame, scope: list[str], group: str, col: str) -> DataFrame
 
 
 def levene(df: DataFrame, group: str, value: str, scope: Sequence[str] | str | None = None,
-           center: str = "mean", with_p: bool = True) -> DataFrame:
+           center: str = "mean", with_p: bool = True, weight: str | None = None) -> DataFrame:
     """Levene (``center='mean'``, H4) or Brown-Forsythe (``center='median'``, H5):
     one-way ANOVA on |x - centre of its group|. Centres are one row per group,
-    joined back (bounded by the number of groups)."""
+    joined back (bounded by the number of groups). ``weight``: frequency table."""
     scope = as_list(scope)
     keys = [*scope, group]
     x = F.col(value).cast("double")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
     if center == "mean":
-        c = df.groupBy(*keys).agg(F.avg(x).alias("__c"))
+        c = df.where(x.isNotNull()).groupBy(*keys).agg((F.sum(w * x) / F.sum(w)).alias("__c"))
     else:
         from tessera.operators.rank import exact_quantiles
-        c = exact_quantiles(df, value, [0.5], keys).select(*keys, F.col("q").alias("__c"))
+        c = exact_quantiles(df, value, [0.5], keys, weight=weight).select(*keys, F.col("q").alias("__c"))
     z = df.join(F.broadcast(c), keys).withColumn("__z", F.abs(x - F.col("__c")))
-    out = _anova_of(z, scope, group, "__z")
+    out = _anova_of(z, scope, group, "__z", weight)
     if with_p:
         out = out.withColumn("p_value", dist.f_sf_col("f", "df1", "df2"))
     return out
@@ -103,10 +106,11 @@ def levene(df: DataFrame, group: str, value: str, scope: Sequence[str] | str | N
 # -------------------------------------------------------------- rank tests
 
 def kruskal(df: DataFrame, group: str, value: str, scope: Sequence[str] | str | None = None,
-            with_p: bool = True) -> DataFrame:
-    """Kruskal-Wallis H with tie correction, chi-square(k - 1) (H6)."""
+            with_p: bool = True, weight: str | None = None) -> DataFrame:
+    """Kruskal-Wallis H with tie correction, chi-square(k - 1) (H6).
+    ``weight``: ``df`` is a frequency table with that count column."""
     scope = as_list(scope)
-    hist = histogram_by(df, scope, group, value)
+    hist = histogram_by(df, scope, group, value, weight)
     ranked, ties = midranks(hist, scope)
     per_g = ranked.groupBy(*scope, group).agg(F.sum("__n").alias("__ni"),
                                               F.sum(F.col("__n") * F.col("midrank")).alias("__Ri"))
@@ -141,12 +145,12 @@ def _pairs(groups: DataFrame, scope: list[str], group: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, scope: Sequence[str] | str | None = None,
-                 with_p: bool = True) -> DataFrame:
+                 with_p: bool = True, weight: str | None = None) -> DataFrame:
     """Pairwise Mann-Whitney U with normal approximation and continuity
     correction (H7, R ``wilcox.test(exact=FALSE)``); W is the rank sum of
     ``group_a`` minus n_a(n_a+1)/2. Ranks are recomputed within each pair."""
     scope = as_list(scope)
-    hist = histogram_by(df, scope, group, value)
+    hist = histogram_by(df, scope, group, value, weight)
     groups = hist.select(*scope, group).distinct()
     pairs = _pairs(groups, scope, group).select(*[F.col(c).alias(f"__p_{c}") for c in scope],
                                                  "group_a", "group_b")
@@ -174,11 +178,11 @@ def mann_whitney(df: DataFrame, group: str, value: str, scope: Sequence[str] | s
 
 
 def conover(df: DataFrame, group: str, value: str, scope: Sequence[str] | str | None = None,
-            with_p: bool = True, adjust: str | None = "holm") -> DataFrame:
+            with_p: bool = True, adjust: str | None = "holm", weight: str | None = None) -> DataFrame:
     """Conover-Iman pairwise comparisons after Kruskal-Wallis (H9), ranks over
     all groups of the scope, t with N - k degrees of freedom; Holm-adjusted."""
     scope = as_list(scope)
-    hist = histogram_by(df, scope, group, value)
+    hist = histogram_by(df, scope, group, value, weight)
     ranked, ties = midranks(hist, scope)
     per_g = ranked.groupBy(*scope, group).agg(
         F.sum("__n").alias("__ni"), F.sum(F.col("__n") * F.col("midrank")).alias("__Ri"),
@@ -231,14 +235,16 @@ def holm(df: DataFrame, p: str, family: Sequence[str] | str | None = None,
 
 
 def signed_rank(df: DataFrame, x: str, y: str, scope: Sequence[str] | str | None = None,
-                with_p: bool = True) -> DataFrame:
+                with_p: bool = True, weight: str | None = None) -> DataFrame:
     """Paired Wilcoxon signed-rank test, normal approximation with tie and
-    continuity correction, zero differences dropped (H10)."""
+    continuity correction, zero differences dropped (H10). ``weight``: ``df``
+    is a frequency table of (x, y) pairs."""
     scope = as_list(scope)
     d = (F.col(x) - F.col(y)).cast("double")
-    base = df.select(*scope, d.alias("__d")).where((F.col("__d") != 0) & F.col("__d").isNotNull())
+    w = F.col(weight) if weight else F.lit(1)
+    base = df.select(*scope, d.alias("__d"), w.alias("__w")).where((F.col("__d") != 0) & F.col("__d").isNotNull())
     hist = (base.groupBy(*scope, F.abs("__d").alias("__v"), (F.col("__d") > 0).alias("__pos"))
-            .agg(F.count(F.lit(1)).alias("__n")))
+            .agg(F.sum("__w").cast("long").alias("__n")))
     ranked, ties = midranks(hist, scope)
     agg = [F.sum(F.when(F.col("__pos"), F.col("__n") * F.col("midrank")).otherwise(0.0)).alias("v_stat")]
     per = ranked.groupBy(*scope).agg(*agg) if scope else ranked.agg(*agg)
@@ -256,18 +262,22 @@ def signed_rank(df: DataFrame, x: str, y: str, scope: Sequence[str] | str | None
 # -------------------------------------------------------------- normality
 
 def residual_moments(df: DataFrame, y: str, factor: str | None, scope: Sequence[str] | str | None = None,
-                     with_p: bool = True) -> DataFrame:
+                     with_p: bool = True, weight: str | None = None) -> DataFrame:
     """Residuals of ``y ~ factor`` (y minus its group mean): skewness, kurtosis
-    (plain, normal = 3) and the Jarque-Bera statistic (H11)."""
+    (plain, normal = 3) and the Jarque-Bera statistic (H11). ``weight``:
+    frequency table."""
     scope = as_list(scope)
     keys = [*scope] + ([factor] if factor else [])
     yy = F.col(y).cast("double")
-    m = (df.groupBy(*keys) if keys else df).agg(F.avg(yy).alias("__m"))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    base = df.where(yy.isNotNull())
+    m = (base.groupBy(*keys) if keys else base).agg((F.sum(w * yy) / F.sum(w)).alias("__m"))
     from tessera.operators._util import attach_scalars
-    r = (df.join(F.broadcast(m), keys) if keys else attach_scalars(df, m)).withColumn("__e", yy - F.col("__m"))
+    r = (base.join(F.broadcast(m), keys) if keys else attach_scalars(base, m)).withColumn("__e", yy - F.col("__m"))
     e = F.col("__e")
-    agg = [F.count(e).alias("n"), F.avg(e * e).alias("m2"), F.avg(e * e * e).alias("m3"),
-           F.avg(e * e * e * e).alias("m4")]
+    sw = F.sum(w)
+    agg = [sw.cast("long").alias("n"), (F.sum(w * e * e) / sw).alias("m2"), (F.sum(w * e * e * e) / sw).alias("m3"),
+           (F.sum(w * e * e * e * e) / sw).alias("m4")]
     mom = r.groupBy(*scope).agg(*agg) if scope else r.agg(*agg)
     skew = _div(F.col("m3"), F.pow(F.col("m2"), 1.5))
     kurt = _div(F.col("m4"), F.col("m2") * F.col("m2"))

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators._util import as_list
+from tessera.operators._util import as_list, attach_scalars
 
 
 def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
@@ -28,22 +28,20 @@ def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
 
     ``ties`` has one row per (scope, value). ``count``/``out`` may be lists to
     accumulate several columns in the same pass. Bucket boundaries are
-    approximate quantiles of the distinct values (at most ``n_buckets`` numbers
-    reach the driver); the cumulative counts themselves are exact.
+    approximate quantiles of the distinct values; the cumulative counts
+    themselves are exact whatever the boundaries are.
     """
     scope = as_list(scope)
     counts = [count] if isinstance(count, str) else list(count)
     outs = [out] if isinstance(out, str) else list(out)
-    from pyspark.ml.feature import Bucketizer
     vd = "__vd"
     base = ties.withColumn(vd, F.col(value).cast("double"))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted({c for c in base.approxQuantile(vd, probs, 1.0 / (4 * n_buckets))
-                   if c == c}) if n_buckets > 1 else []
-    splits = [float("-inf")] + cuts + [float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    tb = Bucketizer(splits=splits, inputCol=vd, outputCol="__b", handleInvalid="keep").transform(base)
+    # bucket boundaries: one distributed percentile_approx aggregate (a bounded
+    # sketch), attached as a one-row broadcast -- the plan stays lazy
+    probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
+    splits = base.agg(F.percentile_approx(vd, probs, max(10000, 4 * n_buckets)).alias("__splits"))
+    tb = attach_scalars(base, splits)
+    tb = tb.withColumn("__b", F.size(F.filter("__splits", lambda c: c < F.col(vd)))).drop("__splits")
     btot = tb.groupBy(*scope, "__b").agg(*[F.sum(c).alias(f"__bt{i}") for i, c in enumerate(counts)])
     w_off = Window.partitionBy(*scope).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     boff = btot.select(*scope, "__b", *[F.coalesce(F.sum(f"__bt{i}").over(w_off), F.lit(0)).alias(f"__off{i}")
@@ -55,12 +53,17 @@ def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
     return res.drop("__b", vd, *[f"__off{i}" for i in range(len(counts))])
 
 
-def histogram_by(df: DataFrame, scope: Sequence[str], group: str | None, value: str) -> DataFrame:
-    """(scope, group, __v, __n): rows per distinct value, NULL values dropped."""
+def histogram_by(df: DataFrame, scope: Sequence[str], group: str | None, value: str,
+                 weight: str | None = None) -> DataFrame:
+    """(scope, group, __v, __n): rows per distinct value, NULL values dropped.
+
+    With ``weight`` the input is already a frequency table and the weights
+    are summed (so tests can run on a pre-aggregated, reused table)."""
     scope = as_list(scope)
     g = [group] if group else []
+    n = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
     return (df.where(F.col(value).isNotNull())
-            .groupBy(*scope, *g, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
+            .groupBy(*scope, *g, F.col(value).alias("__v")).agg(n.alias("__n")))
 
 
 def midranks(hist: DataFrame, scope: Sequence[str], n_buckets: int = 256) -> tuple[DataFrame, DataFrame]:
@@ -84,14 +87,15 @@ def tie_term(ties: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    scope: Sequence[str] | str | None = None, n_buckets: int = 256) -> DataFrame:
+                    scope: Sequence[str] | str | None = None, n_buckets: int = 256,
+                    weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / R type 7, DuckDB
     ``quantile_cont``) without gathering a group's values in one task.
 
     Output: scope..., p, q.
     """
     scope = as_list(scope)
-    hist = histogram_by(df, scope, None, value)
+    hist = histogram_by(df, scope, None, value, weight)
     ties = hist.withColumnRenamed("__n", "__t")
     cum = cumulative_counts(ties, scope, "__v", "__t", n_buckets, out="__below")
     tot = ties.groupBy(*scope).agg(F.sum("__t").alias("__N")) if scope else ties.agg(F.sum("__t").alias("__N"))

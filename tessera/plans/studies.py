@@ -154,31 +154,41 @@ def ab_long(first_visits: DataFrame, metrics: Sequence[str] = AB_METRICS) -> Dat
 def ab_report(first_visits: DataFrame) -> DataFrame:
     """Kruskal-Wallis, pairwise Mann-Whitney (Holm), Conover (Holm), Levene and
     Brown-Forsythe, residual normality and the paired signed-rank test, per
-    device and metric, as one long table (C3)."""
+    device and metric, as one long table (C3).
+
+    The visits are read once: every test runs on the frequency table
+    (device, metric, variant, value) -> n, written to the shared checkpoint
+    folder. Its size is bounded by distinct metric values, not by visits.
+    """
     long = ab_long(first_visits)
     scope = ["device_type", "metric"]
+    freq = materialize(long.where(F.col("value").isNotNull())
+                       .groupBy(*scope, "variant", "value").agg(F.count(F.lit(1)).alias("n")))
+    pairs = materialize(first_visits.where(F.col("variant") == "top_and_bottom")
+                        .groupBy("device_type", "bottom_related_link_clicks", "top_related_link_clicks")
+                        .agg(F.count(F.lit(1)).alias("n")))
     cols = ["test", "device_type", "metric", "comparison", "statistic", "df", "p_value", "p_adjusted"]
-    kw = htest.kruskal(long, "variant", "value", scope).select(
+    kw = htest.kruskal(freq, "variant", "value", scope, weight="n").select(
         F.lit("kruskal_wallis").alias("test"), *scope, F.lit("all").alias("comparison"),
         F.col("h").alias("statistic"), F.col("df").cast("double").alias("df"), "p_value",
         F.col("p_value").alias("p_adjusted"))
-    mw = htest.holm(htest.mann_whitney(long, "variant", "value", scope), "p_value", scope, "p_adjusted",
+    mw = htest.holm(htest.mann_whitney(freq, "variant", "value", scope, weight="n"), "p_value", scope, "p_adjusted",
                     tiebreak=["group_a", "group_b"]).select(
         F.lit("mann_whitney").alias("test"), *scope, F.concat_ws(" vs ", "group_a", "group_b").alias("comparison"),
         F.col("z").alias("statistic"), F.lit(None).cast("double").alias("df"), "p_value", "p_adjusted")
-    cn = htest.conover(long, "variant", "value", scope).select(
+    cn = htest.conover(freq, "variant", "value", scope, weight="n").select(
         F.lit("conover").alias("test"), *scope, F.concat_ws(" vs ", "group_a", "group_b").alias("comparison"),
         F.col("t").alias("statistic"), F.col("df").cast("double").alias("df"), "p_value", "p_adjusted")
     lev = []
     for center, name in (("mean", "levene"), ("median", "brown_forsythe")):
-        lev.append(htest.levene(long, "variant", "value", scope, center).select(
+        lev.append(htest.levene(freq, "variant", "value", scope, center, weight="n").select(
             F.lit(name).alias("test"), *scope, F.lit("all").alias("comparison"), F.col("f").alias("statistic"),
             F.col("df1").cast("double").alias("df"), "p_value", F.col("p_value").alias("p_adjusted")))
-    norm = htest.residual_moments(long, "value", "variant", scope).select(
+    norm = htest.residual_moments(freq, "value", "variant", scope, weight="n").select(
         F.lit("residual_jarque_bera").alias("test"), *scope, F.lit("all").alias("comparison"),
         F.col("jarque_bera").alias("statistic"), F.lit(2.0).alias("df"), "p_value", F.col("p_value").alias("p_adjusted"))
-    tb = first_visits.where(F.col("variant") == "top_and_bottom")
-    sr = htest.signed_rank(tb, "bottom_related_link_clicks", "top_related_link_clicks", "device_type").select(
+    sr = htest.signed_rank(pairs, "bottom_related_link_clicks", "top_related_link_clicks", "device_type",
+                           weight="n").select(
         F.lit("signed_rank").alias("test"), "device_type", F.lit("related_link_clicks").alias("metric"),
         F.lit("bottom vs top").alias("comparison"), F.col("z").alias("statistic"),
         F.lit(None).cast("double").alias("df"), "p_value", F.col("p_value").alias("p_adjusted"))

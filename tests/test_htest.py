@@ -181,3 +181,21 @@ def test_f_scores(spark):
     r = got["x1"]["r"]
     assert got["x1"]["f"] == pytest.approx(r * r / (1 - r * r) * 38)
     assert 0 <= got["x2"]["p_value"] <= 1
+
+
+def test_frequency_table_path_equals_raw_rows(spark):
+    rnd = random.Random(17)
+    rows = [(rnd.choice("xy"), rnd.choice("abc"), float(rnd.randint(0, 5))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "s string, g string, v double")
+    freq = df.groupBy("s", "g", "v").count()
+    for fn, key in ((htest.kruskal, "h"), (htest.conover, "t"), (htest.mann_whitney, "z")):
+        a = sorted(r[key] for r in fn(df, "g", "v", "s").collect())
+        b = sorted(r[key] for r in fn(freq, "g", "v", "s", weight="count").collect())
+        assert a == pytest.approx(b, rel=1e-12)
+    for center in ("mean", "median"):
+        a = sorted(r["f"] for r in htest.levene(df, "g", "v", "s", center).collect())
+        b = sorted(r["f"] for r in htest.levene(freq, "g", "v", "s", center, weight="count").collect())
+        assert a == pytest.approx(b, rel=1e-10)
+    a = sorted(r["jarque_bera"] for r in htest.residual_moments(df, "v", "g", "s").collect())
+    b = sorted(r["jarque_bera"] for r in htest.residual_moments(freq, "v", "g", "s", weight="count").collect())
+    assert a == pytest.approx(b, rel=1e-9)
