@@ -456,3 +456,120 @@ def poisson_means(spark, sf):
 def count_models(spark, sf):
     from tessera.operators import counts
     return counts.fit_count_models(first_visits(spark, sf), "variant", "shopping_pageviews", "device_type")
+
+
+@query("class_rate_by_group", "A11 X15 F4", sql="WITH " + Q.CLEAN_LOANS.strip() + """
+SELECT purpose, count(*) AS n, round(avg(CASE WHEN loan_status = 'Default' THEN 1.0 ELSE 0.0 END), 8) AS rate
+FROM clean_loans GROUP BY purpose HAVING avg(CASE WHEN loan_status = 'Default' THEN 1.0 ELSE 0.0 END) > 0""")
+def class_rate_by_group(spark, sf):
+    from tessera.operators import summary
+    cl = studies.clean_loans(S.loans(spark, sf))
+    out = summary.class_rate(cl, "purpose", F.col("loan_status") == "Default")
+    return out.withColumn("rate", F.round("rate", 8)).orderBy("rate")
+
+
+@query("class_rate_interval", "A12 X15", sql="WITH " + Q.CLEAN_LOANS.strip() + """,
+r AS (SELECT home_ownership, count(*) AS n, avg(CASE WHEN loan_status = 'Default' THEN 1.0 ELSE 0.0 END) AS rate
+      FROM clean_loans GROUP BY 1)
+SELECT home_ownership, n, round(rate, 8) AS rate,
+       round(rate - 1.959963984540054 * sqrt(rate * (1 - rate) / n), 8) AS low,
+       round(rate + 1.959963984540054 * sqrt(rate * (1 - rate) / n), 8) AS high FROM r""")
+def class_rate_interval(spark, sf):
+    from tessera.operators import summary
+    cl = studies.clean_loans(S.loans(spark, sf))
+    out = summary.rate_interval(cl, "home_ownership", F.col("loan_status") == "Default")
+    return out.select("home_ownership", "n", *[F.round(c, 8).alias(c) for c in ("rate", "low", "high")])
+
+
+@query("bootstrap_interval", "A12")
+def bootstrap_interval(spark, sf):
+    from tessera.operators import summary
+    cl = studies.clean_loans(S.loans(spark, sf)).withColumn(
+        "is_default", (F.col("loan_status") == "Default").cast("int"))
+    return summary.bootstrap_interval(cl, "home_ownership", "is_default", replicates=200, seed=42)
+
+
+@query("log_profile", "X8 H13", sql="WITH " + Q.FIRST_VISITS.strip() + """,
+l AS (SELECT device_type, variant, ln(total_pageviews) AS v FROM first_visits),
+a AS (SELECT device_type, variant, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS sd, min(v) AS min, max(v) AS max,
+             avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END) AS zero_share, avg(v * v) AS m2r, avg(v * v * v) AS m3r,
+             avg(v * v * v * v) AS m4r FROM l GROUP BY 1, 2),
+b AS (SELECT *, m2r - mean * mean AS m2, m3r - 3 * mean * m2r + 2 * mean * mean * mean AS m3,
+             m4r - 4 * mean * m3r + 6 * mean * mean * m2r - 3 * mean * mean * mean * mean AS m4 FROM a)
+SELECT device_type, variant, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(min, 6) AS min, round(max, 6) AS max,
+       round(zero_share, 6) AS zero_share, round(m3 / NULLIF(pow(m2, 1.5), 0), 4) AS skewness,
+       round(m4 / NULLIF(m2 * m2, 0), 4) AS kurtosis FROM b""")
+def log_profile(spark, sf):
+    from tessera.operators import htest
+    fv = first_visits(spark, sf).withColumn("log_total_pageviews", X.ln("total_pageviews"))
+    out = htest.distribution_profile(fv, "log_total_pageviews", ["device_type", "variant"])
+    return out.select("device_type", "variant", "n",
+                      *[F.round(c, 6).alias(c) for c in ("mean", "sd", "min", "max", "zero_share")],
+                      *[F.round(c, 4).alias(c) for c in ("skewness", "kurtosis")])
+
+
+@query("log_jitter_profile", "X8 H13")
+def log_jitter_profile(spark, sf):
+    """ln(x + U(0.01, 0.1)) of the zero-heavy metrics (seeded), profiled per cell."""
+    from tessera.operators import htest
+    fv = first_visits(spark, sf).withColumn("log_shopping", X.ln_jitter("shopping_pageviews", 7))
+    return htest.distribution_profile(fv, "log_shopping", ["device_type", "variant"])
+
+
+def _doc_features(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    lab = load(spark, sf, "labels")
+    words = F.size(F.split(F.trim(F.col("text")), r"\s+"))
+    lines = F.size(F.split(F.col("text"), "\n"))
+    feats = (d.join(lab, "doc_id")
+             .select("doc_id", "quality",
+                     F.log1p(F.col("n_chars").cast("double")).alias("log_chars"),
+                     F.log1p(words.cast("double")).alias("log_words"),
+                     (F.col("n_chars") / F.greatest(words, F.lit(1))).alias("chars_per_word"),
+                     (words / F.greatest(lines, F.lit(1))).alias("words_per_line"),
+                     (F.length(F.regexp_replace("text", "[^0-9]", "")) / F.greatest(F.col("n_chars"), F.lit(1)))
+                     .alias("digit_share"),
+                     *[(F.col("lang") == lg).cast("double").alias(f"lang_{lg}") for lg in ("de", "en", "es", "fr")]))
+    cols = ["log_chars", "log_words", "chars_per_word", "words_per_line", "digit_share",
+            "lang_de", "lang_en", "lang_es", "lang_fr"]
+    return feats, cols
+
+
+def _score(spark, sf, kind):
+    feats, cols = _doc_features(spark, sf)
+    split = sampling.stratified_split(feats, "quality", "doc_id", 0.25, 42)
+    train = split.where(F.col("split") == "train")
+    n = train.count()
+    stages = {"logistic": models.logistic(cols, "quality", n),
+              "forest": models.forest_classifier(cols, "quality", 40, 20, max_depth=8),
+              "gbt": models.gbt(cols, "quality", 30, 3)}[kind]
+    m = models.fit_pipeline(train, stages)
+    scored = models.with_score(m.transform(split)).select("doc_id", "split", "quality", "score")
+    return evaluate.auc(scored, "quality", "score", "split").withColumn("model", F.lit(kind))
+
+
+@query("score_logistic", "M6 M8 E5 R2")
+def score_logistic(spark, sf):
+    return _score(spark, sf, "logistic")
+
+
+@query("score_forest", "M5 M8 E5 R2")
+def score_forest(spark, sf):
+    return _score(spark, sf, "forest")
+
+
+@query("score_gbt", "M7 M8 E5 R2")
+def score_gbt(spark, sf):
+    return _score(spark, sf, "gbt")
+
+
+@query("importances", "M9 M10 S7")
+def importances(spark, sf):
+    """Forest importances on the document features, then a refit on the top 3 (VectorSlicer-style selection)."""
+    feats, cols = _doc_features(spark, sf)
+    m = models.fit_pipeline(feats, models.forest_classifier(cols, "quality", 40, 20, max_depth=8))
+    w = models.feature_weights(m, cols, "importance")
+    top = models.top_features(w, 3)
+    m2 = models.fit_pipeline(feats, models.forest_classifier(top, "quality", 40, 20, max_depth=8))
+    a = evaluate.auc(models.with_score(m2.transform(feats)), "quality", "score").first()["auc"]
+    return w.withColumn("selected", F.col("feature").isin(top)).withColumn("auc_top_features", F.lit(a))
