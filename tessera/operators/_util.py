@@ -23,7 +23,7 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     large side is neither shuffled nor cross-joined; the broadcast is one row by
     construction (a global aggregate).
     """
-    k = "__one"
+    k = "__attach_key"
     return (df.withColumn(k, F.lit(1))
             .join(F.broadcast(scalars.withColumn(k, F.lit(1))), k)
             .drop(k))

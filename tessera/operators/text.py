@@ -51,7 +51,7 @@ def bigram_counts(tokens: DataFrame, col: str = "tokens", key: str | None = None
         from tessera.operators.rank import cumulative_counts
         ne = tokens.where(F.size(col) > 0).select(key, F.col(col)[0].alias("__first"),
                                                   F.element_at(col, -1).alias("__last"))
-        ranked = cumulative_counts(ne.withColumn("__one", F.lit(1)), [], key, "__one", out="__rank")
+        ranked = cumulative_counts(ne.withColumn("__cnt", F.lit(1)), [], key, "__cnt", out="__rank")
         a = ranked.select(F.col("__rank").alias("__r"), F.col("__last").alias("first"))
         b = ranked.select((F.col("__rank") - 1).alias("__r"), F.col("__first").alias("second"))
         pairs = pairs.unionByName(a.join(b, "__r").select("first", "second"))

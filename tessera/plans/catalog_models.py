@@ -536,8 +536,9 @@ def _doc_features(spark, sf):
 
 
 def _score(spark, sf, kind):
+    from tessera.session import materialize
     feats, cols = _doc_features(spark, sf)
-    split = sampling.stratified_split(feats, "quality", "doc_id", 0.25, 42)
+    split = materialize(sampling.stratified_split(feats, "quality", "doc_id", 0.25, 42))
     train = split.where(F.col("split") == "train")
     n = train.count()
     stages = {"logistic": models.logistic(cols, "quality", n),
@@ -566,7 +567,9 @@ def score_gbt(spark, sf):
 @query("importances", "M9 M10 S7")
 def importances(spark, sf):
     """Forest importances on the document features, then a refit on the top 3 (VectorSlicer-style selection)."""
+    from tessera.session import materialize
     feats, cols = _doc_features(spark, sf)
+    feats = materialize(feats)
     m = models.fit_pipeline(feats, models.forest_classifier(cols, "quality", 40, 20, max_depth=8))
     w = models.feature_weights(m, cols, "importance")
     top = models.top_features(w, 3)

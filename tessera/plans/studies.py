@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as X
@@ -35,31 +35,27 @@ def feature_ranking(df: DataFrame, y: str, features: Sequence[str], min_sd: floa
     kept = [r["column"] for r in var]  # one row per feature
     pairs = prep.corr_pairs(clean, kept)
     collinear = bool(prep.collinear_flag(pairs, collinear_at).first()["collinear"])
-    z = prep.standardise(clean.select(y, *kept), [y, *kept]).cache()
-    try:
-        scores = [htest.f_scores(z, y, kept, with_p=False).select("feature", F.col("f").alias("raw"))
-                  .withColumn("method", F.lit("Corr"))]
-        if not collinear:
-            lr = models.fit_pipeline(z, models.linear(kept, y))
-            scores.append(models.feature_weights(lr, kept, "coef", absolute=True)
-                          .select("feature", F.col("weight").alias("raw")).withColumn("method", F.lit("Linear Regression")))
-        la = models.fit_pipeline(z, models.linear(kept, y, lasso_alpha, l1=True))
-        scores.append(models.feature_weights(la, kept, "coef", absolute=False)
-                      .select("feature", F.col("weight").alias("raw")).withColumn("method", F.lit("Lasso")))
-        rf = models.fit_pipeline(z, models.forest_regressor(kept, y, forest_trees, forest_depth, seed=seed))
-        scores.append(models.feature_weights(rf, kept, "importance")
-                      .select("feature", F.col("weight").alias("raw")).withColumn("method", F.lit("Random Forest")))
-        long = joins.union_all(scores)
-        from pyspark.sql import Window
-        w = Window.partitionBy("method")  # one partition per ranking method, |features| rows each
-        lo, hi = F.min("raw").over(w), F.max("raw").over(w)
-        scaled = long.withColumn("score", F.round(F.when(hi == lo, F.lit(0.0))
-                                                  .otherwise((F.col("raw") - lo) / (hi - lo)), 3)).drop("raw")
-        avg = (scaled.groupBy("feature").agg(F.round(F.avg("score"), 3).alias("score"))
-               .withColumn("method", F.lit("avg_scores")))
-        return materialize(scaled.unionByName(avg).select("feature", "method", "score"))
-    finally:
-        z.unpersist()
+    z = materialize(prep.standardise(clean.select(y, *kept), [y, *kept]))
+    scores = [htest.f_scores(z, y, kept, with_p=False).select("feature", F.col("f").alias("raw"))
+              .withColumn("method", F.lit("Corr"))]
+    if not collinear:
+        lr = models.fit_pipeline(z, models.linear(kept, y))
+        scores.append(models.feature_weights(lr, kept, "coef", absolute=True)
+                      .select("feature", F.col("weight").alias("raw")).withColumn("method", F.lit("Linear Regression")))
+    la = models.fit_pipeline(z, models.linear(kept, y, lasso_alpha, l1=True))
+    scores.append(models.feature_weights(la, kept, "coef", absolute=False)
+                  .select("feature", F.col("weight").alias("raw")).withColumn("method", F.lit("Lasso")))
+    rf = models.fit_pipeline(z, models.forest_regressor(kept, y, forest_trees, forest_depth, seed=seed))
+    scores.append(models.feature_weights(rf, kept, "importance")
+                  .select("feature", F.col("weight").alias("raw")).withColumn("method", F.lit("Random Forest")))
+    long = joins.union_all(scores)
+    w = Window.partitionBy("method")  # one partition per ranking method, |features| rows each
+    lo, hi = F.min("raw").over(w), F.max("raw").over(w)
+    scaled = long.withColumn("score", F.round(F.when(hi == lo, F.lit(0.0))
+                                              .otherwise((F.col("raw") - lo) / (hi - lo)), 3)).drop("raw")
+    avg = (scaled.groupBy("feature").agg(F.round(F.avg("score"), 3).alias("score"))
+           .withColumn("method", F.lit("avg_scores")))
+    return materialize(scaled.unionByName(avg).select("feature", "method", "score"))
 
 
 def selected_features(ranking: DataFrame) -> DataFrame:
@@ -111,7 +107,7 @@ def finance(original_order: DataFrame, next_order: DataFrame, last_assort: DataF
 def repay_decision(spark: SparkSession, sf: str, threshold: float = 0.48, num_trees: int = 100,
                    seed: int = 42) -> DataFrame:
     """Purchase model on last month -> scored next month -> finance decision."""
-    train = purchase_model_frame(spark, sf, "last")
+    train = materialize(purchase_model_frame(spark, sf, "last"))
     model = purchase_pipeline(num_trees, seed=seed).fit(train)
     nxt = purchase_model_frame(spark, sf, "next")
     scored = models.with_score(model.transform(nxt)).withColumn("purchased", X.threshold_label("score", threshold))
@@ -127,14 +123,16 @@ def purchase_validation(spark: SparkSession, sf: str, folds: int = 5, num_trees:
                         seed: int = 42) -> DataFrame:
     """AUC per stratified fold of the purchase model."""
     data = purchase_model_frame(spark, sf, "last").withColumn("__row", F.xxhash64("customer_id", "product_id", "genre"))
-    data = sampling.stratified_folds(data, "purchased", ["__row", "customer_id", "product_id"], folds, seed).cache()
-    parts = []
-    for k in range(folds):
-        m = purchase_pipeline(num_trees, seed=seed).fit(data.where(F.col("fold") != k))
-        parts.append(models.with_score(m.transform(data.where(F.col("fold") == k))))
-    out = materialize(evaluate.auc(joins.union_all(parts), "purchased", "score", "fold"))
-    data.unpersist()
-    return out
+    data = materialize(sampling.stratified_folds(data, "purchased", ["__row", "customer_id", "product_id"],
+                                                 folds, seed))
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=folds) as pool:
+        fitted = list(pool.map(lambda k: purchase_pipeline(num_trees, seed=seed).fit(data.where(F.col("fold") != k)),
+                               range(folds)))
+    parts = [models.with_score(m.transform(data.where(F.col("fold") == k))).select("fold", "purchased", "score")
+             for k, m in enumerate(fitted)]
+    scores = materialize(joins.union_all(parts))
+    return materialize(evaluate.auc(scores, "purchased", "score", "fold"))
 
 
 # ------------------------------------------------------------------ C3 A/B report
@@ -247,12 +245,13 @@ def loan_study(spark: SparkSession, sf: str, seed: int = 42, forest_trees: int =
     from concurrent.futures import ThreadPoolExecutor
 
     data, cols = loan_features(spark, sf)
-    split = sampling.stratified_split(data, "default", "id", 0.2, seed).cache()
+    # cut the lineage (orders x customers x nations, imputation, scaling) once;
+    # every fit and every resampling below reads the written table
+    split = materialize(sampling.stratified_split(data, "default", "id", 0.2, seed))
     train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
     n_train = train.count()
-    schemes = {"none": train, "undersample": sampling.undersample(train, "default", "id", seed),
-               "oversample": sampling.oversample(train, "default", "id", seed)}
-    schemes = {k: v.cache() for k, v in schemes.items()}
+    schemes = {"none": train, "undersample": materialize(sampling.undersample(train, "default", "id", seed)),
+               "oversample": materialize(sampling.oversample(train, "default", "id", seed))}
     specs = {"logistic": lambda: models.logistic(cols, "default", n_train),
              "random_forest": lambda: models.forest_classifier(cols, "default", forest_trees, None, max_depth=10,
                                                               seed=seed),
@@ -265,10 +264,8 @@ def loan_study(spark: SparkSession, sf: str, seed: int = 42, forest_trees: int =
         for part, frame in (("train", schemes[sc]), ("test", test)):
             scored.append(models.with_score(m.transform(frame)).select(
                 F.lit(name).alias("model"), F.lit(sc).alias("scheme"), F.lit(part).alias("split"), "default", "score"))
-    out = materialize(evaluate.auc(joins.union_all(scored), "default", "score", ["model", "scheme", "split"]))
-    for c in [split, *schemes.values()]:
-        c.unpersist()
-    return out
+    scores = materialize(joins.union_all(scored))
+    return materialize(evaluate.auc(scores, "default", "score", ["model", "scheme", "split"]))
 
 
 # ------------------------------------------------------------------ C5 regression study
