@@ -131,9 +131,11 @@ def linear(features: Sequence[str], label: str, alpha: float = 0.0, l1: bool = F
 
 def forest_regressor(features: Sequence[str], label: str, num_trees: int = 10, max_depth: int = 30,
                      seed: int = 42) -> list:
-    """Random-forest regressor with all features per split (M4)."""
+    """Random-forest regressor with all features per split (M4). Node ids are
+    cached (and checkpointed in the shared folder) so deep trees do not
+    re-walk every tree for every row at each level."""
     est = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees,
-                                maxDepth=max_depth, featureSubsetStrategy="all", seed=seed)
+                                maxDepth=max_depth, featureSubsetStrategy="all", seed=seed, cacheNodeIds=True)
     return [assembler(features), est]
 
 
@@ -142,7 +144,7 @@ def forest_classifier(features: Sequence[str], label: str, num_trees: int = 100,
     """Random-forest classifier, ``max_features`` candidate features per split (M5)."""
     strategy = str(min(max_features, len(features))) if max_features else "auto"
     est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees,
-                                 featureSubsetStrategy=strategy, maxDepth=max_depth, seed=seed)
+                                 featureSubsetStrategy=strategy, maxDepth=max_depth, seed=seed, cacheNodeIds=True)
     return [assembler(features), est]
 
 
@@ -159,7 +161,7 @@ def gbt(features: Sequence[str], label: str, num_trees: int = 100, max_depth: in
         seed: int = 42) -> list:
     """Gradient-boosted trees classifier (M7)."""
     est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=num_trees, maxDepth=max_depth,
-                        stepSize=step, seed=seed)
+                        stepSize=step, seed=seed, cacheNodeIds=True)
     return [assembler(features), est]
 
 

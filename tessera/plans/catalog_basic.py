@@ -26,13 +26,13 @@ NAMED_PRODUCTS = ("small ring", "red widget", "blue bolt")
 def _sales_totals(spark, sf):
     # aggregate to one row per product before joining the catalogue: the join
     # then sees at most |products| rows per side instead of every sale
-    tot = S.sales(spark, sf).groupBy("product_id").agg(F.sum("quantity").alias("quantity"))
+    tot = S.product_sales(spark, sf).groupBy("product_id").agg(F.sum("quantity").alias("quantity"))
     return tot.join(S.products(spark, sf), "product_id")
 
 
-@query("top_products", "J1 A2 T1", sql="WITH " + Q.SALES.strip() + """
+@query("top_products", "J1 A2 T1", sql="WITH " + Q.PRODUCT_SALES.strip() + """
 SELECT t.product_id, p.product_name, t.quantity
-FROM (SELECT product_id, sum(quantity) AS quantity FROM sales GROUP BY product_id) t
+FROM (SELECT product_id, sum(quantity) AS quantity FROM product_sales GROUP BY product_id) t
 JOIN product p USING (product_id)
 ORDER BY quantity DESC, product_id LIMIT 10""")
 def top_products(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,10 +40,10 @@ def top_products(spark: SparkSession, sf: str) -> DataFrame:
         .select("product_id", "product_name", "quantity")
 
 
-@query("bottom_products", "J1 A2 T2", sql="WITH " + Q.SALES.strip() + """
+@query("bottom_products", "J1 A2 T2", sql="WITH " + Q.PRODUCT_SALES.strip() + """
 SELECT * FROM (
   SELECT t.product_id, p.product_name, t.quantity
-  FROM (SELECT product_id, sum(quantity) AS quantity FROM sales GROUP BY product_id) t
+  FROM (SELECT product_id, sum(quantity) AS quantity FROM product_sales GROUP BY product_id) t
   JOIN product p USING (product_id)
   ORDER BY quantity, product_id LIMIT 10)
 ORDER BY quantity DESC, product_id""")
@@ -52,13 +52,13 @@ def bottom_products(spark, sf):
     return low.orderBy(F.desc("quantity"), "product_id").select("product_id", "product_name", "quantity")
 
 
-@query("catalog_coverage", "P6", sql="WITH " + Q.SALES.strip() + """
+@query("catalog_coverage", "P6", sql="WITH " + Q.PRODUCT_SALES.strip() + """
 SELECT n_used, n_catalogue, round(n_used * 100.0 / n_catalogue, 6) AS pct_used FROM
- (SELECT count(DISTINCT s.product_id) AS n_used FROM sales s SEMI JOIN product p USING (product_id)),
+ (SELECT count(DISTINCT s.product_id) AS n_used FROM product_sales s SEMI JOIN product p USING (product_id)),
  (SELECT count(DISTINCT product_id) AS n_catalogue FROM product)""")
 def catalog_coverage(spark, sf):
     p = S.products(spark, sf)
-    used = S.sales(spark, sf).select("product_id").join(p.select("product_id"), "product_id", "left_semi")
+    used = S.product_sales(spark, sf).select("product_id").join(p.select("product_id"), "product_id", "left_semi")
     return profile.coverage(used, p, "product_id").withColumn("pct_used", F.round("pct_used", 6))
 
 
@@ -89,13 +89,13 @@ def member_item_pivot(spark, sf):
     return wide.select("user_id", *[F.round(e, 4).alias(e) for e in _EVENT_TYPES])
 
 
-@query("named_item_totals", "B8 A1 F4", sql="WITH " + Q.SALES.strip() + """
+@query("named_item_totals", "B8 A1 F4", sql="WITH " + Q.PRODUCT_SALES.strip() + """
 SELECT product_name, sum(quantity) AS quantity
-FROM sales JOIN product USING (product_id)
+FROM product_sales JOIN product USING (product_id)
 WHERE product_name IN ('small ring', 'red widget', 'blue bolt') GROUP BY product_name""")
 def named_item_totals(spark, sf):
     p = S.products(spark, sf).where(F.col("product_name").isin(list(NAMED_PRODUCTS)))
-    return (S.sales(spark, sf).join(p, "product_id")
+    return (S.product_sales(spark, sf).join(p, "product_id")
             .groupBy("product_name").agg(F.sum("quantity").alias("quantity")))
 
 

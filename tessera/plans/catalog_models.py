@@ -34,7 +34,7 @@ _CLEAN_COLS = ("id", "loan_status", "emp_length", "purpose", "addr_state", "home
                "dti", "revol_bal", "log_annual_inc", "log_revol_bal", "total_monthly_debt", "age_credit")
 
 
-@query("clean_loans", "X3 X4 X7 X9 X11 X15 N13 F4 F6", sql="WITH " + Q.CLEAN_LOANS.strip() + """
+@query("clean_loans", "X3 X4 X7 X9 X11 X15 N13 F2 F4 F6", sql="WITH " + Q.CLEAN_LOANS.strip() + """
 SELECT id, loan_status, emp_length, purpose, addr_state, home_ownership, annual_inc, round(dti, 8) AS dti, revol_bal,
        round(log_annual_inc, 8) AS log_annual_inc, round(log_revol_bal, 8) AS log_revol_bal,
        total_monthly_debt, age_credit FROM clean_loans""")
@@ -306,7 +306,7 @@ def ols_fit_stats(spark, sf):
                                    round(st["f"], 4))], "n long, r2 double, adj_r2 double, rmse double, f double")
 
 
-@query("ols_two_predictors", "M1", sql="WITH " + Q.DOGS.strip() + """,
+@query("ols_two_predictors", "M1 X12", sql="WITH " + Q.DOGS.strip() + """,
 d AS (SELECT weight AS y, height AS x1, CAST(gender = 'male' AS DOUBLE) AS x2 FROM dogs),
 m AS (SELECT avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, count(*) AS n FROM d),
 s AS (SELECT sum((x1 - m1) * (x1 - m1)) AS s11, sum((x2 - m2) * (x2 - m2)) AS s22, sum((x1 - m1) * (x2 - m2)) AS s12,
@@ -435,7 +435,7 @@ def repay_decision(spark, sf):
     return studies.repay_decision(spark, sf)
 
 
-@query("loan_study", "C4 M5 M6 M7 E5 R2 R4 R5 N5 N8 N9")
+@query("loan_study", "C4 M5 M6 M7 E5 R2 R4 R5 N5 N8 N9 J6")
 def loan_study(spark, sf):
     return studies.loan_study(spark, sf)
 

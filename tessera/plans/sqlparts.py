@@ -69,6 +69,10 @@ dogs AS (
          CASE WHEN l_linestatus = 'F' THEN 'male' ELSE 'female' END AS gender
   FROM lineitem)"""
 
+PRODUCT_SALES = """
+product_sales AS (SELECT l_partkey AS product_id, l_quantity AS quantity FROM lineitem),
+product AS (SELECT p_partkey AS product_id, p_name AS product_name FROM part)"""
+
 SALES = """
 sales AS (
   SELECT o_custkey AS member_id, l_partkey AS product_id, l_quantity AS quantity

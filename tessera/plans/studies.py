@@ -317,9 +317,9 @@ def sales_study(spark: SparkSession, sf: str, top: int = 10) -> DataFrame:
     """Coverage, top and bottom products, buyer buckets (C6) as one long table
     (section, item, value). Rules are reported by the basket queries."""
     from tessera.operators import profile
-    sales, prod = S.sales(spark, sf), S.products(spark, sf)
-    tot = sales.groupBy("product_id").agg(F.sum("quantity").alias("quantity")).join(prod, "product_id")
-    cov = profile.coverage(sales.select("product_id").join(prod.select("product_id"), "product_id", "left_semi"),
+    sales, prod, lines = S.sales(spark, sf), S.products(spark, sf), S.product_sales(spark, sf)
+    tot = lines.groupBy("product_id").agg(F.sum("quantity").alias("quantity")).join(prod, "product_id")
+    cov = profile.coverage(lines.select("product_id").join(prod.select("product_id"), "product_id", "left_semi"),
                            prod, "product_id")
     parts = [cov.select(F.lit("coverage").alias("section"), F.lit("pct_used").alias("item"),
                         F.col("pct_used").alias("value"))]

@@ -101,6 +101,12 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("l_quantity").alias("quantity")))
 
 
+def product_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales lines without the member: product-level questions need no join to orders."""
+    li = load(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("quantity"))
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"),
                                               F.col("p_name").alias("product_name"))
