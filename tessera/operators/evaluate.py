@@ -31,7 +31,7 @@ def roc_points(df: DataFrame, label: str, score: str, scope: Sequence[str] | str
     st = _score_table(df, label, score, scope).withColumn("neg_score", -F.col("score"))
     above = cumulative_counts(st, scope, "neg_score", ["pos", "neg"], out=["__pos_above", "__neg_above"])
     tot = (st.groupBy(*scope) if scope else st).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
-    j = above.join(F.broadcast(tot), scope) if scope else attach_scalars(above, tot)
+    j = above.join(tot, scope) if scope else attach_scalars(above, tot)
     tp = F.col("__pos_above") + F.col("pos")
     fp = F.col("__neg_above") + F.col("neg")
     return j.select(*scope, F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),

@@ -96,7 +96,8 @@ def levene(df: DataFrame, group: str, value: str, scope: Sequence[str] | str | N
     else:
         from tessera.operators.rank import exact_quantiles
         c = exact_quantiles(df, value, [0.5], keys, weight=weight).select(*keys, F.col("q").alias("__c"))
-    z = df.join(F.broadcast(c), keys).withColumn("__z", F.abs(x - F.col("__c")))
+    # one row per (scope, group); AQE broadcasts it when its runtime size is small
+    z = df.join(c, keys).withColumn("__z", F.abs(x - F.col("__c")))
     out = _anova_of(z, scope, group, "__z", weight)
     if with_p:
         out = out.withColumn("p_value", dist.f_sf_col("f", "df1", "df2"))
@@ -154,7 +155,6 @@ def mann_whitney(df: DataFrame, group: str, value: str, scope: Sequence[str] | s
     groups = hist.select(*scope, group).distinct()
     pairs = _pairs(groups, scope, group).select(*[F.col(c).alias(f"__p_{c}") for c in scope],
                                                  "group_a", "group_b")
-    pairs = F.broadcast(pairs)  # one row per pair of groups: bounded by the number of groups
     on = [F.col(c) == F.col(f"__p_{c}") for c in scope]
     in_a = hist.join(pairs, on + [F.col(group) == F.col("group_a")])
     in_b = hist.join(pairs, on + [F.col(group) == F.col("group_b")])
@@ -273,7 +273,7 @@ def residual_moments(df: DataFrame, y: str, factor: str | None, scope: Sequence[
     base = df.where(yy.isNotNull())
     m = (base.groupBy(*keys) if keys else base).agg((F.sum(w * yy) / F.sum(w)).alias("__m"))
     from tessera.operators._util import attach_scalars
-    r = (base.join(F.broadcast(m), keys) if keys else attach_scalars(base, m)).withColumn("__e", yy - F.col("__m"))
+    r = (base.join(m, keys) if keys else attach_scalars(base, m)).withColumn("__e", yy - F.col("__m"))
     e = F.col("__e")
     sw = F.sum(w)
     agg = [sw.cast("long").alias("n"), (F.sum(w * e * e) / sw).alias("m2"), (F.sum(w * e * e * e) / sw).alias("m3"),

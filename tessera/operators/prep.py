@@ -38,20 +38,22 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean",
     """Replace nulls by the column mean or exact median.
 
     The statistics are one aggregate row (or one row per group) attached by a
-    broadcast join; ML's ``Imputer`` median is approximate, this one is exact.
+    join; the exact medians come from the distributed rank machinery (ML's
+    ``Imputer`` median is approximate).
     """
     by = as_list(by)
     if strategy == "mean":
         stats = [F.avg(c).alias(f"__fill_{i}") for i, c in enumerate(cols)]
+        st = df.groupBy(*by).agg(*stats) if by else df.agg(*stats)
     elif strategy == "median":
-        stats = [F.percentile(c, 0.5).alias(f"__fill_{i}") for i, c in enumerate(cols)]
+        from tessera.operators.rank import column_quantiles
+        q = column_quantiles(df, cols, [0.5], by)
+        st = q.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"__fill_{i}")
+                                  for i, c in enumerate(cols)]) if by else \
+            q.agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"__fill_{i}") for i, c in enumerate(cols)])
     else:
         raise ValueError(strategy)
-    if by:
-        st = df.groupBy(*by).agg(*stats)
-        base = df.join(st, by, "left")
-    else:
-        base = attach_scalars(df, df.agg(*stats))
+    base = df.join(st, by, "left") if by else attach_scalars(df, st)
     # like pandas, a column that had missing values becomes floating point
     for i, c in enumerate(cols):
         base = base.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__fill_{i}").cast("double")))

@@ -81,25 +81,34 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] | str
                      exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """count, mean, sd, min, q1, median, q3, max per column, optionally per group.
 
-    ``exact`` uses ``percentile`` (linear interpolation, as pandas/R); it buffers a
-    value->count map per group, which suits counts and rounded amounts. For
-    continuous data at scale pass ``exact=False`` (``percentile_approx``).
+    Moments come from one wide aggregate. ``exact`` quartiles (linear
+    interpolation, as pandas/R) come from the distributed rank machinery, so no
+    task buffers all values of a group; ``exact=False`` uses ``percentile_approx``.
     """
+    from tessera.operators.rank import column_quantiles, quartile_columns
     by = as_list(by)
     aggs = []
     for i, c in enumerate(cols):
-        q = (F.percentile(c, [0.25, 0.5, 0.75]) if exact
-             else F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy))
         aggs += [F.count(c).alias(f"__cnt{i}"), F.avg(c).alias(f"__mean{i}"),
                  F.stddev_samp(c).alias(f"__sd{i}"), F.min(c).cast("double").alias(f"__min{i}"),
-                 q.alias(f"__q{i}"), F.max(c).cast("double").alias(f"__max{i}")]
+                 F.max(c).cast("double").alias(f"__max{i}")]
+        if not exact:
+            aggs.append(F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).alias(f"__q{i}"))
     wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    entries = {c: {"count": F.col(f"__cnt{i}"), "mean": F.col(f"__mean{i}"),
-                   "std": F.col(f"__sd{i}"), "min": F.col(f"__min{i}"),
-                   "q1": F.col(f"__q{i}")[0].cast("double"), "median": F.col(f"__q{i}")[1].cast("double"),
-                   "q3": F.col(f"__q{i}")[2].cast("double"), "max": F.col(f"__max{i}")}
-               for i, c in enumerate(cols)}
-    return unpivot_row(wide, by, entries)
+    entries = {}
+    for i, c in enumerate(cols):
+        e = {"count": F.col(f"__cnt{i}"), "mean": F.col(f"__mean{i}"), "std": F.col(f"__sd{i}"),
+             "min": F.col(f"__min{i}"), "max": F.col(f"__max{i}")}
+        if not exact:
+            e.update({"q1": F.col(f"__q{i}")[0].cast("double"), "median": F.col(f"__q{i}")[1].cast("double"),
+                      "q3": F.col(f"__q{i}")[2].cast("double")})
+        entries[c] = e
+    stats = unpivot_row(wide, by, entries)
+    order = [*by, "column", "count", "mean", "std", "min", "q1", "median", "q3", "max"]
+    if not exact:
+        return stats.select(*order)
+    q = quartile_columns(column_quantiles(df, cols, [0.25, 0.5, 0.75], by), [*by, "column"])
+    return stats.join(q, [*by, "column"], "left").select(*order)
 
 
 def describe_category(df: DataFrame, col: str, by: Sequence[str] | str | None = None) -> DataFrame:

@@ -23,25 +23,36 @@ from tessera.operators._util import as_list, attach_scalars
 
 
 def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
-                      n_buckets: int = 256, out="below") -> DataFrame:
+                      n_buckets: int = 128, sub_buckets: int = 64, out="below") -> DataFrame:
     """Add ``out`` = sum of ``count`` over strictly smaller ``value`` in the same scope.
 
     ``ties`` has one row per (scope, value). ``count``/``out`` may be lists to
-    accumulate several columns in the same pass. Bucket boundaries are
-    approximate quantiles of the distinct values; the cumulative counts
-    themselves are exact whatever the boundaries are.
+    accumulate several columns in the same pass.
+
+    Buckets are two-level: ``n_buckets`` quantile buckets from one
+    ``percentile_approx`` aggregate (a bounded sketch, attached as a one-row
+    broadcast, so the plan stays lazy), each cut into ``sub_buckets``
+    equal-width pieces by arithmetic — n_buckets x sub_buckets ordered buckets
+    for n_buckets + 1 comparisons per row. The cumulative counts are exact
+    whatever the boundaries are; the boundaries only balance the work.
     """
     scope = as_list(scope)
     counts = [count] if isinstance(count, str) else list(count)
     outs = [out] if isinstance(out, str) else list(out)
     vd = "__vd"
     base = ties.withColumn(vd, F.col(value).cast("double"))
-    # bucket boundaries: one distributed percentile_approx aggregate (a bounded
-    # sketch), attached as a one-row broadcast -- the plan stays lazy
     probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
-    splits = base.agg(F.percentile_approx(vd, probs, max(10000, 4 * n_buckets)).alias("__splits"))
-    tb = attach_scalars(base, splits)
-    tb = tb.withColumn("__b", F.size(F.filter("__splits", lambda c: c < F.col(vd)))).drop("__splits")
+    bounds = base.agg(F.percentile_approx(vd, probs, max(10000, 4 * n_buckets)).alias("__splits"),
+                      F.min(vd).alias("__vmin"), F.max(vd).alias("__vmax"))
+    tb = attach_scalars(base, bounds)
+    edges = F.concat(F.array(F.col("__vmin")), F.col("__splits"), F.array(F.col("__vmax")))
+    coarse = F.size(F.filter("__splits", lambda c: c < F.col(vd)))
+    lo = F.element_at(edges, coarse + 1)
+    hi = F.element_at(edges, coarse + 2)
+    fine = F.when(hi > lo, F.least(F.lit(sub_buckets - 1),
+                                   F.floor((F.col(vd) - lo) / (hi - lo) * sub_buckets).cast("int"))).otherwise(0)
+    tb = (tb.withColumn("__c", coarse).withColumn("__b", F.col("__c") * sub_buckets + fine.cast("int"))
+          .drop("__splits", "__vmin", "__vmax", "__c"))
     btot = tb.groupBy(*scope, "__b").agg(*[F.sum(c).alias(f"__bt{i}") for i, c in enumerate(counts)])
     w_off = Window.partitionBy(*scope).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     boff = btot.select(*scope, "__b", *[F.coalesce(F.sum(f"__bt{i}").over(w_off), F.lit(0)).alias(f"__off{i}")
@@ -66,7 +77,7 @@ def histogram_by(df: DataFrame, scope: Sequence[str], group: str | None, value:
             .groupBy(*scope, *g, F.col(value).alias("__v")).agg(n.alias("__n")))
 
 
-def midranks(hist: DataFrame, scope: Sequence[str], n_buckets: int = 256) -> tuple[DataFrame, DataFrame]:
+def midranks(hist: DataFrame, scope: Sequence[str], n_buckets: int = 128) -> tuple[DataFrame, DataFrame]:
     """Mid-ranks of the values in ``hist`` (columns scope..., [group], __v, __n).
 
     Returns (hist with ``midrank``, ties table (scope, __v, __t, __below, midrank)).
@@ -87,7 +98,7 @@ def tie_term(ties: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    scope: Sequence[str] | str | None = None, n_buckets: int = 256,
+                    scope: Sequence[str] | str | None = None, n_buckets: int = 128,
                     weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / R type 7, DuckDB
     ``quantile_cont``) without gathering a group's values in one task.
@@ -114,3 +125,22 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                 F.first(pos - lo).alias("__frac")))
     return agg.select(*scope, "p",
                       (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias("q"))
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                     by: Sequence[str] | str | None = None, n_buckets: int = 128) -> DataFrame:
+    """Exact quantiles of several columns at once: (by..., column, p, q).
+
+    The columns are unpivoted to (column, value) and ranked with ``column`` as an
+    outer scope, so one pipeline serves every column."""
+    by = as_list(by)
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("__val")) for c in cols])
+    long = df.select(*by, F.explode(items).alias("__s")).select(*by, "__s.*")
+    return exact_quantiles(long, "__val", probs, [*by, "column"], n_buckets)
+
+
+def quartile_columns(q: DataFrame, keys: Sequence[str], names=("q1", "median", "q3"),
+                     probs=(0.25, 0.5, 0.75)) -> DataFrame:
+    """Long (keys, p, q) -> one row per key with a column per probability."""
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(n)
+                                  for n, p in zip(names, probs)])

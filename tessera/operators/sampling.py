@@ -43,7 +43,7 @@ def hash_split(df: DataFrame, key: Sequence[str] | str, test_fraction: float = 0
 
 
 def class_ranks(df: DataFrame, label: str, key: Sequence[str] | str, seed: int = 42,
-                n_buckets: int = 256, out: str = "class_rank") -> DataFrame:
+                n_buckets: int = 128, out: str = "class_rank") -> DataFrame:
     """Dense 1-based rank of each row within its class in hash order, plus the
     class size ``class_n``. Hash values are (near) unique, so ties are broken
     by the key itself."""
@@ -54,7 +54,7 @@ def class_ranks(df: DataFrame, label: str, key: Sequence[str] | str, seed: int =
     ties = base.groupBy(label, "__u").agg(F.count(F.lit(1)).alias("__t"))
     cum = cumulative_counts(ties, [label], "__u", "__t", n_buckets, out="__below")
     sizes = ties.groupBy(label).agg(F.sum("__t").alias("class_n"))
-    ranked = base.join(cum.select(label, "__u", "__below"), [label, "__u"]).join(F.broadcast(sizes), label)
+    ranked = base.join(cum.select(label, "__u", "__below"), [label, "__u"]).join(sizes, label)
     from pyspark.sql import Window
     # rows sharing a hash value (collisions) get consecutive ranks; the window
     # partition is one hash value, i.e. one or very few rows

@@ -111,7 +111,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10, by: Sequence[str] | str
     by = as_list(by)
     v = F.col(value).cast("double")
     rng = (df.groupBy(*by) if by else df).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-    base = df.join(F.broadcast(rng), by) if by else attach_scalars(df, rng)
+    base = df.join(rng, by) if by else attach_scalars(df, rng)
     width = F.col("__hi") - F.col("__lo")
     raw = F.floor((v - F.col("__lo")) / width * F.lit(bins))
     b = F.when(width == 0, F.lit(0)).otherwise(F.least(F.lit(bins - 1), raw)).cast("long")
@@ -157,11 +157,10 @@ def kde(df: DataFrame, value: str, grid: int = 64, prebins: int = 1024, cut: flo
 def box_summary(df: DataFrame, value: str, by: Sequence[str] | str | None = None,
                 whisker: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at ``whisker`` x IQR and the outlier count per group (D3h)."""
+    from tessera.operators.rank import exact_quantiles, quartile_columns
     by = as_list(by)
     v = F.col(value).cast("double")
-    q = (df.groupBy(*by) if by else df).agg(F.percentile(v, [0.25, 0.5, 0.75]).alias("__q"))
-    q = q.select(*by, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                 F.col("__q")[2].alias("q3"))
+    q = quartile_columns(exact_quantiles(df, value, [0.25, 0.5, 0.75], by), by)
     base = df.join(q, by) if by else attach_scalars(df, q)
     iqr = F.col("q3") - F.col("q1")
     lo_f = F.col("q1") - whisker * iqr

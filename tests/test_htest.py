@@ -199,3 +199,15 @@ def test_frequency_table_path_equals_raw_rows(spark):
     a = sorted(r["jarque_bera"] for r in htest.residual_moments(df, "v", "g", "s").collect())
     b = sorted(r["jarque_bera"] for r in htest.residual_moments(freq, "v", "g", "s", weight="count").collect())
     assert a == pytest.approx(b, rel=1e-9)
+
+
+def test_cumulative_counts_exact_under_skew(spark):
+    """One value holds a third of the rows, the rest is continuous."""
+    from tessera.operators.rank import cumulative_counts
+    rnd = random.Random(23)
+    vals = [5.0] * 300 + [rnd.lognormvariate(0, 2) for _ in range(600)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    ties = df.groupBy("v").count()
+    got = {r["v"]: r["below"] for r in cumulative_counts(ties, [], "v", "count", n_buckets=16, sub_buckets=4).collect()}
+    for v, below in got.items():
+        assert below == sum(1 for x in vals if x < v)
