@@ -158,7 +158,7 @@ def key_check(spark, sf):
 
 
 @query("value_shares", "P7 P8", sql="""
-SELECT o_orderpriority, count(*) AS n, sum(count(*)) OVER () AS n_total,
+SELECT o_orderpriority, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS n_total,
        round(count(*) / sum(count(*)) OVER (), 6) AS share
 FROM orders GROUP BY o_orderpriority""")
 def value_shares(spark, sf):

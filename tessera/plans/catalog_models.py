@@ -77,7 +77,8 @@ def missing_policy(spark, sf):
     li = S.lineitem_with_nulls(spark, sf)
     policy, out = prep.missing_policy(li, list(_IMP))
     n_in = li.count()
-    return out.agg(F.lit(policy).alias("policy"), F.lit(n_in).alias("n_in"), F.count(F.lit(1)).alias("n_out"),
+    return out.agg(F.lit(policy).alias("policy"), F.lit(n_in).cast("long").alias("n_in"),
+                   F.count(F.lit(1)).alias("n_out"),
                    F.round(F.sum("l_discount"), 4).alias("sum_discount"), F.round(F.sum("l_tax"), 4).alias("sum_tax"))
 
 

@@ -57,7 +57,8 @@ clean_loans AS (
          log10(annual_inc + 1) AS log_annual_inc,
          log10(revol_bal + 1) AS log_revol_bal,
          round_even(dti / 100 * annual_inc / 12, 0) AS total_monthly_debt,
-         year(TRY_STRPTIME(apply_date, '%m/%d/%Y')) - year(TRY_STRPTIME(earliest_cr_line, '%m/%d/%Y')) AS age_credit
+         CAST(year(TRY_STRPTIME(apply_date, '%m/%d/%Y')) - year(TRY_STRPTIME(earliest_cr_line, '%m/%d/%Y'))
+              AS INTEGER) AS age_credit
   FROM loans
   WHERE loan_status IN ('Charged Off', 'Late (31-120 days)', 'Default',
                         'Does not meet the credit policy. Status:Charged Off',
