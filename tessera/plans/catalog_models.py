@@ -400,7 +400,21 @@ def enrich_assortment(spark, sf):
                                                      F.sum("purchased").cast("long").alias("n_purchased"))
 
 
-@query("sales_study", "C6 J1 P6 T1 T2 A6 X13 A9")
+@query("sales_study", "C6 J1 P6 T1 T2 A6 X13 A9", sql="WITH " + Q.PRODUCT_SALES.strip() + ",\n" + Q.SALES.strip().replace(
+    ",\nproduct AS (SELECT p_partkey AS product_id, p_name AS product_name FROM part)", "") + """,
+tot AS (SELECT t.product_id, p.product_name, t.quantity
+        FROM (SELECT product_id, sum(quantity) AS quantity FROM product_sales GROUP BY 1) t JOIN product p USING (product_id)),
+cov AS (SELECT (SELECT count(DISTINCT s.product_id) FROM product_sales s SEMI JOIN product USING (product_id)) * 100.0
+               / (SELECT count(DISTINCT product_id) FROM product) AS pct),
+pm AS (SELECT member_id, sum(quantity) AS quantity FROM sales GROUP BY 1),
+lab AS (SELECT CASE WHEN quantity >= 10 THEN '>=10' ELSE CAST(CAST(quantity AS BIGINT) AS VARCHAR) END AS label,
+               count(*) AS n FROM pm GROUP BY 1)
+SELECT 'coverage' AS section, 'pct_used' AS item, round(pct, 6) AS value FROM cov
+UNION ALL SELECT * FROM (SELECT 'top', concat_ws(':', CAST(product_id AS VARCHAR), product_name), round(quantity, 6)
+                         FROM tot ORDER BY quantity DESC, product_id LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'bottom', concat_ws(':', CAST(product_id AS VARCHAR), product_name), round(quantity, 6)
+                         FROM tot ORDER BY quantity, product_id LIMIT 10)
+UNION ALL SELECT 'buyer_bucket_pct', label, round(n * 100.0 / sum(n) OVER (), 6) FROM lab""")
 def sales_study(spark, sf):
     return studies.sales_study(spark, sf)
 
