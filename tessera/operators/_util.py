@@ -19,14 +19,15 @@ def as_list(x) -> list:
 def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
 
-    The one-row side is broadcast through an equi-join on a constant key, so the
-    large side is neither shuffled nor cross-joined; the broadcast is one row by
-    construction (a global aggregate).
+    The aggregate becomes an uncorrelated scalar subquery (one struct): Spark
+    runs it once, before the main plan, and inlines the value — no join, no
+    cross join, and the large side is never shuffled. ``scalars`` must hold
+    exactly one row (a global aggregate always does).
     """
-    k = "__attach_key"
-    return (df.withColumn(k, F.lit(1))
-            .join(F.broadcast(scalars.withColumn(k, F.lit(1))), k)
-            .drop(k))
+    cols = scalars.columns
+    packed = scalars.select(F.struct(*[F.col(c) for c in cols]).alias("__scalars")).scalar()
+    return df.withColumn("__scalars", packed).select(
+        "*", *[F.col("__scalars")[c].alias(c) for c in cols]).drop("__scalars")
 
 
 def unpivot_row(df: DataFrame, keep: Sequence[str], groups: dict[str, dict[str, Column]],

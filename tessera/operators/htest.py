@@ -135,14 +135,15 @@ def _one_join(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _pairs(groups: DataFrame, scope: list[str], group: str) -> DataFrame:
-    """(scope, group_a, group_b) with group_a < group_b, from the distinct groups
-    (bounded by the number of groups, not rows)."""
-    keys = scope or ["__one"]
-    g = groups.withColumn("__one", F.lit(1)) if not scope else groups
-    a = g.select(*keys, F.col(group).alias("group_a"))
-    b = g.select(*keys, F.col(group).alias("group_b"))
-    out = a.join(b, keys).where(F.col("group_a") < F.col("group_b"))
-    return out if scope else out.drop("__one")
+    """(scope, group_a, group_b) with group_a < group_b for every pair of groups
+    of a scope. Built from the sorted list of group labels per scope (one
+    short array: a test compares a handful of groups), so no join is needed."""
+    per = (groups.groupBy(*scope) if scope else groups).agg(F.sort_array(F.collect_set(group)).alias("__gs"))
+    gs = F.col("__gs")
+    pairs = F.flatten(F.transform(gs, lambda a, i: F.transform(
+        F.slice(gs, i + 2, F.greatest(F.size(gs) - i - 1, F.lit(0))),
+        lambda b: F.struct(a.alias("group_a"), b.alias("group_b")))))
+    return per.select(*scope, F.explode(pairs).alias("__p")).select(*scope, "__p.group_a", "__p.group_b")
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, scope: Sequence[str] | str | None = None,
@@ -200,12 +201,7 @@ def conover(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
                       (F.col("__Ri") / F.col("__ni")).alias("__rbar_a"))
     gb = per_g.select(*scope, F.col(group).alias("group_b"), F.col("__ni").alias("n_b"),
                       (F.col("__Ri") / F.col("__ni")).alias("__rbar_b"))
-    keys = scope or ["__one"]
-    if not scope:
-        ga, gb = ga.withColumn("__one", F.lit(1)), gb.withColumn("__one", F.lit(1))
-    pr = ga.join(gb, keys).where(F.col("group_a") < F.col("group_b"))
-    if not scope:
-        pr = pr.drop("__one")
+    pr = _pairs(per_g.select(*scope, group), scope, group).join(ga, [*scope, "group_a"]).join(gb, [*scope, "group_b"])
     pr = pr.join(s, scope) if scope else _one_join(pr, s)
     denom = F.sqrt(F.col("__s2") * (n - 1 - F.col("__h")) / (n - F.col("k"))
                    * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))
