@@ -30,29 +30,31 @@ def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
     accumulate several columns in the same pass.
 
     Buckets are two-level: ``n_buckets`` quantile buckets from one
-    ``percentile_approx`` aggregate (a bounded sketch, attached as a one-row
-    broadcast, so the plan stays lazy), each cut into ``sub_buckets``
-    equal-width pieces by arithmetic — n_buckets x sub_buckets ordered buckets
-    for n_buckets + 1 comparisons per row. The cumulative counts are exact
-    whatever the boundaries are; the boundaries only balance the work.
+    ``percentile_approx`` aggregate (a bounded sketch; its n_buckets + 1 numbers
+    are the only thing that reaches the driver), each cut into ``sub_buckets``
+    equal-width pieces. A ``Bucketizer`` assigns the n_buckets x sub_buckets
+    ordered buckets by binary search. The cumulative counts are exact whatever
+    the boundaries are; the boundaries only balance the work.
     """
+    from pyspark.ml.feature import Bucketizer
+
     scope = as_list(scope)
     counts = [count] if isinstance(count, str) else list(count)
     outs = [out] if isinstance(out, str) else list(out)
     vd = "__vd"
     base = ties.withColumn(vd, F.col(value).cast("double"))
     probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
-    bounds = base.agg(F.percentile_approx(vd, probs, max(10000, 4 * n_buckets)).alias("__splits"),
-                      F.min(vd).alias("__vmin"), F.max(vd).alias("__vmax"))
-    tb = attach_scalars(base, bounds)
-    edges = F.concat(F.array(F.col("__vmin")), F.col("__splits"), F.array(F.col("__vmax")))
-    coarse = F.size(F.filter("__splits", lambda c: c < F.col(vd)))
-    lo = F.element_at(edges, coarse + 1)
-    hi = F.element_at(edges, coarse + 2)
-    fine = F.when(hi > lo, F.least(F.lit(sub_buckets - 1),
-                                   F.floor((F.col(vd) - lo) / (hi - lo) * sub_buckets).cast("int"))).otherwise(0)
-    tb = (tb.withColumn("__c", coarse).withColumn("__b", F.col("__c") * sub_buckets + fine.cast("int"))
-          .drop("__splits", "__vmin", "__vmax", "__c"))
+    b = base.agg(F.percentile_approx(vd, probs, max(10000, 4 * n_buckets)).alias("s"),
+                 F.min(vd).alias("lo"), F.max(vd).alias("hi")).first()
+    splits = [float("-inf"), float("inf")]
+    if b["lo"] is not None:
+        edges = sorted({float(b["lo"]), *[float(x) for x in (b["s"] or [])], float(b["hi"])})
+        inner = set(edges)
+        for lo, hi in zip(edges, edges[1:]):
+            step = (hi - lo) / sub_buckets
+            inner.update(lo + j * step for j in range(1, sub_buckets))
+        splits = [float("-inf"), *sorted(inner), float("inf")]
+    tb = Bucketizer(splits=splits, inputCol=vd, outputCol="__b", handleInvalid="keep").transform(base)
     btot = tb.groupBy(*scope, "__b").agg(*[F.sum(c).alias(f"__bt{i}") for i, c in enumerate(counts)])
     w_off = Window.partitionBy(*scope).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     boff = btot.select(*scope, "__b", *[F.coalesce(F.sum(f"__bt{i}").over(w_off), F.lit(0)).alias(f"__off{i}")
