@@ -304,3 +304,30 @@ def fit_count_models(df: DataFrame, group: str, y: str, scope: Sequence[str] | s
 
     out = tab.groupBy(*key).applyInPandas(run, schema)
     return out.drop("__all") if not scope else out
+
+
+def poisson_contrasts(df: DataFrame, group: str, y: str, scope: Sequence[str] | str | None = None) -> DataFrame:
+    """Poisson GLM coefficients under sum-to-zero contrasts, pure Spark.
+
+    With one factor the fitted log-means are the log group means eta_g with
+    variance 1/sum(y_g). Intercept = mean of eta_g; effect j = eta_j - intercept
+    for the first k-1 groups in label order. Windows run over the k groups of a
+    scope only.
+    """
+    from pyspark.sql import Window
+    scope = as_list(scope)
+    g = poisson_means(df, group, y, scope).withColumn("__inv", F.try_divide(F.lit(1.0), F.col("total")))
+    w = Window.partitionBy(*scope)
+    g = (g.withColumn("__k", F.count(F.lit(1)).over(w))
+         .withColumn("__b0", F.avg("eta").over(w))
+         .withColumn("__sinv", F.sum("__inv").over(w))
+         .withColumn("__j", F.row_number().over(w.orderBy("group"))))
+    k = F.col("__k").cast("double")
+    icpt = (g.where(F.col("__j") == 1)
+            .select(*scope, F.lit("(Intercept)").alias("term"), F.col("__b0").alias("estimate"),
+                    F.sqrt(F.col("__sinv") / (k * k)).alias("std_err")))
+    eff = (g.where(F.col("__j") < F.col("__k"))
+           .select(*scope, F.concat(F.lit("group"), F.col("__j").cast("string")).alias("term"),
+                   (F.col("eta") - F.col("__b0")).alias("estimate"),
+                   F.sqrt((1 - 2 / k) * F.col("__inv") + F.col("__sinv") / (k * k)).alias("std_err")))
+    return icpt.unionByName(eff)

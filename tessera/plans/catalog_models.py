@@ -591,3 +591,55 @@ def importances(spark, sf):
     m2 = models.fit_pipeline(feats, models.forest_classifier(top, "quality", 40, 20, max_depth=8))
     a = evaluate.auc(models.with_score(m2.transform(feats)), "quality", "score").first()["auc"]
     return w.withColumn("selected", F.col("feature").isin(top)).withColumn("auc_top_features", F.lit(a))
+
+
+@query("poisson_fit", "M11 N14", sql="WITH " + Q.FIRST_VISITS.strip() + """,
+g AS (SELECT device_type, variant, ln(avg(shopping_pageviews)) AS eta, 1.0 / sum(shopping_pageviews) AS inv
+      FROM first_visits GROUP BY 1, 2),
+s AS (SELECT device_type, count(*) AS k, avg(eta) AS b0, sum(inv) AS sinv FROM g GROUP BY 1),
+r AS (SELECT g.*, s.k, s.b0, s.sinv, row_number() OVER (PARTITION BY g.device_type ORDER BY variant) AS j
+      FROM g JOIN s USING (device_type))
+SELECT device_type, '(Intercept)' AS term, round(b0, 8) AS estimate, round(sqrt(sinv / (k * k)), 8) AS std_err
+FROM r WHERE j = 1
+UNION ALL
+SELECT device_type, 'group' || CAST(j AS VARCHAR), round(eta - b0, 8), round(sqrt((1 - 2.0 / k) * inv + sinv / (k * k)), 8)
+FROM r WHERE j < k""")
+def poisson_fit(spark, sf):
+    from tessera.operators import counts
+    out = counts.poisson_contrasts(first_visits(spark, sf), "variant", "shopping_pageviews", "device_type")
+    return out.select("device_type", "term", F.round("estimate", 8).alias("estimate"),
+                      F.round("std_err", 8).alias("std_err"))
+
+
+def _count_part(spark, sf, model):
+    from tessera.operators import counts
+    out = counts.fit_count_models(first_visits(spark, sf), "variant", "shopping_pageviews", "device_type")
+    return out.where(F.col("model") == model)
+
+
+@query("zip_fit", "M12")
+def zip_fit(spark, sf):
+    return _count_part(spark, sf, "zip")
+
+
+@query("zinb_fit", "M13")
+def zinb_fit(spark, sf):
+    return _count_part(spark, sf, "zinb")
+
+
+@query("vuong", "M14")
+def vuong(spark, sf):
+    return _count_part(spark, sf, "vuong")
+
+
+@query("factor_wald", "M15")
+def factor_wald(spark, sf):
+    return _count_part(spark, sf, "wald")
+
+
+@query("holm", "H7 H8")
+def holm(spark, sf):
+    """Pairwise Mann-Whitney p-values per device with Holm's step-down adjustment."""
+    from tessera.operators import htest
+    mw = htest.mann_whitney(first_visits(spark, sf), "variant", "shopping_pageviews", "device_type")
+    return htest.holm(mw, "p_value", "device_type", tiebreak=["group_a", "group_b"])

@@ -97,3 +97,15 @@ def test_zip_closed_form_equation(spark):
     # lambda / (1 - exp(-lambda)) equals the mean of positives
     assert lam / (1 - math.exp(-lam)) == pytest.approx(700 / 400, rel=1e-9)
     assert (1 - pi) * (1 - math.exp(-lam)) == pytest.approx(400 / 1000, rel=1e-9)
+
+
+def test_poisson_contrasts_match_count_models(spark):
+    rnd = random.Random(5)
+    rows = [(g, int(rnd.random() * k)) for g, k in (("a", 3), ("b", 5), ("c", 2)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, y int")
+    a = {r["term"]: (r["estimate"], r["std_err"]) for r in counts.poisson_contrasts(df, "g", "y").collect()}
+    full = counts.fit_count_models(df, "g", "y").toPandas()
+    b = full[full.model == "poisson"].set_index("term")
+    for t, (est, se) in a.items():
+        assert est == pytest.approx(b.loc[t, "estimate"], rel=1e-9)
+        assert se == pytest.approx(b.loc[t, "std_err"], rel=1e-9)
