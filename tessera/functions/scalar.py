@@ -120,12 +120,6 @@ def collapse_rare(c, values: Iterable, other: str = "OTHER") -> Column:
     return F.when(col.isin(list(values)), F.lit(other)).otherwise(col)
 
 
-def positive_probability(prob_col="probability") -> Column:
-    """Probability of class 1 from an ML probability vector."""
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(_c(prob_col))[1]
-
-
 def threshold_label(score, t: float) -> Column:
     """Strict ``score > t`` as 0/1."""
     return (_c(score) > F.lit(t)).cast("int")

@@ -318,9 +318,11 @@ def poisson_contrasts(df: DataFrame, group: str, y: str, scope: Sequence[str] |
     scope = as_list(scope)
     g = poisson_means(df, group, y, scope).withColumn("__inv", F.try_divide(F.lit(1.0), F.col("total")))
     w = Window.partitionBy(*scope)
+    # a group with no events has eta = -inf: the scope's coefficients are then undefined (NULL)
+    complete = F.count("eta").over(w) == F.count(F.lit(1)).over(w)
     g = (g.withColumn("__k", F.count(F.lit(1)).over(w))
-         .withColumn("__b0", F.avg("eta").over(w))
-         .withColumn("__sinv", F.sum("__inv").over(w))
+         .withColumn("__b0", F.when(complete, F.avg("eta").over(w)))
+         .withColumn("__sinv", F.when(complete, F.sum("__inv").over(w)))
          .withColumn("__j", F.row_number().over(w.orderBy("group"))))
     k = F.col("__k").cast("double")
     icpt = (g.where(F.col("__j") == 1)

@@ -594,9 +594,10 @@ def importances(spark, sf):
 
 
 @query("poisson_fit", "M11 N14", sql="WITH " + Q.FIRST_VISITS.strip() + """,
-g AS (SELECT device_type, variant, ln(avg(shopping_pageviews)) AS eta, 1.0 / sum(shopping_pageviews) AS inv
-      FROM first_visits GROUP BY 1, 2),
-s AS (SELECT device_type, count(*) AS k, avg(eta) AS b0, sum(inv) AS sinv FROM g GROUP BY 1),
+g AS (SELECT device_type, variant, ln(NULLIF(avg(shopping_pageviews), 0)) AS eta,
+             1.0 / NULLIF(sum(shopping_pageviews), 0) AS inv FROM first_visits GROUP BY 1, 2),
+s AS (SELECT device_type, count(*) AS k, CASE WHEN count(eta) = count(*) THEN avg(eta) END AS b0,
+             CASE WHEN count(eta) = count(*) THEN sum(inv) END AS sinv FROM g GROUP BY 1),
 r AS (SELECT g.*, s.k, s.b0, s.sinv, row_number() OVER (PARTITION BY g.device_type ORDER BY variant) AS j
       FROM g JOIN s USING (device_type))
 SELECT device_type, '(Intercept)' AS term, round(b0, 8) AS estimate, round(sqrt(sinv / (k * k)), 8) AS std_err
