@@ -68,9 +68,19 @@ def ln(c) -> Column:
     return F.log(_c(c))
 
 
-def ln_jitter(c, seed: int, low: float = 0.01, high: float = 0.1) -> Column:
-    """ln(x + U(low, high)) with a seeded uniform."""
-    return F.log(_c(c) + F.rand(seed) * F.lit(high - low) + F.lit(low))
+def hash_uniform(*cols, seed: int = 42) -> Column:
+    """A uniform number in [0, 1) from hashing ``cols`` with ``seed``: the same
+    row always gets the same number, whatever the partitioning, so a retried
+    task reproduces it (``rand`` depends on row position inside a partition)."""
+    return F.pmod(F.xxhash64(*[_c(c) for c in cols], F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def ln_jitter(c, seed: int, low: float = 0.01, high: float = 0.1, key=None) -> Column:
+    """ln(x + U(low, high)) with a seeded uniform (X8). With ``key`` (row
+    identifying columns) the uniform is a hash of the key, stable under retries."""
+    u = hash_uniform(*(key if isinstance(key, (list, tuple)) else [key]), seed=seed) if key is not None \
+        else F.rand(seed)
+    return F.log(_c(c) + u * F.lit(high - low) + F.lit(low))
 
 
 def round_half_even(c, digits: int = 0) -> Column:

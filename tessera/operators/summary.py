@@ -72,16 +72,18 @@ def bootstrap_interval(df: DataFrame, by: str, flag: str, replicates: int = 200,
     Poisson(n) copies of each cell. The frequency table is tiny (2 cells per
     group), so the replicate expansion never touches raw rows.
     """
+    from tessera.functions.scalar import hash_uniform
     freq = df.groupBy(by, flag).agg(F.count(F.lit(1)).alias("n"))
     reps = freq.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    # Poisson(n) via normal approximation for large n, exact inversion is not a built-in
-    u1 = F.rand(seed)
-    u2 = F.rand(seed + 1)
+    # Poisson(n) via its normal approximation; the uniforms are hashes of
+    # (group, value, replicate), so a recomputed task draws the same numbers
+    u1 = hash_uniform(by, flag, "rep", seed=seed)
+    u2 = hash_uniform(by, flag, "rep", seed=seed + 1)
     gauss = F.sqrt(-2.0 * F.log(u1 + F.lit(1e-12))) * F.cos(2 * 3.141592653589793 * u2)
     draw = F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt(F.col("n")) * gauss))
     reps = reps.withColumn("m", draw)
     means = (reps.groupBy(by, "rep")
-             .agg((F.sum(F.col(flag) * F.col("m")) / F.sum("m")).alias("mean")))
+             .agg(F.try_divide(F.sum(F.col(flag) * F.col("m")), F.sum("m")).alias("mean")))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     return means.groupBy(by).agg(F.percentile("mean", [lo, hi]).alias("__q")).select(
         by, F.col("__q")[0].alias("low"), F.col("__q")[1].alias("high"))

@@ -527,7 +527,7 @@ def log_profile(spark, sf):
 def log_jitter_profile(spark, sf):
     """ln(x + U(0.01, 0.1)) of the zero-heavy metrics (seeded), profiled per cell."""
     from tessera.operators import htest
-    fv = first_visits(spark, sf).withColumn("log_shopping", X.ln_jitter("shopping_pageviews", 7))
+    fv = first_visits(spark, sf).withColumn("log_shopping", X.ln_jitter("shopping_pageviews", 7, key="user_id"))
     return htest.distribution_profile(fv, "log_shopping", ["device_type", "variant"])
 
 

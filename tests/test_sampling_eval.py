@@ -114,3 +114,15 @@ def test_kde_integrates_to_one_and_matches_binned_formula(spark):
     x = pts[25][0]
     exact = sum(math.exp(-0.5 * ((x - v) / h) ** 2) for v in vals) / (n * h * math.sqrt(2 * math.pi))
     assert pts[25][1] == pytest.approx(exact, rel=0.02)
+
+
+def test_bootstrap_interval_is_stable_and_covers_the_rate(spark):
+    from tessera.operators import summary
+    df = _labels(spark, 2000, 0.3).withColumn("grp", (F.col("id") % 3).cast("string"))
+    a = {r["grp"]: (r["low"], r["high"]) for r in summary.bootstrap_interval(df, "grp", "y", 100, 7).collect()}
+    b = {r["grp"]: (r["low"], r["high"]) for r in
+         summary.bootstrap_interval(df.repartition(5), "grp", "y", 100, 7).collect()}
+    assert a == b
+    rates = {r["grp"]: r["r"] for r in df.groupBy("grp").agg(F.avg("y").alias("r")).collect()}
+    for g, (lo, hi) in a.items():
+        assert lo < rates[g] < hi
