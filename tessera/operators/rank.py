@@ -46,7 +46,7 @@ def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
     probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
     b = base.agg(F.percentile_approx(vd, probs, max(10000, 4 * n_buckets)).alias("s"),
                  F.min(vd).alias("lo"), F.max(vd).alias("hi")).first()
-    splits = [float("-inf"), float("inf")]
+    splits = [float("-inf"), 0.0, float("inf")]  # empty input: any valid split list
     if b["lo"] is not None:
         edges = sorted({float(b["lo"]), *[float(x) for x in (b["s"] or [])], float(b["hi"])})
         inner = set(edges)

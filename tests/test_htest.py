@@ -211,3 +211,15 @@ def test_cumulative_counts_exact_under_skew(spark):
     got = {r["v"]: r["below"] for r in cumulative_counts(ties, [], "v", "count", n_buckets=16, sub_buckets=4).collect()}
     for v, below in got.items():
         assert below == sum(1 for x in vals if x < v)
+
+
+def test_one_group_and_empty_inputs(spark):
+    one = _frame(spark, {"a": [1, 2, 3, 3]})
+    r = htest.kruskal(one, "g", "v").first()
+    assert r["k"] == 1 and r["df"] == 0 and r["h"] == pytest.approx(0.0, abs=1e-12)
+    assert htest.mann_whitney(one, "g", "v").count() == 0
+    empty = spark.createDataFrame([], "g string, v double")
+    assert htest.kruskal(empty, "g", "v").count() <= 1
+    from tessera.operators import profile
+    d = profile.describe_numeric(empty, ["v"]).first()
+    assert d["count"] == 0 and d["median"] is None
