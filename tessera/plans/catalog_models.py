@@ -445,6 +445,11 @@ def purchase_validation(spark, sf):
     return studies.purchase_validation(spark, sf)
 
 
+@query("purchase_thresholds", "C2 E7 E8 E9 R1 M5")
+def purchase_thresholds(spark, sf):
+    return studies.purchase_thresholds(spark, sf)
+
+
 @query("repay_decision", "C2 M5 M8 X16 J4")
 def repay_decision(spark, sf):
     return studies.repay_decision(spark, sf)

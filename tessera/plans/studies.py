@@ -119,7 +119,18 @@ def repay_decision(spark: SparkSession, sf: str, threshold: float = 0.48, num_tr
                    S.assortment(spark, sf, "last"), next_assort)
 
 
-def purchase_validation(spark: SparkSession, sf: str, folds: int = 5, num_trees: int = 20,
+def purchase_thresholds(spark: SparkSession, sf: str, num_trees: int = 100, test_fraction: float = 0.25,
+                        seed: int = 42) -> DataFrame:
+    """Hold-out metrics of the purchase model by threshold (C2 model metrics: E7-E9):
+    confusion counts, accuracy, false-positive and false-negative rate at 0.1..0.9."""
+    data = purchase_model_frame(spark, sf, "last").withColumn("__row", F.xxhash64("customer_id", "product_id", "genre"))
+    data = materialize(sampling.hash_split(data, ["__row", "customer_id", "product_id"], test_fraction, seed))
+    model = purchase_pipeline(num_trees, seed=seed).fit(data.where(F.col("split") == "train"))
+    scored = models.with_score(model.transform(data.where(F.col("split") == "test")))
+    return evaluate.threshold_sweep(scored, "purchased", "score")
+
+
+def purchase_validation(spark: SparkSession, sf: str, folds: int = 5, num_trees: int = 10,
                         seed: int = 42) -> DataFrame:
     """AUC per stratified fold of the purchase model."""
     data = purchase_model_frame(spark, sf, "last").withColumn("__row", F.xxhash64("customer_id", "product_id", "genre"))
