@@ -29,7 +29,8 @@ def roc_points(df: DataFrame, label: str, score: str, scope: Sequence[str] | str
     score >= threshold (E4), with false-negative rate (E7)."""
     scope = as_list(scope)
     st = _score_table(df, label, score, scope).withColumn("neg_score", -F.col("score"))
-    above = cumulative_counts(st, scope, "neg_score", ["pos", "neg"], out=["__pos_above", "__neg_above"])
+    above = cumulative_counts(st, scope, "neg_score", ["pos", "neg"], out=["__pos_above", "__neg_above"],
+                              bounds=(df.where(F.col(score).isNotNull()), -F.col(score).cast("double")))
     tot = (st.groupBy(*scope) if scope else st).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
     j = above.join(tot, scope) if scope else attach_scalars(above, tot)
     tp = F.col("__pos_above") + F.col("pos")
@@ -47,7 +48,7 @@ def auc(df: DataFrame, label: str, score: str, scope: Sequence[str] | str | None
     hist = (df.where(F.col(score).isNotNull())
             .groupBy(*scope, y.alias("__y"), F.col(score).cast("double").alias("__v"))
             .agg(F.count(F.lit(1)).alias("__n")))
-    ranked, _ = midranks(hist, scope)
+    ranked, _ = midranks(hist, scope, bounds=(df.where(F.col(score).isNotNull()), score))
     agg = [F.sum(F.when(F.col("__y") == 1, F.col("__n"))).alias("n_pos"),
            F.sum(F.when(F.col("__y") != 1, F.col("__n"))).alias("n_neg"),
            F.sum(F.when(F.col("__y") == 1, F.col("__n") * F.col("midrank"))).alias("__r")]

@@ -112,7 +112,7 @@ def kruskal(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
     ``weight``: ``df`` is a frequency table with that count column."""
     scope = as_list(scope)
     hist = histogram_by(df, scope, group, value, weight)
-    ranked, ties = midranks(hist, scope)
+    ranked, ties = midranks(hist, scope, bounds=(df, value))
     per_g = ranked.groupBy(*scope, group).agg(F.sum("__n").alias("__ni"),
                                               F.sum(F.col("__n") * F.col("midrank")).alias("__Ri"))
     agg = [F.sum("__ni").alias("N"), F.count(F.lit(1)).alias("k"),
@@ -162,7 +162,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, scope: Sequence[str] | s
     cols = [*scope, "group_a", "group_b", F.col(group).alias("__g"), "__v", "__n"]
     ph = in_a.select(*cols).unionByName(in_b.select(*cols))
     pscope = [*scope, "group_a", "group_b"]
-    ranked, ties = midranks(ph, pscope)
+    ranked, ties = midranks(ph, pscope, bounds=(df, value))
     per = ranked.groupBy(*pscope).agg(
         F.sum(F.when(F.col("__g") == F.col("group_a"), F.col("__n"))).alias("n_a"),
         F.sum(F.when(F.col("__g") == F.col("group_b"), F.col("__n"))).alias("n_b"),
@@ -184,7 +184,7 @@ def conover(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
     all groups of the scope, t with N - k degrees of freedom; Holm-adjusted."""
     scope = as_list(scope)
     hist = histogram_by(df, scope, group, value, weight)
-    ranked, ties = midranks(hist, scope)
+    ranked, ties = midranks(hist, scope, bounds=(df, value))
     per_g = ranked.groupBy(*scope, group).agg(
         F.sum("__n").alias("__ni"), F.sum(F.col("__n") * F.col("midrank")).alias("__Ri"),
         F.sum(F.col("__n") * F.col("midrank") * F.col("midrank")).alias("__R2i"))
@@ -241,7 +241,7 @@ def signed_rank(df: DataFrame, x: str, y: str, scope: Sequence[str] | str | None
     base = df.select(*scope, d.alias("__d"), w.alias("__w")).where((F.col("__d") != 0) & F.col("__d").isNotNull())
     hist = (base.groupBy(*scope, F.abs("__d").alias("__v"), (F.col("__d") > 0).alias("__pos"))
             .agg(F.sum("__w").cast("long").alias("__n")))
-    ranked, ties = midranks(hist, scope)
+    ranked, ties = midranks(hist, scope, bounds=(base, F.abs("__d")))
     agg = [F.sum(F.when(F.col("__pos"), F.col("__n") * F.col("midrank")).otherwise(0.0)).alias("v_stat")]
     per = ranked.groupBy(*scope).agg(*agg) if scope else ranked.agg(*agg)
     tt = tie_term(ties, scope)

@@ -23,7 +23,8 @@ from tessera.operators._util import as_list, attach_scalars
 
 
 def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
-                      n_buckets: int = 128, sub_buckets: int = 64, out="below") -> DataFrame:
+                      n_buckets: int = 128, sub_buckets: int = 64, out="below",
+                      bounds: tuple | None = None) -> DataFrame:
     """Add ``out`` = sum of ``count`` over strictly smaller ``value`` in the same scope.
 
     ``ties`` has one row per (scope, value). ``count``/``out`` may be lists to
@@ -35,6 +36,10 @@ def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
     equal-width pieces. A ``Bucketizer`` assigns the n_buckets x sub_buckets
     ordered buckets by binary search. The cumulative counts are exact whatever
     the boundaries are; the boundaries only balance the work.
+
+    ``bounds=(frame, column)`` estimates the boundaries from the raw rows the
+    histogram was built from (a narrow scan with map-side sketches) instead of
+    from ``ties``, so the histogram shuffle runs once, not twice.
     """
     from pyspark.ml.feature import Bucketizer
 
@@ -44,8 +49,14 @@ def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
     vd = "__vd"
     base = ties.withColumn(vd, F.col(value).cast("double"))
     probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
-    b = base.agg(F.percentile_approx(vd, probs, max(10000, 4 * n_buckets)).alias("s"),
-                 F.min(vd).alias("lo"), F.max(vd).alias("hi")).first()
+    if bounds is not None:
+        src, col = bounds
+        col = F.col(col) if isinstance(col, str) else col
+        src = src.select(col.cast("double").alias(vd))
+    else:
+        src = base
+    b = src.agg(F.percentile_approx(vd, probs, max(10000, 4 * n_buckets)).alias("s"),
+                F.min(vd).alias("lo"), F.max(vd).alias("hi")).first()
     splits = [float("-inf"), 0.0, float("inf")]  # empty input: any valid split list
     if b["lo"] is not None:
         edges = sorted({float(b["lo"]), *[float(x) for x in (b["s"] or [])], float(b["hi"])})
@@ -79,14 +90,15 @@ def histogram_by(df: DataFrame, scope: Sequence[str], group: str | None, value:
             .groupBy(*scope, *g, F.col(value).alias("__v")).agg(n.alias("__n")))
 
 
-def midranks(hist: DataFrame, scope: Sequence[str], n_buckets: int = 128) -> tuple[DataFrame, DataFrame]:
+def midranks(hist: DataFrame, scope: Sequence[str], n_buckets: int = 128,
+             bounds: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """Mid-ranks of the values in ``hist`` (columns scope..., [group], __v, __n).
 
     Returns (hist with ``midrank``, ties table (scope, __v, __t, __below, midrank)).
     """
     scope = as_list(scope)
     ties = hist.groupBy(*scope, "__v").agg(F.sum("__n").alias("__t"))
-    ranked = cumulative_counts(ties, scope, "__v", "__t", n_buckets, out="__below")
+    ranked = cumulative_counts(ties, scope, "__v", "__t", n_buckets, out="__below", bounds=bounds)
     ranked = ranked.withColumn("midrank", F.col("__below") + (F.col("__t") + 1) / 2.0)
     return hist.join(ranked.select(*scope, "__v", "__t", "midrank"), [*scope, "__v"]), ranked
 
@@ -110,7 +122,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     scope = as_list(scope)
     hist = histogram_by(df, scope, None, value, weight)
     ties = hist.withColumnRenamed("__n", "__t")
-    cum = cumulative_counts(ties, scope, "__v", "__t", n_buckets, out="__below")
+    cum = cumulative_counts(ties, scope, "__v", "__t", n_buckets, out="__below", bounds=(df, value))
     tot = ties.groupBy(*scope).agg(F.sum("__t").alias("__N")) if scope else ties.agg(F.sum("__t").alias("__N"))
     from tessera.operators._util import attach_scalars
     cum = cum.join(tot, scope) if scope else attach_scalars(cum, tot)

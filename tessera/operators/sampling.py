@@ -52,7 +52,7 @@ def class_ranks(df: DataFrame, label: str, key: Sequence[str] | str, seed: int =
     base = df.withColumn("__u", u)
     order = F.struct(F.col("__u"), *[F.col(c) for c in key])
     ties = base.groupBy(label, "__u").agg(F.count(F.lit(1)).alias("__t"))
-    cum = cumulative_counts(ties, [label], "__u", "__t", n_buckets, out="__below")
+    cum = cumulative_counts(ties, [label], "__u", "__t", n_buckets, out="__below", bounds=(base, "__u"))
     sizes = ties.groupBy(label).agg(F.sum("__t").alias("class_n"))
     ranked = base.join(cum.select(label, "__u", "__below"), [label, "__u"]).join(sizes, label)
     from pyspark.sql import Window
