@@ -76,7 +76,7 @@ def threshold_sweep(df: DataFrame, label: str, score: str,
                         F.col(f"tn{i}").alias("tn"), F.col(f"fn{i}").alias("fn")) for i, t in enumerate(thresholds)]
     out = wide.select("n", F.inline(F.array(*structs)))
     return out.select("threshold", "tp", "fp", "tn", "fn",
-                      ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"),
+                      F.try_divide(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"),
                       F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"),
                       F.try_divide(F.col("fn"), F.col("fn") + F.col("tp")).alias("fnr"))
 

@@ -55,7 +55,7 @@ def t_test(df: DataFrame, group: str, value: str, with_p: bool = True) -> DataFr
     two = g.agg(F.sort_array(F.collect_list(F.struct(group, "n", "m", "v"))).alias("s"))
     a, b = F.col("s")[0], F.col("s")[1]
     n1, n2 = a["n"], b["n"]
-    sp2 = ((n1 - 1) * a["v"] + (n2 - 1) * b["v"]) / (n1 + n2 - 2)
+    sp2 = _div((n1 - 1) * a["v"] + (n2 - 1) * b["v"], n1 + n2 - 2)
     out = two.select(a[group].alias("group_a"), b[group].alias("group_b"), n1.alias("n_a"), n2.alias("n_b"),
                      a["m"].alias("mean_a"), b["m"].alias("mean_b"), F.sqrt(sp2).alias("sd_pooled"),
                      _div(a["m"] - b["m"], F.sqrt(sp2 * (1.0 / n1 + 1.0 / n2))).alias("t"),
@@ -122,7 +122,7 @@ def kruskal(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
     j = per_s.join(tt, scope) if scope else _one_join(per_s, tt)
     n = F.col("N").cast("double")
     h_raw = 12.0 / (n * (n + 1)) * F.col("__S") - 3 * (n + 1)
-    corr = 1 - F.col("__T") / (n * n * n - n)
+    corr = 1 - _div(F.col("__T"), n * n * n - n)
     out = j.select(*scope, "N", "k", _div(h_raw, corr).alias("h"), (F.col("k") - 1).alias("df"))
     if with_p:
         out = out.withColumn("p_value", dist.chi2_sf_col("h", "df"))
@@ -171,7 +171,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, scope: Sequence[str] | s
     na, nb, N = (F.col("n_a").cast("double"), F.col("n_b").cast("double"), F.col("__N").cast("double"))
     w = F.col("__Ra") - na * (na + 1) / 2
     d = w - na * nb / 2
-    sigma = F.sqrt(na * nb / 12 * ((N + 1) - F.col("__T") / (N * (N - 1))))
+    sigma = F.sqrt(na * nb / 12 * ((N + 1) - _div(F.col("__T"), N * (N - 1))))
     out = j.select(*pscope, "n_a", "n_b", w.alias("w"), _div(d - F.signum(d) * 0.5, sigma).alias("z"))
     if with_p:
         out = out.withColumn("p_value", dist.norm_two_sided_col("z"))
@@ -194,8 +194,8 @@ def conover(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
     tt = tie_term(ties, scope).select(*scope, "__T")
     s = per_s.join(tt, scope) if scope else _one_join(per_s, tt)
     n = F.col("N").cast("double")
-    h = _div(12.0 / (n * (n + 1)) * F.col("__S") - 3 * (n + 1), 1 - F.col("__T") / (n * n * n - n))
-    s2 = (F.col("__R2") - n * (n + 1) * (n + 1) / 4) / (n - 1)
+    h = _div(12.0 / (n * (n + 1)) * F.col("__S") - 3 * (n + 1), 1 - _div(F.col("__T"), n * n * n - n))
+    s2 = _div(F.col("__R2") - n * (n + 1) * (n + 1) / 4, n - 1)
     s = s.select(*scope, "N", "k", h.alias("__h"), s2.alias("__s2"))
     ga = per_g.select(*scope, F.col(group).alias("group_a"), F.col("__ni").alias("n_a"),
                       (F.col("__Ri") / F.col("__ni")).alias("__rbar_a"))
@@ -203,7 +203,7 @@ def conover(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
                       (F.col("__Ri") / F.col("__ni")).alias("__rbar_b"))
     pr = _pairs(per_g.select(*scope, group), scope, group).join(ga, [*scope, "group_a"]).join(gb, [*scope, "group_b"])
     pr = pr.join(s, scope) if scope else _one_join(pr, s)
-    denom = F.sqrt(F.col("__s2") * (n - 1 - F.col("__h")) / (n - F.col("k"))
+    denom = F.sqrt(_div(F.col("__s2") * (n - 1 - F.col("__h")), n - F.col("k"))
                    * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))
     out = pr.select(*scope, "group_a", "group_b", "n_a", "n_b",
                     _div(F.abs(F.col("__rbar_a") - F.col("__rbar_b")), denom).alias("t"),

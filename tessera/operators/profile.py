@@ -32,7 +32,7 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     wide = df.agg(*aggs)
     entries = {c: {"n_null": F.col(f"__n_{i}")} for i, c in enumerate(cols)}
     return (unpivot_row(wide, ["n_rows"], entries)
-            .withColumn("pct_null", F.col("n_null") * 100.0 / F.col("n_rows")))
+            .withColumn("pct_null", F.try_divide(F.col("n_null") * 100.0, F.col("n_rows"))))
 
 
 def any_null_share(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -60,7 +60,7 @@ def coverage(used: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
     a = used.agg(F.countDistinct(key).alias("n_used"))
     b = catalogue.agg(F.countDistinct(key).alias("n_catalogue"))
     return (attach_scalars(a, b)
-            .withColumn("pct_used", F.col("n_used") * 100.0 / F.col("n_catalogue")))
+            .withColumn("pct_used", F.try_divide(F.col("n_used") * 100.0, F.col("n_catalogue"))))
 
 
 def value_counts(df: DataFrame, col: str, normalize: bool = False, total: str = "n_total") -> DataFrame:
@@ -73,7 +73,7 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False, total: str =
     out = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
         totals = out.agg(F.sum("n").alias(total))
-        out = attach_scalars(out, totals).withColumn("share", F.col("n") / F.col(total))
+        out = attach_scalars(out, totals).withColumn("share", F.try_divide(F.col("n"), F.col(total)))
     return out
 
 

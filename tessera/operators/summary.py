@@ -30,10 +30,10 @@ def with_share(df: DataFrame, value: str, within: Sequence[str] | str | None = N
     within = as_list(within)
     if within:
         total = F.sum(value).over(Window.partitionBy(*within))
-        return df.withColumn(name, F.col(value) * scale / total)
+        return df.withColumn(name, F.try_divide(F.col(value) * scale, total))
     tot = df.agg(F.sum(value).alias("__total"))
     return (attach_scalars(df, tot)
-            .withColumn(name, F.col(value) * scale / F.col("__total")).drop("__total"))
+            .withColumn(name, F.try_divide(F.col(value) * scale, F.col("__total"))).drop("__total"))
 
 
 def first_per_key(df: DataFrame, key: Sequence[str] | str, order: Sequence[str]) -> DataFrame:
@@ -139,13 +139,14 @@ def kde(df: DataFrame, value: str, grid: int = 64, prebins: int = 1024, cut: flo
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n"), -0.2))
     base = attach_scalars(df.where(v.isNotNull()).select(v.alias("v")), st)
     pw = (F.col("hi") - F.col("lo")) / prebins
-    pb = F.least(F.lit(prebins - 1), F.floor((F.col("v") - F.col("lo")) / pw)).cast("long")
+    pb = F.coalesce(F.least(F.lit(prebins - 1), F.floor(F.try_divide(F.col("v") - F.col("lo"), pw))),
+                    F.lit(0)).cast("long")
     binned = (base.withColumn("pb", pb)
               .groupBy("pb", "n", "h", "lo", "hi").agg(F.count(F.lit(1)).alias("c")))
     step = (F.col("hi") - F.col("lo")) / (grid - 1)
     centre = F.col("lo") + (F.col("pb") + 0.5) * pw
-    g_lo = F.greatest(F.lit(0), F.ceil((centre - cut * F.col("h") - F.col("lo")) / step)).cast("int")
-    g_hi = F.least(F.lit(grid - 1), F.floor((centre + cut * F.col("h") - F.col("lo")) / step)).cast("int")
+    g_lo = F.greatest(F.lit(0), F.ceil(F.try_divide(centre - cut * F.col("h") - F.col("lo"), step))).cast("int")
+    g_hi = F.least(F.lit(grid - 1), F.floor(F.try_divide(centre + cut * F.col("h") - F.col("lo"), step))).cast("int")
     spread = (binned.withColumn("centre", centre)
               .withColumn("g", F.explode(F.sequence(g_lo, F.greatest(g_lo, g_hi))))
               .where(F.col("g") <= g_hi))

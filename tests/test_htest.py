@@ -223,3 +223,13 @@ def test_one_group_and_empty_inputs(spark):
     from tessera.operators import profile
     d = profile.describe_numeric(empty, ["v"]).first()
     assert d["count"] == 0 and d["median"] is None
+
+
+def test_degenerate_sizes_do_not_raise(spark):
+    tiny = _frame(spark, {"a": [1.0], "b": [2.0]})
+    assert htest.kruskal(tiny, "g", "v").count() == 1
+    assert htest.conover(tiny, "g", "v").count() == 1
+    assert htest.mann_whitney(tiny, "g", "v").count() == 1
+    assert htest.t_test(tiny, "g", "v").first()["t"] is None
+    single = _frame(spark, {"a": [1.0]})
+    assert htest.kruskal(single, "g", "v").first()["h"] is None
