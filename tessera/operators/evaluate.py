@@ -32,7 +32,13 @@ def roc_points(df: DataFrame, label: str, score: str, scope: Sequence[str] | str
     above = cumulative_counts(st, scope, "neg_score", ["pos", "neg"], out=["__pos_above", "__neg_above"],
                               bounds=(df.where(F.col(score).isNotNull()), -F.col(score).cast("double")))
     tot = (st.groupBy(*scope) if scope else st).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
-    j = above.join(tot, scope) if scope else attach_scalars(above, tot)
+    if scope:
+        j = above.join(tot, scope)
+    else:
+        # class totals from a narrow scan of the input, not from the shuffled score table
+        y = F.col(label).cast("double")
+        raw = df.where(F.col(score).isNotNull()).agg(F.sum(y).alias("__P"), F.sum(1 - y).alias("__N"))
+        j = attach_scalars(above, raw)
     tp = F.col("__pos_above") + F.col("pos")
     fp = F.col("__neg_above") + F.col("neg")
     return j.select(*scope, F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),

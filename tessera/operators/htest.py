@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dist
 from tessera.operators._util import as_list
-from tessera.operators.rank import histogram_by, midranks, tie_term
+from tessera.operators.rank import histogram_by, midranks
 
 
 def _div(a, b):
@@ -112,14 +112,13 @@ def kruskal(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
     ``weight``: ``df`` is a frequency table with that count column."""
     scope = as_list(scope)
     hist = histogram_by(df, scope, group, value, weight)
-    ranked, ties = midranks(hist, scope, bounds=(df, value))
+    ranked, _ = midranks(hist, scope, bounds=(df, value))
     per_g = ranked.groupBy(*scope, group).agg(F.sum("__n").alias("__ni"),
-                                              F.sum(F.col("__n") * F.col("midrank")).alias("__Ri"))
+                                              F.sum(F.col("__n") * F.col("midrank")).alias("__Ri"),
+                                              F.sum(_tie_share()).alias("__Ti"))
     agg = [F.sum("__ni").alias("N"), F.count(F.lit(1)).alias("k"),
-           F.sum(F.col("__Ri") * F.col("__Ri") / F.col("__ni")).alias("__S")]
-    per_s = per_g.groupBy(*scope).agg(*agg) if scope else per_g.agg(*agg)
-    tt = tie_term(ties, scope).select(*scope, "__T")
-    j = per_s.join(tt, scope) if scope else _one_join(per_s, tt)
+           F.sum(F.col("__Ri") * F.col("__Ri") / F.col("__ni")).alias("__S"), F.sum("__Ti").alias("__T")]
+    j = per_g.groupBy(*scope).agg(*agg) if scope else per_g.agg(*agg)
     n = F.col("N").cast("double")
     h_raw = 12.0 / (n * (n + 1)) * F.col("__S") - 3 * (n + 1)
     corr = 1 - _div(F.col("__T"), n * n * n - n)
@@ -129,9 +128,12 @@ def kruskal(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
     return out
 
 
-def _one_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    from tessera.operators._util import attach_scalars
-    return attach_scalars(a, b)
+def _tie_share():
+    """Each histogram row's share of its value's tie term t^3 - t: summing it over
+    the rows of a scope counts every distinct value once (n / t of it per row),
+    so the tie correction needs no separate aggregate or join."""
+    t = F.col("__t").cast("double")
+    return F.col("__n") / t * (t * t * t - t)
 
 
 def _pairs(groups: DataFrame, scope: list[str], group: str) -> DataFrame:
@@ -162,12 +164,12 @@ def mann_whitney(df: DataFrame, group: str, value: str, scope: Sequence[str] | s
     cols = [*scope, "group_a", "group_b", F.col(group).alias("__g"), "__v", "__n"]
     ph = in_a.select(*cols).unionByName(in_b.select(*cols))
     pscope = [*scope, "group_a", "group_b"]
-    ranked, ties = midranks(ph, pscope, bounds=(df, value))
-    per = ranked.groupBy(*pscope).agg(
+    ranked, _ = midranks(ph, pscope, bounds=(df, value))
+    j = ranked.groupBy(*pscope).agg(
         F.sum(F.when(F.col("__g") == F.col("group_a"), F.col("__n"))).alias("n_a"),
         F.sum(F.when(F.col("__g") == F.col("group_b"), F.col("__n"))).alias("n_b"),
-        F.sum(F.when(F.col("__g") == F.col("group_a"), F.col("__n") * F.col("midrank"))).alias("__Ra"))
-    j = per.join(tie_term(ties, pscope), pscope)
+        F.sum(F.when(F.col("__g") == F.col("group_a"), F.col("__n") * F.col("midrank"))).alias("__Ra"),
+        F.sum("__n").alias("__N"), F.sum(_tie_share()).alias("__T"))
     na, nb, N = (F.col("n_a").cast("double"), F.col("n_b").cast("double"), F.col("__N").cast("double"))
     w = F.col("__Ra") - na * (na + 1) / 2
     d = w - na * nb / 2
@@ -184,25 +186,25 @@ def conover(df: DataFrame, group: str, value: str, scope: Sequence[str] | str |
     all groups of the scope, t with N - k degrees of freedom; Holm-adjusted."""
     scope = as_list(scope)
     hist = histogram_by(df, scope, group, value, weight)
-    ranked, ties = midranks(hist, scope, bounds=(df, value))
+    ranked, _ = midranks(hist, scope, bounds=(df, value))
     per_g = ranked.groupBy(*scope, group).agg(
         F.sum("__n").alias("__ni"), F.sum(F.col("__n") * F.col("midrank")).alias("__Ri"),
-        F.sum(F.col("__n") * F.col("midrank") * F.col("midrank")).alias("__R2i"))
-    agg = [F.sum("__ni").alias("N"), F.count(F.lit(1)).alias("k"),
-           F.sum(F.col("__Ri") * F.col("__Ri") / F.col("__ni")).alias("__S"), F.sum("__R2i").alias("__R2")]
-    per_s = per_g.groupBy(*scope).agg(*agg) if scope else per_g.agg(*agg)
-    tt = tie_term(ties, scope).select(*scope, "__T")
-    s = per_s.join(tt, scope) if scope else _one_join(per_s, tt)
+        F.sum(F.col("__n") * F.col("midrank") * F.col("midrank")).alias("__R2i"), F.sum(_tie_share()).alias("__Ti"))
+    # scope totals as windows over the per-group rows (one row per group of the
+    # scope), so every pair row carries them without another aggregate or join
+    w = Window.partitionBy(*scope)
+    pg = per_g.select(*scope, group, "__ni", "__Ri",
+                      F.sum("__ni").over(w).alias("N"), F.count(F.lit(1)).over(w).alias("k"),
+                      F.sum(F.col("__Ri") * F.col("__Ri") / F.col("__ni")).over(w).alias("__S"),
+                      F.sum("__R2i").over(w).alias("__R2"), F.sum("__Ti").over(w).alias("__T"))
     n = F.col("N").cast("double")
     h = _div(12.0 / (n * (n + 1)) * F.col("__S") - 3 * (n + 1), 1 - _div(F.col("__T"), n * n * n - n))
     s2 = _div(F.col("__R2") - n * (n + 1) * (n + 1) / 4, n - 1)
-    s = s.select(*scope, "N", "k", h.alias("__h"), s2.alias("__s2"))
-    ga = per_g.select(*scope, F.col(group).alias("group_a"), F.col("__ni").alias("n_a"),
-                      (F.col("__Ri") / F.col("__ni")).alias("__rbar_a"))
-    gb = per_g.select(*scope, F.col(group).alias("group_b"), F.col("__ni").alias("n_b"),
-                      (F.col("__Ri") / F.col("__ni")).alias("__rbar_b"))
+    ga = pg.select(*scope, F.col(group).alias("group_a"), F.col("__ni").alias("n_a"),
+                   (F.col("__Ri") / F.col("__ni")).alias("__rbar_a"), "N", "k", h.alias("__h"), s2.alias("__s2"))
+    gb = pg.select(*scope, F.col(group).alias("group_b"), F.col("__ni").alias("n_b"),
+                   (F.col("__Ri") / F.col("__ni")).alias("__rbar_b"))
     pr = _pairs(per_g.select(*scope, group), scope, group).join(ga, [*scope, "group_a"]).join(gb, [*scope, "group_b"])
-    pr = pr.join(s, scope) if scope else _one_join(pr, s)
     denom = F.sqrt(_div(F.col("__s2") * (n - 1 - F.col("__h")), n - F.col("k"))
                    * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))
     out = pr.select(*scope, "group_a", "group_b", "n_a", "n_b",
@@ -241,11 +243,10 @@ def signed_rank(df: DataFrame, x: str, y: str, scope: Sequence[str] | str | None
     base = df.select(*scope, d.alias("__d"), w.alias("__w")).where((F.col("__d") != 0) & F.col("__d").isNotNull())
     hist = (base.groupBy(*scope, F.abs("__d").alias("__v"), (F.col("__d") > 0).alias("__pos"))
             .agg(F.sum("__w").cast("long").alias("__n")))
-    ranked, ties = midranks(hist, scope, bounds=(base, F.abs("__d")))
-    agg = [F.sum(F.when(F.col("__pos"), F.col("__n") * F.col("midrank")).otherwise(0.0)).alias("v_stat")]
-    per = ranked.groupBy(*scope).agg(*agg) if scope else ranked.agg(*agg)
-    tt = tie_term(ties, scope)
-    j = per.join(tt, scope) if scope else _one_join(per, tt)
+    ranked, _ = midranks(hist, scope, bounds=(base, F.abs("__d")))
+    agg = [F.sum(F.when(F.col("__pos"), F.col("__n") * F.col("midrank")).otherwise(0.0)).alias("v_stat"),
+           F.sum("__n").alias("__N"), F.sum(_tie_share()).alias("__T")]
+    j = ranked.groupBy(*scope).agg(*agg) if scope else ranked.agg(*agg)
     n = F.col("__N").cast("double")
     zc = F.col("v_stat") - n * (n + 1) / 4
     sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__T") / 48)

@@ -103,6 +103,8 @@ def standardise(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFra
 def minmax_scale(df: DataFrame, score: str, order: int = 1, digits: int | None = 3,
                  name: str = "scaled") -> DataFrame:
     """Scale ``order * score`` to [0, 1] over the frame, then round."""
+    from tessera.session import materialize
+    df = materialize(df)  # a score table is read twice (range, then rows): write it once
     s = F.col(score) * F.lit(order)
     st = df.agg(F.min(s).alias("__lo"), F.max(s).alias("__hi"))
     rng = F.col("__hi") - F.col("__lo")

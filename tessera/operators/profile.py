@@ -66,12 +66,14 @@ def coverage(used: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
 def value_counts(df: DataFrame, col: str, normalize: bool = False, total: str = "n_total") -> DataFrame:
     """Count per value (P7); with ``normalize`` the share of all rows.
 
-    The total is a one-row aggregate of the counted frame, attached by a
-    broadcast equi-join (the counted exchange is reused, not recomputed).
+    The counted frame (one row per value) is checkpointed; its total is
+    attached as a scalar subquery.
     """
     from tessera.operators._util import attach_scalars
     out = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
+        from tessera.session import materialize
+        out = materialize(out)  # the counts are read twice: write them once
         totals = out.agg(F.sum("n").alias(total))
         out = attach_scalars(out, totals).withColumn("share", F.try_divide(F.col("n"), F.col(total)))
     return out

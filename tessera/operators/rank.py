@@ -103,14 +103,6 @@ def midranks(hist: DataFrame, scope: Sequence[str], n_buckets: int = 128,
     return hist.join(ranked.select(*scope, "__v", "__t", "midrank"), [*scope, "__v"]), ranked
 
 
-def tie_term(ties: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Per scope: __N and __T = sum(t^3 - t) (in double, t^3 overflows long for big ties)."""
-    scope = as_list(scope)
-    t = F.col("__t").cast("double")
-    agg = [F.sum("__t").alias("__N"), F.sum(t * t * t - t).alias("__T")]
-    return ties.groupBy(*scope).agg(*agg) if scope else ties.agg(*agg)
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     scope: Sequence[str] | str | None = None, n_buckets: int = 128,
                     weight: str | None = None) -> DataFrame:
@@ -123,9 +115,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     hist = histogram_by(df, scope, None, value, weight)
     ties = hist.withColumnRenamed("__n", "__t")
     cum = cumulative_counts(ties, scope, "__v", "__t", n_buckets, out="__below", bounds=(df, value))
-    tot = ties.groupBy(*scope).agg(F.sum("__t").alias("__N")) if scope else ties.agg(F.sum("__t").alias("__N"))
-    from tessera.operators._util import attach_scalars
-    cum = cum.join(tot, scope) if scope else attach_scalars(cum, tot)
+    if scope:
+        tot = ties.groupBy(*scope).agg(F.sum("__t").alias("__N"))
+        cum = cum.join(tot, scope)
+    else:
+        # the total from a narrow scan of the input, not from the shuffled histogram
+        n = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
+        cum = attach_scalars(cum, df.where(F.col(value).isNotNull()).agg(n.alias("__N")))
     pos = F.col("p") * (F.col("__N") - 1)
     lo = F.floor(pos)
     hi = F.ceil(pos)

@@ -21,7 +21,7 @@ def group_stats(df: DataFrame, by: Sequence[str] | str | None, value: str,
 
 
 def with_share(df: DataFrame, value: str, within: Sequence[str] | str | None = None,
-               name: str = "pct", scale: float = 100.0) -> DataFrame:
+               name: str = "pct", scale: float = 100.0, materialized: bool = True) -> DataFrame:
     """Percentage of ``value`` within a partition (A10, W2) or of the whole frame.
 
     Within groups: a window partitioned by the group key (spreads over tasks).
@@ -31,6 +31,11 @@ def with_share(df: DataFrame, value: str, within: Sequence[str] | str | None = N
     if within:
         total = F.sum(value).over(Window.partitionBy(*within))
         return df.withColumn(name, F.try_divide(F.col(value) * scale, total))
+    if materialized:
+        # ``df`` is usually an aggregate: write it once so the total and the
+        # rows read the same table instead of recomputing its whole lineage
+        from tessera.session import materialize
+        df = materialize(df)
     tot = df.agg(F.sum(value).alias("__total"))
     return (attach_scalars(df, tot)
             .withColumn(name, F.try_divide(F.col(value) * scale, F.col("__total"))).drop("__total"))
