@@ -38,16 +38,17 @@ def feature_ranking(df: DataFrame, y: str, features: Sequence[str], min_sd: floa
     z = materialize(prep.standardise(clean.select(y, *kept), [y, *kept]))
     scores = [htest.f_scores(z, y, kept, with_p=False).select("feature", F.col("f").alias("raw"))
               .withColumn("method", F.lit("Corr"))]
+    # the model fits are independent jobs: submit them together
+    from concurrent.futures import ThreadPoolExecutor
+    specs = {"Lasso": (models.linear(kept, y, lasso_alpha, l1=True), "coef", False),
+             "Random Forest": (models.forest_regressor(kept, y, forest_trees, forest_depth, seed=seed), "importance", False)}
     if not collinear:
-        lr = models.fit_pipeline(z, models.linear(kept, y))
-        scores.append(models.feature_weights(lr, kept, "coef", absolute=True)
-                      .select("feature", F.col("weight").alias("raw")).withColumn("method", F.lit("Linear Regression")))
-    la = models.fit_pipeline(z, models.linear(kept, y, lasso_alpha, l1=True))
-    scores.append(models.feature_weights(la, kept, "coef", absolute=False)
-                  .select("feature", F.col("weight").alias("raw")).withColumn("method", F.lit("Lasso")))
-    rf = models.fit_pipeline(z, models.forest_regressor(kept, y, forest_trees, forest_depth, seed=seed))
-    scores.append(models.feature_weights(rf, kept, "importance")
-                  .select("feature", F.col("weight").alias("raw")).withColumn("method", F.lit("Random Forest")))
+        specs["Linear Regression"] = (models.linear(kept, y), "coef", True)
+    with ThreadPoolExecutor(max_workers=len(specs)) as pool:
+        fitted = dict(zip(specs, pool.map(lambda k: models.fit_pipeline(z, specs[k][0]), specs)))
+    for method, (_, kind, absolute) in specs.items():
+        scores.append(models.feature_weights(fitted[method], kept, kind, absolute=absolute)
+                      .select("feature", F.col("weight").alias("raw")).withColumn("method", F.lit(method)))
     long = joins.union_all(scores)
     w = Window.partitionBy("method")  # one partition per ranking method, |features| rows each
     lo, hi = F.min("raw").over(w), F.max("raw").over(w)
