@@ -286,6 +286,38 @@ def residual_moments(df: DataFrame, y: str, factor: str | None, scope: Sequence[
     return out
 
 
+def residual_ks(df: DataFrame, y: str, factor: str | None, scope: Sequence[str] | str | None = None) -> DataFrame:
+    """Kolmogorov-Smirnov test of the residuals of ``y ~ factor`` against a normal
+    distribution with their own mean and sd (H11), one Spark ML
+    ``KolmogorovSmirnovTest`` per scope value (a distributed sort each; the
+    scopes are a handful of slices such as devices)."""
+    from pyspark.ml.stat import KolmogorovSmirnovTest
+    spark = df.sparkSession
+    scope = as_list(scope)
+    keys = [*scope] + ([factor] if factor else [])
+    yy = F.col(y).cast("double")
+    base = df.where(yy.isNotNull())
+    m = (base.groupBy(*keys) if keys else base).agg(F.avg(yy).alias("__m"))
+    from tessera.operators._util import attach_scalars
+    r = (base.join(m, keys) if keys else attach_scalars(base, m)).select(*scope, (yy - F.col("__m")).alias("residual"))
+    slices = [tuple(row) for row in r.select(*scope).distinct().collect()] if scope else [()]
+    rows = []
+    for vals in slices:
+        part = r
+        for c, v in zip(scope, vals):
+            part = part.where(F.col(c) == F.lit(v))
+        st = part.agg(F.count("residual").alias("n"), F.avg("residual").alias("mu"),
+                      F.stddev_samp("residual").alias("sd")).first()
+        if not st["n"] or not st["sd"]:
+            rows.append((*vals, int(st["n"] or 0), None, None))
+            continue
+        t = KolmogorovSmirnovTest.test(part, "residual", "norm", float(st["mu"]), float(st["sd"])).first()
+        rows.append((*vals, int(st["n"]), float(t.statistic), float(t.pValue)))
+    schema = ", ".join([f"{c} {r.schema[c].dataType.simpleString()}" for c in scope]
+                       + ["n long", "ks_statistic double", "p_value double"])
+    return spark.createDataFrame(rows, schema)
+
+
 def qq_points(df: DataFrame, value: str, n_points: int = 99, scope: Sequence[str] | str | None = None,
               theoretical: bool = True) -> DataFrame:
     """Sample quantiles at p_i = (i - 0.5) / n_points against normal quantiles.

@@ -271,3 +271,9 @@ def kde(spark, sf):
     out = summary.kde(load(spark, sf, "orders"), "o_totalprice", grid=64, cut=3.0)
     return out.select("point", F.round("x", 6).alias("x"),
                       F.round(F.col("density") * 1e6, 6).alias("density_per_million"))
+
+
+@query("residual_ks", "H11")
+def residual_ks(spark, sf):
+    fv = first_visits(spark, sf).withColumn("log_total_pageviews", F.log("total_pageviews"))
+    return htest.residual_ks(fv, "log_total_pageviews", "variant", "device_type")

@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
+    # remove checkpoint files once the DataFrames that wrote them are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

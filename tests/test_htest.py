@@ -233,3 +233,23 @@ def test_degenerate_sizes_do_not_raise(spark):
     assert htest.t_test(tiny, "g", "v").first()["t"] is None
     single = _frame(spark, {"a": [1.0]})
     assert htest.kruskal(single, "g", "v").first()["h"] is None
+
+
+def test_residual_ks_matches_brute_force(spark):
+    rnd = random.Random(31)
+    rows = [(g, rnd.gauss(m, 1.0) ** 3) for g, m in (("a", 0.0), ("b", 1.0)) for _ in range(80)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = htest.residual_ks(df, "v", "g").first()
+    e = []
+    for g in ("a", "b"):
+        vs = [v for gg, v in rows if gg == g]
+        m = sum(vs) / len(vs)
+        e += [v - m for v in vs]
+    n = len(e)
+    mu = sum(e) / n
+    sd = math.sqrt(sum((x - mu) ** 2 for x in e) / (n - 1))
+    s = sorted(e)
+    d = max(max((i + 1) / n - dist.norm_cdf((x - mu) / sd), dist.norm_cdf((x - mu) / sd) - i / n)
+            for i, x in enumerate(s))
+    assert got["n"] == n
+    assert got["ks_statistic"] == pytest.approx(d, rel=1e-9)
