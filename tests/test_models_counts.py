@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from tessera.operators import counts, models
@@ -109,3 +110,31 @@ def test_poisson_contrasts_match_count_models(spark):
     for t, (est, se) in a.items():
         assert est == pytest.approx(b.loc[t, "estimate"], rel=1e-9)
         assert se == pytest.approx(b.loc[t, "std_err"], rel=1e-9)
+
+
+def test_ols_standard_errors_match_spark_normal_solver(spark):
+    rnd = random.Random(12)
+    rows = [(x, 1.5 + 0.7 * x + rnd.gauss(0, 2)) for x in (rnd.uniform(0, 20) for _ in range(500))]
+    df = spark.createDataFrame(rows, "x double, y double")
+    fit = models.ols(df, "y", ["x"])
+    m = models.fit_pipeline(df, models.linear(["x"], "y")).stages[-1]
+    se = {r["term"]: r["std_err"] for r in fit.coefficients(spark).collect()}
+    # Spark lists the slope first and the intercept last
+    assert se["x"] == pytest.approx(m.summary.coefficientStandardErrors[0], rel=1e-6)
+    assert se["Intercept"] == pytest.approx(m.summary.coefficientStandardErrors[1], rel=1e-6)
+
+
+def test_poisson_means_equal_spark_glm_fit(spark):
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+    rnd = random.Random(13)
+    rows = [(g, int(rnd.random() * k)) for g, k in (("a", 4), ("b", 7), ("c", 2)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, y int")
+    idx = StringIndexer(inputCol="g", outputCol="gi").fit(df).transform(df)
+    enc = OneHotEncoder(inputCol="gi", outputCol="gv").fit(idx).transform(idx)
+    data = VectorAssembler(inputCols=["gv"], outputCol="features").transform(enc).withColumn("y", F.col("y").cast("double"))
+    glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol="y").fit(data)
+    pred = {r["g"]: r["prediction"] for r in glm.transform(data).select("g", "prediction").distinct().collect()}
+    means = {r["group"]: r["mean"] for r in counts.poisson_means(df, "g", "y").collect()}
+    for g in means:
+        assert pred[g] == pytest.approx(means[g], rel=1e-6)

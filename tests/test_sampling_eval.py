@@ -126,3 +126,12 @@ def test_bootstrap_interval_is_stable_and_covers_the_rate(spark):
     rates = {r["grp"]: r["r"] for r in df.groupBy("grp").agg(F.avg("y").alias("r")).collect()}
     for g, (lo, hi) in a.items():
         assert lo < rates[g] < hi
+
+
+def test_auc_equals_spark_exact_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    rnd = random.Random(8)
+    pairs = [(float(rnd.random() < 0.35), round(rnd.random(), 2)) for _ in range(3000)]
+    df = spark.createDataFrame(pairs, "y double, s double")
+    ev = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", metricName="areaUnderROC", numBins=0)
+    assert evaluate.auc(df, "y", "s").first()["auc"] == pytest.approx(ev.evaluate(df), rel=1e-9)
