@@ -22,6 +22,23 @@ from pyspark.sql import functions as F
 from tessera.operators._util import as_list, attach_scalars
 
 
+def bucket_splits(src: DataFrame, col: str, n_buckets: int = 128, sub_buckets: int = 64) -> list[float]:
+    """Ordered bucket boundaries for ``col``: ``n_buckets`` approximate quantiles
+    (one ``percentile_approx`` aggregate; n_buckets + 1 numbers reach the
+    driver), each interval cut into ``sub_buckets`` equal-width pieces."""
+    probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
+    b = src.agg(F.percentile_approx(col, probs, max(10000, 4 * n_buckets)).alias("s"),
+                F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    if b["lo"] is None:
+        return [float("-inf"), 0.0, float("inf")]  # empty input: any valid split list
+    edges = sorted({float(b["lo"]), *[float(x) for x in (b["s"] or [])], float(b["hi"])})
+    inner = set(edges)
+    for lo, hi in zip(edges, edges[1:]):
+        step = (hi - lo) / sub_buckets
+        inner.update(lo + j * step for j in range(1, sub_buckets))
+    return [float("-inf"), *sorted(inner), float("inf")]
+
+
 def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
                       n_buckets: int = 128, sub_buckets: int = 64, out="below",
                       bounds: tuple | None = None) -> DataFrame:
@@ -48,23 +65,13 @@ def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
     outs = [out] if isinstance(out, str) else list(out)
     vd = "__vd"
     base = ties.withColumn(vd, F.col(value).cast("double"))
-    probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
     if bounds is not None:
         src, col = bounds
         col = F.col(col) if isinstance(col, str) else col
         src = src.select(col.cast("double").alias(vd))
     else:
         src = base
-    b = src.agg(F.percentile_approx(vd, probs, max(10000, 4 * n_buckets)).alias("s"),
-                F.min(vd).alias("lo"), F.max(vd).alias("hi")).first()
-    splits = [float("-inf"), 0.0, float("inf")]  # empty input: any valid split list
-    if b["lo"] is not None:
-        edges = sorted({float(b["lo"]), *[float(x) for x in (b["s"] or [])], float(b["hi"])})
-        inner = set(edges)
-        for lo, hi in zip(edges, edges[1:]):
-            step = (hi - lo) / sub_buckets
-            inner.update(lo + j * step for j in range(1, sub_buckets))
-        splits = [float("-inf"), *sorted(inner), float("inf")]
+    splits = bucket_splits(src, vd, n_buckets, sub_buckets)
     tb = Bucketizer(splits=splits, inputCol=vd, outputCol="__b", handleInvalid="keep").transform(base)
     btot = tb.groupBy(*scope, "__b").agg(*[F.sum(c).alias(f"__bt{i}") for i, c in enumerate(counts)])
     w_off = Window.partitionBy(*scope).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,32 +114,47 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     scope: Sequence[str] | str | None = None, n_buckets: int = 128,
                     weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / R type 7, DuckDB
-    ``quantile_cont``) without gathering a group's values in one task.
-
+    ``quantile_cont``) without sorting or gathering a group's values.
+
+    1. rows per ordered bucket (map-side combined: at most |scope| x buckets rows);
+    2. running offsets over those counts locate the bucket holding each target
+       rank p (N - 1) (floor and ceiling);
+    3. only the rows of those few buckets are ordered exactly (a semi-join with
+       the small target table), so the data shuffled for ordering is a tiny
+       slice of the input however large it is.
+    ``weight``: ``df`` is a frequency table with that count column.
     Output: scope..., p, q.
     """
+    from pyspark.ml.feature import Bucketizer
+
     scope = as_list(scope)
-    hist = histogram_by(df, scope, None, value, weight)
-    ties = hist.withColumnRenamed("__n", "__t")
-    cum = cumulative_counts(ties, scope, "__v", "__t", n_buckets, out="__below", bounds=(df, value))
-    if scope:
-        tot = ties.groupBy(*scope).agg(F.sum("__t").alias("__N"))
-        cum = cum.join(tot, scope)
-    else:
-        # the total from a narrow scan of the input, not from the shuffled histogram
-        n = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
-        cum = attach_scalars(cum, df.where(F.col(value).isNotNull()).agg(n.alias("__N")))
+    w_col = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    base = df.where(F.col(value).isNotNull()).select(*scope, F.col(value).cast("double").alias("__v"),
+                                                    w_col.alias("__w"))
+    splits = bucket_splits(base, "__v", n_buckets)
+    bk = Bucketizer(splits=splits, inputCol="__v", outputCol="__b", handleInvalid="keep").transform(base)
+    cnt = bk.groupBy(*scope, "__b").agg(F.sum("__w").alias("__c"))
+    w_all = Window.partitionBy(*scope)
+    w_run = Window.partitionBy(*scope).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    cnt = (cnt.withColumn("__off", F.coalesce(F.sum("__c").over(w_run), F.lit(0)))
+           .withColumn("__N", F.sum("__c").over(w_all)))
     pos = F.col("p") * (F.col("__N") - 1)
-    lo = F.floor(pos)
-    hi = F.ceil(pos)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    in_bucket = lambda idx: (F.col("__off") <= idx) & (idx < F.col("__off") + F.col("__c"))
+    targets = (cnt.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+               .where(in_bucket(lo) | in_bucket(hi))
+               .select(*scope, "__b", "p", "__off", lo.alias("__lo"), hi.alias("__hi"), (pos - lo).alias("__frac")))
+    need = targets.select(*scope, "__b").distinct()
+    wl = Window.partitionBy(*scope, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    hist = (bk.join(need, [*scope, "__b"], "left_semi")
+            .groupBy(*scope, "__b", "__v").agg(F.sum("__w").alias("__t"))
+            .withColumn("__local", F.coalesce(F.sum("__t").over(wl), F.lit(0))))
+    j = hist.join(targets, [*scope, "__b"]).withColumn("__below", F.col("__off") + F.col("__local"))
     covers = lambda idx: (F.col("__below") <= idx) & (idx < F.col("__below") + F.col("__t"))
-    ex = (cum.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-          .withColumn("__lo", covers(lo)).withColumn("__hi", covers(hi))
-          .where(F.col("__lo") | F.col("__hi")))
-    v = F.col("__v").cast("double")
-    agg = (ex.groupBy(*scope, "p")
-           .agg(F.max(F.when(F.col("__lo"), v)).alias("__vlo"), F.max(F.when(F.col("__hi"), v)).alias("__vhi"),
-                F.first(pos - lo).alias("__frac")))
+    agg = (j.groupBy(*scope, "p")
+           .agg(F.max(F.when(covers(F.col("__lo")), F.col("__v"))).alias("__vlo"),
+                F.max(F.when(covers(F.col("__hi")), F.col("__v"))).alias("__vhi"),
+                F.first("__frac").alias("__frac")))
     return agg.select(*scope, "p",
                       (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias("q"))
 

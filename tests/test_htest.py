@@ -253,3 +253,22 @@ def test_residual_ks_matches_brute_force(spark):
             for i, x in enumerate(s))
     assert got["n"] == n
     assert got["ks_statistic"] == pytest.approx(d, rel=1e-9)
+
+
+def test_exact_quantiles_with_scope_weights_and_skew(spark):
+    import numpy as np
+    rnd = random.Random(41)
+    rows = []
+    for s in ("x", "y"):
+        rows += [(s, 7.0)] * 200 + [(s, rnd.lognormvariate(1, 1.5)) for _ in range(300 if s == "x" else 37)]
+    df = spark.createDataFrame(rows, "s string, v double")
+    probs = [0.0, 0.05, 0.5, 0.77, 1.0]
+    got = {(r["s"], r["p"]): r["q"] for r in exact_quantiles(df, "v", probs, "s", n_buckets=4).collect()}
+    freq = df.groupBy("s", "v").count()
+    got_w = {(r["s"], r["p"]): r["q"] for r in exact_quantiles(freq, "v", probs, "s", weight="count").collect()}
+    for s in ("x", "y"):
+        vals = np.array([v for ss, v in rows if ss == s])
+        for p in probs:
+            want = float(np.percentile(vals, p * 100))
+            assert got[(s, p)] == pytest.approx(want, rel=1e-12)
+            assert got_w[(s, p)] == pytest.approx(want, rel=1e-12)
