@@ -82,10 +82,6 @@ def stratified_folds(df: DataFrame, label: str, key: Sequence[str] | str, k: int
     return r.withColumn(col, ((F.col("class_rank") - 1) % k).cast("int")).drop("class_rank", "class_n")
 
 
-def _class_sizes(df: DataFrame, label: str) -> dict:
-    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-
-
 def undersample(df: DataFrame, label: str, key: Sequence[str] | str, seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest class, without replacement,
     exact counts (R4)."""
