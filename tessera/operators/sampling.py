@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators._util import as_list
-from tessera.operators.rank import cumulative_counts
+from tessera.operators.rank import bucket_splits, cumulative_counts
 
 _M = 1000003  # a prime modulus for the portable affine hash
 
@@ -62,16 +62,56 @@ def class_ranks(df: DataFrame, label: str, key: Sequence[str] | str, seed: int =
     return ranked.withColumn(out, F.col("__below") + F.row_number().over(w)).drop("__u", "__below")
 
 
+def select_first_per_class(df: DataFrame, label: str, key: Sequence[str] | str, keep: Column,
+                           seed: int = 42, col: str = "__selected", n_buckets: int = 128) -> DataFrame:
+    """Flag the first ``keep`` rows of each class in hash order (``keep`` is an
+    expression over ``label`` and ``class_n``, the class size), exactly, without
+    ranking every row.
+
+    Rows are counted per (class, ordered hash bucket); running offsets find the
+    one bucket per class where the cut falls; only that bucket's rows are
+    ordered (hash, then key) to place the cut. Every other row is decided by
+    comparing its bucket with the cut bucket — no shuffle of the data itself.
+    """
+    from pyspark.ml.feature import Bucketizer
+    from pyspark.sql import Window
+
+    key = as_list(key)
+    h = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
+    base = df.withColumn("__h", h).withColumn("__hd", F.col("__h").cast("double"))
+    splits = bucket_splits(base, "__hd", n_buckets)
+    bk = Bucketizer(splits=splits, inputCol="__hd", outputCol="__b", handleInvalid="keep").transform(base)
+    cnt = bk.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    w_run = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    cnt = (cnt.withColumn("__off", F.coalesce(F.sum("__c").over(w_run), F.lit(0)))
+           .withColumn("class_n", F.sum("__c").over(Window.partitionBy(label)))
+           .withColumn("__keep", keep.cast("long")))
+    # per class: the bucket holding the cut (or none when the class keeps all / nothing)
+    cut = (cnt.where((F.col("__off") < F.col("__keep")) & (F.col("__keep") <= F.col("__off") + F.col("__c")))
+           .select(label, F.col("__b").alias("__cut_b"), (F.col("__keep") - F.col("__off")).alias("__need")))
+    info = cnt.groupBy(label).agg(F.first("class_n").alias("class_n"), F.first("__keep").alias("__keep"))
+    info = info.join(cut, label, "left")
+    rows = bk.join(info, label)
+    inside = F.col("__cut_b").isNotNull() & (F.col("__b") == F.col("__cut_b"))
+    outside = rows.where(~inside | F.col("__cut_b").isNull()).withColumn(
+        col, F.when(F.col("__cut_b").isNull(), F.col("__keep") >= F.col("class_n"))
+        .otherwise(F.col("__b") < F.col("__cut_b")))
+    w_cut = Window.partitionBy(label).orderBy("__h", *key)
+    at_cut = rows.where(inside).withColumn(col, F.row_number().over(w_cut) <= F.col("__need"))
+    return (outside.unionByName(at_cut)
+            .drop("__h", "__hd", "__b", "__cut_b", "__need", "__keep"))
+
+
 def stratified_split(df: DataFrame, label: str, key: Sequence[str] | str, test_fraction: float = 0.2,
                      seed: int = 42, exact: bool = True, col: str = "split") -> DataFrame:
     """Split keeping class shares (R2). ``exact``: exactly round(n_c * (1 - f))
     training rows per class, as scikit-learn; otherwise a per-row hash threshold."""
     if not exact:
         return hash_split(df, key, test_fraction, seed, col=col)
-    r = class_ranks(df, label, key, seed)
     n_train = F.round(F.col("class_n") * (1 - test_fraction))
-    return (r.withColumn(col, F.when(F.col("class_rank") <= n_train, "train").otherwise("test"))
-            .drop("class_rank", "class_n"))
+    sel = select_first_per_class(df, label, key, n_train, seed)
+    return (sel.withColumn(col, F.when(F.col("__selected"), "train").otherwise("test"))
+            .drop("__selected", "class_n"))
 
 
 def stratified_folds(df: DataFrame, label: str, key: Sequence[str] | str, k: int = 5, seed: int = 42,
@@ -85,14 +125,10 @@ def stratified_folds(df: DataFrame, label: str, key: Sequence[str] | str, k: int
 def undersample(df: DataFrame, label: str, key: Sequence[str] | str, seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest class, without replacement,
     exact counts (R4)."""
-    r = class_ranks(df, label, key, seed)
-    return r.where(F.col("class_rank") <= _min_class(r, label)).drop("class_rank", "class_n")
-
-
-def _min_class(r: DataFrame, label: str) -> Column:
     # the smallest class size: one number per class reaches the driver
-    sizes = r.groupBy(label).agg(F.first("class_n").alias("n")).collect()
-    return F.lit(min(s["n"] for s in sizes))
+    n_min = min(r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect())
+    sel = select_first_per_class(df, label, key, F.lit(n_min), seed)
+    return sel.where(F.col("__selected")).drop("__selected", "class_n")
 
 
 def oversample(df: DataFrame, label: str, key: Sequence[str] | str, seed: int = 42) -> DataFrame:

@@ -135,3 +135,17 @@ def test_auc_equals_spark_exact_evaluator(spark):
     df = spark.createDataFrame(pairs, "y double, s double")
     ev = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", metricName="areaUnderROC", numBins=0)
     assert evaluate.auc(df, "y", "s").first()["auc"] == pytest.approx(ev.evaluate(df), rel=1e-9)
+
+
+def test_select_first_per_class_equals_full_ranking(spark):
+    from pyspark.sql import Window
+    df = _labels(spark, 3000, 0.25, seed=9)
+    keep = F.when(F.col("y") == 1, F.lit(137)).otherwise(F.round(F.col("class_n") * 0.3))
+    sel = sampling.select_first_per_class(df, "y", "id", keep, seed=42, n_buckets=8)
+    got = {r["id"] for r in sel.where("__selected").collect()}
+    h = df.withColumn("__h", F.xxhash64("id", F.lit(42)))
+    rn = F.row_number().over(Window.partitionBy("y").orderBy("__h", "id"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("y"))
+    brute = h.withColumn("rn", rn).withColumn("n", n).where(
+        F.when(F.col("y") == 1, F.col("rn") <= 137).otherwise(F.col("rn") <= F.round(F.col("n") * 0.3)))
+    assert got == {r["id"] for r in brute.collect()}
