@@ -27,7 +27,9 @@ def main() -> None:
     for i, name in rows:
         qs = cov.get(i, [])
         cell = ", ".join(f"**{n}**" if s else n for n, s in qs[:6]) + (" …" if len(qs) > 6 else "")
-        lines.append(f"| {i} | {name.strip()[:70]} | {cell or 'not built (see below)'} |")
+        label = name.strip().replace("`", "")
+        label = label if len(label) <= 70 else label[:69].rstrip() + "…"
+        lines.append(f"| {i} | {label} | {cell or 'not built (see below)'} |")
     table = "\n".join(lines) + "\n"
     p = os.path.join(ROOT, "README.md")
     s = open(p).read()
