@@ -115,11 +115,42 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str] | str, test_f
 
 
 def stratified_folds(df: DataFrame, label: str, key: Sequence[str] | str, k: int = 5, seed: int = 42,
-                     col: str = "fold") -> DataFrame:
-    """Assign folds 0..k-1 round-robin in hash order within each class (R3):
-    fold sizes per class differ by at most one."""
-    r = class_ranks(df, label, key, seed)
-    return r.withColumn(col, ((F.col("class_rank") - 1) % k).cast("int")).drop("class_rank", "class_n")
+                     col: str = "fold", n_buckets: int = 128) -> DataFrame:
+    """Assign folds 0..k-1 within each class (R3): in hash order, contiguous
+    blocks of sizes n // k + (f < n % k), so fold sizes per class differ by at
+    most one.
+
+    Like the split, it only orders the rows of the (at most k - 1) buckets per
+    class that contain a fold boundary; every other row takes the fold of its
+    bucket.
+    """
+    from pyspark.ml.feature import Bucketizer
+    from pyspark.sql import Window
+
+    key = as_list(key)
+    base = (df.withColumn("__h", F.xxhash64(*[F.col(c) for c in key], F.lit(seed)))
+            .withColumn("__hd", F.col("__h").cast("double")))
+    splits = bucket_splits(base, "__hd", n_buckets)
+    bk = Bucketizer(splits=splits, inputCol="__hd", outputCol="__b", handleInvalid="keep").transform(base)
+    cnt = bk.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    w_run = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("__c").over(Window.partitionBy(label))
+    cnt = cnt.withColumn("__off", F.coalesce(F.sum("__c").over(w_run), F.lit(0))).withColumn("__n", n)
+    # fold f starts after cut_f = f * (n // k) + min(f, n % k) rows, f = 1..k-1
+    cuts = F.array(*[F.lit(f) * F.floor(F.col("__n") / k) + F.least(F.lit(f), F.col("__n") % k)
+                     for f in range(1, k)]) if k > 1 else F.array().cast("array<long>")
+    cnt = (cnt.withColumn("__cuts", cuts)
+           .withColumn("__bfold", F.size(F.filter("__cuts", lambda x: x <= F.col("__off"))))
+           .withColumn("__split", F.exists("__cuts", lambda x: (F.col("__off") < x) & (x < F.col("__off") + F.col("__c"))))
+           .drop("__c", "__n"))
+    rows = bk.join(cnt, [label, "__b"])
+    whole = rows.where(~F.col("__split")).withColumn(col, F.col("__bfold").cast("int"))
+    w_b = Window.partitionBy(label, "__b").orderBy("__h", *key)
+    rank = F.col("__off") + F.row_number().over(w_b)
+    cut = (rows.where(F.col("__split")).withColumn("__rank", rank)
+           .withColumn(col, F.size(F.filter("__cuts", lambda x: x < F.col("__rank"))).cast("int"))
+           .drop("__rank"))
+    return whole.unionByName(cut).drop("__h", "__hd", "__b", "__off", "__cuts", "__bfold", "__split")
 
 
 def undersample(df: DataFrame, label: str, key: Sequence[str] | str, seed: int = 42) -> DataFrame:

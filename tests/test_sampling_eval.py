@@ -149,3 +149,17 @@ def test_select_first_per_class_equals_full_ranking(spark):
     brute = h.withColumn("rn", rn).withColumn("n", n).where(
         F.when(F.col("y") == 1, F.col("rn") <= 137).otherwise(F.col("rn") <= F.round(F.col("n") * 0.3)))
     assert got == {r["id"] for r in brute.collect()}
+
+
+def test_folds_are_contiguous_blocks_of_the_hash_order(spark):
+    from pyspark.sql import Window
+    df = _labels(spark, 2003, 0.3, seed=10)
+    got = {r["id"]: r["fold"] for r in sampling.stratified_folds(df, "y", "id", 5, 42, n_buckets=8).collect()}
+    h = df.withColumn("__h", F.xxhash64("id", F.lit(42)))
+    rn = F.row_number().over(Window.partitionBy("y").orderBy("__h", "id"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("y"))
+    for r in h.withColumn("rn", rn).withColumn("n", n).collect():
+        size = [r["n"] // 5 + (1 if f < r["n"] % 5 else 0) for f in range(5)]
+        bounds = [sum(size[:f + 1]) for f in range(5)]
+        want = next(f for f in range(5) if r["rn"] <= bounds[f])
+        assert got[r["id"]] == want
