@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings every session should carry; anything already set by the cluster wins.
@@ -39,8 +39,10 @@ def get_session(master: str | None = None, app: str = "tessera",
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
+    given = SparkConf()
     for k, v in conf.items():
-        b = b.config(k, v)
+        if not given.contains(k):  # spark-submit and spark-defaults come first
+            b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -50,25 +52,26 @@ def get_session(master: str | None = None, app: str = "tessera",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a private folder is created.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a local master
+    (tests) gets a private folder; any other master is an error, because executors could
+    not see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tessera-ckpt-")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() or named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
 
 
 def materialize(df):
