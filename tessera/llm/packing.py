@@ -29,7 +29,7 @@ from tessera.llm.tokens import encoder, token_table, vocabulary_path
 SEQUENCE = 4096
 END_ID = 2
 #: Tokens of a queue that one task orders.
-BUCKET_TOKENS = 16_000_000
+BUCKET_TOKENS = 2_000_000
 
 
 @dataclass(frozen=True)

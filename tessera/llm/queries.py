@@ -6,11 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, packing, quality, simhash
+from tessera.llm import ann, decontaminate, extract, langid, packing, quality, simhash, token_counts, training_order, warc
 from tessera.llm.common import crc_mod
 from tessera.sources.tables import load
 
 
+def op1_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)))
     model = langid.learn(docs, ~F.col("held_out"))
@@ -32,6 +36,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(load(spark, sf_dir, "documents"))
+
+
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)))
     model = quality.learn(docs, load(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
@@ -39,12 +47,30 @@ def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract.main_text(load(spark, sf_dir, "pages"), ["page_id", "url"])
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(load(spark, sf_dir, "pages")).drop("complete")
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_multiprobe_search": op1_multiprobe_search,
     "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_token_counts": op6_token_counts,
     "op7_compression_quality": op7_compression_quality,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_warc_segments": op9_warc_segments,
+    "op10_training_order": op10_training_order,
 }
 
 _WORDS = ("list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "

@@ -126,7 +126,7 @@ def encoder(path: str) -> WordBpe:
     return _made[path]
 
 
-def batches(texts: pa.Array, chars: int = 24 << 20):
+def batches(texts: pa.Array, chars: int = 12 << 20):
     """Slices (start, stop) of about ``chars`` bytes of text, at least one row each."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
