@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks and pieces in each of the cache's two generations, per Python worker.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Chunks longer than this are encoded each time.
 CACHE_CHARS = 48
 
@@ -111,8 +111,11 @@ class WordBpe:
         code = words.indices.to_numpy()
         length = size[code]
         ends = np.cumsum(length)
-        place = np.arange(ends[-1] if len(ends) else 0)
-        place += np.repeat((np.cumsum(size) - size)[code] - (ends - length), length)
+        if not len(ends):
+            return np.empty(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
+        kind = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+        place = np.arange(ends[-1], dtype=kind)
+        place += np.repeat(((np.cumsum(size) - size)[code] - (ends - length)).astype(kind), length)
         return flat[place], np.concatenate([[0], ends])[begin]
 
 
@@ -126,7 +129,7 @@ def encoder(path: str) -> WordBpe:
     return _made[path]
 
 
-def batches(texts: pa.Array, chars: int = 12 << 20):
+def batches(texts: pa.Array, chars: int = 6 << 20):
     """Slices (start, stop) of about ``chars`` bytes of text, at least one row each."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
