@@ -43,6 +43,12 @@ def listing(spark, folder: str, pattern: str):
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
+def spread(rows, at_most: int = 100_000):
+    """Few small rows that stand for much work each (files, blocks), one or a few a task; an
+    adaptive plan would put them all in one."""
+    return rows.repartition(max(1, min(at_most, rows.count())))
+
+
 def size_of(folder: str, name: str) -> int:
     """Bytes of a file, -1 if there is none."""
     f, base = filesystem(folder)

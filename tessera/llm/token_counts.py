@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import new_path, save
-from tessera.llm.files import AtomicFile, filesystem, listing
+from tessera.llm.files import AtomicFile, filesystem, listing, spread
 from tessera.llm.tokens import encoder, token_table, vocabulary_path
 
 #: The vocabulary's own end-of-text id, which no text encodes to.
@@ -74,7 +74,7 @@ def count_tokens(spark: SparkSession, folder: str, itemsize: int, end_id: int =
                     [pa.array([name]), pa.array([tokens]), pa.array([block]), pa.array([ends], pa.list_(pa.int64()))],
                     ["name", "tokens", "block", "ends"])
 
-    found = save(blocks.repartition("name", "block").mapInArrow(
+    found = save(spread(blocks).mapInArrow(
         scan, "name string, tokens long, block long, ends array<long>"), "token-ends")
     each = found.select("name", "block", F.expr(f"block div {SUPER}").alias("super"), F.size("ends").alias("n"),
                         F.try_element_at("ends", F.lit(-1)).alias("last"))

@@ -61,7 +61,7 @@ class WordBpe:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() else "".join([self._letters[b] for b in piece.encode()])
+        letters = piece if piece.isascii() and piece.isprintable() else "".join([self._letters[b] for b in piece.encode()])
         return array(self._code, [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import new_path, save
-from tessera.llm.files import AtomicFile, filesystem, listing, size_of
+from tessera.llm.files import AtomicFile, filesystem, listing, size_of, spread
 from tessera.llm.tokens import encoder, token_table, vocabulary_path
 
 LENGTH = 1024
@@ -181,7 +181,7 @@ def read_shards(spark: SparkSession, folder: str, stride: int, per_shard: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(crc))), pa.array(crc, pa.int64())],
                                                  ["slot", "ids_crc32"])
 
-    return files.repartition("name").mapInArrow(run, "slot long, ids_crc32 long")
+    return spread(files).mapInArrow(run, "slot long, ids_crc32 long")
 
 
 def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import new_path, save
-from tessera.llm.files import AtomicFile, filesystem, listing
+from tessera.llm.files import AtomicFile, filesystem, listing, spread
 
 #: Payloads from this size on are written once; equal ones revisit the first.
 LEAST_REVISIT = 100
@@ -200,7 +200,7 @@ def scan_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return listing(spark, folder, "*.warc.gz").select("path", "name").repartition("name").mapInArrow(run, _RAW)
+    return spread(listing(spark, folder, "*.warc.gz").select("path", "name")).mapInArrow(run, _RAW)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
