@@ -20,7 +20,7 @@ SAMPLE_PER_LANGUAGE = 250
 #: Hashed features.
 DIM = 1 << 12
 #: Bytes of text that are featurised at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 19
 
 # Families of common languages by ISO 639-1 code. Languages not listed join
 # the family of the listed language whose training texts are most alike.

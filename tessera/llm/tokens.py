@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks and pieces in each of the cache's two generations, per Python worker.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 300_000
 #: Chunks longer than this are encoded each time.
 CACHE_CHARS = 48
 
@@ -129,7 +129,7 @@ def encoder(path: str) -> WordBpe:
     return _made[path]
 
 
-def batches(texts: pa.Array, chars: int = 6 << 20):
+def batches(texts: pa.Array, chars: int = 12 << 20):
     """Slices (start, stop) of about ``chars`` bytes of text, at least one row each."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
