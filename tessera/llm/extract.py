@@ -131,7 +131,8 @@ class _Maker:
             if r.random() < 0.08:
                 out.append(self.boiler())
         if r.random() < 0.1:
-            out = [f"<div>{''.join(out)}</div>"]
+            deep = r.randint(1, 8)
+            out = ["<div>" * deep, *out, "</div>" * deep]
         return "".join(out)
 
     def page(self) -> str:
