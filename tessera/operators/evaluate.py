@@ -17,9 +17,14 @@ from tessera.operators._util import as_list, attach_scalars
 from tessera.operators.rank import cumulative_counts, midranks
 
 
+def _judged(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Rows that have both a score and a label."""
+    return df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+
+
 def _score_table(df: DataFrame, label: str, score: str, scope: list[str]) -> DataFrame:
     y = F.col(label).cast("double")
-    return (df.where(F.col(score).isNotNull())
+    return (_judged(df, label, score)
             .groupBy(*scope, F.col(score).cast("double").alias("score"))
             .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.count(F.lit(1)).alias("n")))
 
@@ -30,14 +35,14 @@ def roc_points(df: DataFrame, label: str, score: str, scope: Sequence[str] | str
     scope = as_list(scope)
     st = _score_table(df, label, score, scope).withColumn("neg_score", -F.col("score"))
     above = cumulative_counts(st, scope, "neg_score", ["pos", "neg"], out=["__pos_above", "__neg_above"],
-                              bounds=(df.where(F.col(score).isNotNull()), -F.col(score).cast("double")))
+                              bounds=(_judged(df, label, score), -F.col(score).cast("double")))
     tot = (st.groupBy(*scope) if scope else st).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
     if scope:
         j = above.join(tot, scope)
     else:
         # class totals from a narrow scan of the input, not from the shuffled score table
         y = F.col(label).cast("double")
-        raw = df.where(F.col(score).isNotNull()).agg(F.sum(y).alias("__P"), F.sum(1 - y).alias("__N"))
+        raw = _judged(df, label, score).agg(F.sum(y).alias("__P"), F.sum(1 - y).alias("__N"))
         j = attach_scalars(above, raw)
     tp = F.col("__pos_above") + F.col("pos")
     fp = F.col("__neg_above") + F.col("neg")
@@ -51,10 +56,10 @@ def auc(df: DataFrame, label: str, score: str, scope: Sequence[str] | str | None
     (R_pos - n_pos (n_pos + 1) / 2) / (n_pos n_neg). NULL for one class."""
     scope = as_list(scope)
     y = F.col(label).cast("int")
-    hist = (df.where(F.col(score).isNotNull())
+    hist = (_judged(df, label, score)
             .groupBy(*scope, y.alias("__y"), F.col(score).cast("double").alias("__v"))
             .agg(F.count(F.lit(1)).alias("__n")))
-    ranked, _ = midranks(hist, scope, bounds=(df.where(F.col(score).isNotNull()), score))
+    ranked, _ = midranks(hist, scope, bounds=(_judged(df, label, score), score))
     agg = [F.sum(F.when(F.col("__y") == 1, F.col("__n"))).alias("n_pos"),
            F.sum(F.when(F.col("__y") != 1, F.col("__n"))).alias("n_neg"),
            F.sum(F.when(F.col("__y") == 1, F.col("__n") * F.col("midrank"))).alias("__r")]

@@ -26,9 +26,9 @@ def _div(a, b):
 # ----------------------------------------------------------------- correlation
 
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] | str | None = None) -> DataFrame:
-    """Pearson r overall or per group (H1), with n."""
+    """Pearson r overall or per group (H1), with n, the rows where both are known."""
     by = as_list(by)
-    agg = [F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r")]
+    agg = [F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"), F.corr(x, y).alias("r")]
     return df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
 
 
@@ -49,10 +49,13 @@ def f_scores(df: DataFrame, y: str, features: Sequence[str], with_p: bool = True
 
 def t_test(df: DataFrame, group: str, value: str, with_p: bool = True) -> DataFrame:
     """Two-sample t-test with pooled variance (H3). Groups ordered by label:
-    t = mean(first) - mean(second) over its standard error."""
-    g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"),
+    t = mean(first) - mean(second) over its standard error. Rows without a group or
+    a value are left out; other than two groups are an error."""
+    g = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"),
                               F.var_samp(value).alias("v"))
     two = g.agg(F.sort_array(F.collect_list(F.struct(group, "n", "m", "v"))).alias("s"))
+    two = two.select(F.when(F.size("s") == 2, F.col("s")).otherwise(
+        F.raise_error(F.lit(f"t_test needs two groups in {group}"))).alias("s"))
     a, b = F.col("s")[0], F.col("s")[1]
     n1, n2 = a["n"], b["n"]
     sp2 = _div((n1 - 1) * a["v"] + (n2 - 1) * b["v"], n1 + n2 - 2)
@@ -337,11 +340,6 @@ def distribution_profile(df: DataFrame, value: str, by: Sequence[str] | str | No
     agg = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"),
            F.min(v).alias("min"), F.max(v).alias("max"),
            F.avg((v == 0).cast("double")).alias("zero_share"),
-           F.avg(v * v).alias("__m2r"), F.avg(v * v * v).alias("__m3r"), F.avg(v * v * v * v).alias("__m4r")]
+           F.skewness(v).alias("skewness"), (F.kurtosis(v) + 3).alias("kurtosis")]
     out = df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
-    mu = F.col("mean")
-    m2 = F.col("__m2r") - mu * mu
-    m3 = F.col("__m3r") - 3 * mu * F.col("__m2r") + 2 * mu * mu * mu
-    m4 = F.col("__m4r") - 4 * mu * F.col("__m3r") + 6 * mu * mu * F.col("__m2r") - 3 * mu * mu * mu * mu
-    return out.select(*by, "n", "mean", "sd", "min", "max", "zero_share",
-                      _div(m3, F.pow(m2, 1.5)).alias("skewness"), _div(m4, m2 * m2).alias("kurtosis"))
+    return out.select(*by, "n", "mean", "sd", "min", "max", "zero_share", "skewness", "kurtosis")

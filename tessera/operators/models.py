@@ -141,8 +141,9 @@ def forest_regressor(features: Sequence[str], label: str, num_trees: int = 10, m
 
 def forest_classifier(features: Sequence[str], label: str, num_trees: int = 100, max_features: int | None = 20,
                       max_depth: int = 10, seed: int = 42) -> list:
-    """Random-forest classifier, ``max_features`` candidate features per split (M5)."""
-    strategy = str(min(max_features, len(features))) if max_features else "auto"
+    """Random-forest classifier, ``max_features`` candidate features per split (M5), counted in
+    the assembled vector, which is wider than ``features`` where inputs are one-hot vectors."""
+    strategy = str(max_features) if max_features else "auto"
     est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees,
                                  featureSubsetStrategy=strategy, maxDepth=max_depth, seed=seed, cacheNodeIds=True)
     return [assembler(features), est]

@@ -86,14 +86,15 @@ def cumulative_counts(ties: DataFrame, scope: Sequence[str], value: str, count,
 
 def histogram_by(df: DataFrame, scope: Sequence[str], group: str | None, value: str,
                  weight: str | None = None) -> DataFrame:
-    """(scope, group, __v, __n): rows per distinct value, NULL values dropped.
+    """(scope, group, __v, __n): rows per distinct value, NULL values and groups dropped.
 
     With ``weight`` the input is already a frequency table and the weights
     are summed (so tests can run on a pre-aggregated, reused table)."""
     scope = as_list(scope)
     g = [group] if group else []
     n = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
-    return (df.where(F.col(value).isNotNull())
+    known = F.col(value).isNotNull() & (F.col(group).isNotNull() if group else F.lit(True))
+    return (df.where(known)
             .groupBy(*scope, *g, F.col(value).alias("__v")).agg(n.alias("__n")))
 
 
