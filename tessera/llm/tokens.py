@@ -103,20 +103,26 @@ class WordBpe:
         begin = split.offsets.to_numpy().astype(np.int64)
         words = pc.dictionary_encode(split.flatten())
         begin -= begin[0]
+        del split
         ids = [self._kept(c, self._chunk) for c in words.dictionary.to_pylist()]
         if not ids:
             return np.empty(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
         flat = np.frombuffer(b"".join(ids), self.dtype)
         code = words.indices.to_numpy()
-        length = size[code]
-        ends = np.cumsum(length)
-        if not len(ends):
+        del words, ids
+        if not len(code):
             return np.empty(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
-        kind = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+        kind = np.int32 if size.max() * len(code) < 1 << 31 else np.int64
+        length = size.astype(kind)[code]
+        ends = np.cumsum(length, dtype=kind)
+        shift = (np.cumsum(size) - size).astype(kind)[code]
+        shift -= ends
+        shift += length
         place = np.arange(ends[-1], dtype=kind)
-        place += np.repeat(((np.cumsum(size) - size)[code] - (ends - length)).astype(kind), length)
-        return flat[place], np.concatenate([[0], ends])[begin]
+        place += np.repeat(shift, length)
+        del shift, length
+        return flat[place], np.concatenate([[0], ends])[begin].astype(np.int64)
 
 
 _made: dict[str, WordBpe] = {}
@@ -129,7 +135,7 @@ def encoder(path: str) -> WordBpe:
     return _made[path]
 
 
-def batches(texts: pa.Array, chars: int = 12 << 20):
+def batches(texts: pa.Array, chars: int = 4 << 20):
     """Slices (start, stop) of about ``chars`` bytes of text, at least one row each."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
