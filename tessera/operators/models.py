@@ -1,7 +1,7 @@
 """Models (M1-M10): ordinary least squares from one aggregate pass, and Spark
 ML pipelines for the linear, lasso, logistic, forest and boosted models.
 
-OLS needs only X'X, X'y and y'y — (p + 1)^2 sums, one distributed aggregate —
+OLS needs only means and covariances — (p + 1)^2 / 2 of them, one distributed aggregate —
 and a second pass for residual moments; the p x p solve runs on the driver
 and is bounded by the number of predictors, never by rows.
 """
@@ -33,6 +33,7 @@ class OlsFit:
     sse: float
     sst: float
     moments: dict
+    rank: int = 0
 
     def coefficients(self, spark: SparkSession | None = None, level: float = 0.95) -> DataFrame:
         """term, coef, std_err, t, p_value, ci_low, ci_high (statsmodels' summary table)."""
@@ -76,26 +77,35 @@ class OlsFit:
 
 def ols(df: DataFrame, y: str, xs: Sequence[str]) -> OlsFit:
     """Least squares with intercept (M1, M2 without penalty). Rows with a NULL
-    in y or any x are dropped, as the formula interface does."""
+    in y or any x are dropped, as the formula interface does. Moments are centred;
+    collinear or constant predictors get the smallest coefficients and ``rank`` tells of them."""
     xs = list(xs)
-    cols = ["__one", *xs]
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in xs], F.col(y).cast("double").alias("__y")) \
-        .na.drop().withColumn("__one", F.lit(1.0))
-    aggs = [F.sum(F.col(a) * F.col(b)).alias(f"xx_{i}_{j}") for i, a in enumerate(cols)
-            for j, b in enumerate(cols) if j >= i]
-    aggs += [F.sum(F.col(a) * F.col("__y")).alias(f"xy_{i}") for i, a in enumerate(cols)]
-    aggs += [F.sum(F.col("__y") * F.col("__y")).alias("yy"), F.var_pop("__y").alias("vy")]
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in xs], F.col(y).cast("double").alias("__y")).na.drop()
+    cols = [*xs, "__y"]
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]
+    aggs += [F.covar_pop(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
     r = d.agg(*aggs).first()
-    k = len(cols)
-    xtx = np.zeros((k, k))
+    n, k = r["n"], len(cols)
+    if not n:
+        raise ValueError("no row has a value in every column")
+    mean = np.array([r[f"m_{i}"] for i in range(k)])
+    s = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
-            xtx[i, j] = xtx[j, i] = r[f"xx_{i}_{j}"]
-    xty = np.array([r[f"xy_{i}"] for i in range(k)])
-    n = int(round(xtx[0, 0]))
-    inv = np.linalg.pinv(xtx)
-    beta = inv @ xty
-    fit = OlsFit(["Intercept", *xs], beta, inv, n, n - k, 0.0, float(r["vy"]) * n, {})
+            s[i, j] = s[j, i] = r[f"c_{i}_{j}"] * n
+    # solved in correlation units, so neither offsets nor scales of the predictors matter
+    unit = np.sqrt(np.diag(s)[:-1])
+    unit[unit == 0] = 1.0
+    scaled = s[:-1, :-1] / np.outer(unit, unit)
+    slopes = np.linalg.pinv(scaled, rcond=1e-12, hermitian=True) / np.outer(unit, unit)
+    rank = 1 + (int(np.linalg.matrix_rank(scaled, tol=1e-12 * max(1, k - 1), hermitian=True)) if xs else 0)
+    b = slopes @ s[:-1, -1]
+    beta = np.concatenate([[mean[-1] - mean[:-1] @ b], b])
+    inv = np.zeros((k, k))
+    inv[1:, 1:] = slopes
+    inv[0, 1:] = inv[1:, 0] = -slopes @ mean[:-1]
+    inv[0, 0] = 1 / n + mean[:-1] @ slopes @ mean[:-1]
+    fit = OlsFit(["Intercept", *xs], beta, inv, n, n - rank, 0.0, float(s[-1, -1]), {}, rank)
     pred = fit.predict(d.select(*xs, "__y"), "__p")
     res = F.col("__y") - F.col("__p")
     m = pred.agg(F.sum(res * res).alias("sse"), F.avg(res).alias("m1"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators._util import as_list, attach_scalars, null_any, unpivot_row
@@ -103,8 +103,6 @@ def standardise(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFra
 def minmax_scale(df: DataFrame, score: str, order: int = 1, digits: int | None = 3,
                  name: str = "scaled") -> DataFrame:
     """Scale ``order * score`` to [0, 1] over the frame, then round."""
-    from tessera.session import materialize
-    df = materialize(df)  # a score table is read twice (range, then rows): write it once
     s = F.col(score) * F.lit(order)
     st = df.agg(F.min(s).alias("__lo"), F.max(s).alias("__hi"))
     rng = F.col("__hi") - F.col("__lo")
@@ -115,32 +113,32 @@ def minmax_scale(df: DataFrame, score: str, order: int = 1, digits: int | None =
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
-               max_inline: int = 64) -> DataFrame:
-    """Pearson correlation of every pair i < j, long form.
+               pairs_per_pass: int = 500) -> DataFrame:
+    """Pearson correlation of every pair i < j, long form (N11), over the rows where both
+    are known; NULL where one of them is constant there.
 
-    Up to ``max_inline`` columns: one aggregate with one ``corr`` per pair (a
-    single scan, partial aggregation). Wider: ML ``Correlation.corr`` on an
-    assembled vector (one tree-aggregate); the d x d matrix is bounded by the
-    number of features, never by rows.
+    One aggregate per ``pairs_per_pass`` pairs (scan of their columns, partial
+    aggregation); the moments are the same for any number of columns.
     """
     cols = list(cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if len(cols) <= max_inline:
-        wide = df.agg(*[F.corr(cols[i], cols[j]).alias(f"__r{i}_{j}") for i, j in pairs])
+    if not pairs:
+        raise ValueError("two columns are needed")
+
+    def r(a: str, b: str):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        sd = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.try_divide(F.covar_pop(x, y), sd)
+
+    out = None
+    for k in range(0, len(pairs), pairs_per_pass):
+        part = pairs[k:k + pairs_per_pass]
+        wide = df.agg(*[r(cols[i], cols[j]).alias(f"__r{i}_{j}") for i, j in part])
         structs = [F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
-                            F.col(f"__r{i}_{j}").alias("r")) for i, j in pairs]
-        out = wide.select(F.inline(F.array(*structs)))
-    else:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=cols, outputCol="__v", handleInvalid="skip").transform(df)
-        m = Correlation.corr(vec, "__v").first()[0].toArray()
-        spark = SparkSession.getActiveSession()
-        rows = [(cols[i], cols[j], float(m[i, j])) for i, j in pairs]
-        out = spark.createDataFrame(rows, "feature_a string, feature_b string, r double")
-    if absolute:
-        out = out.withColumn("r", F.abs("r"))
-    return out
+                            F.col(f"__r{i}_{j}").alias("r")) for i, j in part]
+        rows = wide.select(F.inline(F.array(*structs)))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("r", F.abs("r")) if absolute else out
 
 
 def collinear_flag(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:

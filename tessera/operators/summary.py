@@ -21,21 +21,16 @@ def group_stats(df: DataFrame, by: Sequence[str] | str | None, value: str,
 
 
 def with_share(df: DataFrame, value: str, within: Sequence[str] | str | None = None,
-               name: str = "pct", scale: float = 100.0, materialized: bool = True) -> DataFrame:
+               name: str = "pct", scale: float = 100.0) -> DataFrame:
     """Percentage of ``value`` within a partition (A10, W2) or of the whole frame.
 
     Within groups: a window partitioned by the group key (spreads over tasks).
-    Whole frame: a one-row total attached by broadcast, never a global window.
+    Whole frame: a one-row total attached as a scalar subquery, never a global window.
     """
     within = as_list(within)
     if within:
         total = F.sum(value).over(Window.partitionBy(*within))
         return df.withColumn(name, F.try_divide(F.col(value) * scale, total))
-    if materialized:
-        # ``df`` is usually an aggregate: write it once so the total and the
-        # rows read the same table instead of recomputing its whole lineage
-        from tessera.session import materialize
-        df = materialize(df)
     tot = df.agg(F.sum(value).alias("__total"))
     return (attach_scalars(df, tot)
             .withColumn(name, F.try_divide(F.col(value) * scale, F.col("__total"))).drop("__total"))
@@ -130,36 +125,24 @@ def histogram(df: DataFrame, value: str, bins: int = 10, by: Sequence[str] | str
                           "n")
 
 
-def kde(df: DataFrame, value: str, grid: int = 64, prebins: int = 1024, cut: float = 3.0) -> DataFrame:
+def kde(df: DataFrame, value: str, grid: int = 64) -> DataFrame:
     """Gaussian kernel density on ``grid`` points between min and max (D2h).
 
-    Bandwidth: Scott's factor n^(-1/5) times the sample sd. Rows are first
-    pre-binned to ``prebins`` equal-width bins (distributed aggregate); each bin
-    then contributes only to the grid points within ``cut`` bandwidths, generated
-    with ``sequence`` + ``explode`` — no join of bins against the grid.
+    Bandwidth: Scott's factor n^(-1/5) times the sample sd. Every value counts at every
+    grid point: each row meets the points within its task (``sequence`` + ``explode``) and
+    partial sums leave ``grid`` rows a task for the shuffle. The density is NULL where the
+    bandwidth is zero or unknown (constant column, single value).
     """
     v = F.col(value).cast("double")
     st = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"),
                 F.max(v).alias("hi"))
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n"), -0.2))
     base = attach_scalars(df.where(v.isNotNull()).select(v.alias("v")), st)
-    pw = (F.col("hi") - F.col("lo")) / prebins
-    pb = F.coalesce(F.least(F.lit(prebins - 1), F.floor(F.try_divide(F.col("v") - F.col("lo"), pw))),
-                    F.lit(0)).cast("long")
-    binned = (base.withColumn("pb", pb)
-              .groupBy("pb", "n", "h", "lo", "hi").agg(F.count(F.lit(1)).alias("c")))
-    step = (F.col("hi") - F.col("lo")) / (grid - 1)
-    centre = F.col("lo") + (F.col("pb") + 0.5) * pw
-    g_lo = F.greatest(F.lit(0), F.ceil(F.try_divide(centre - cut * F.col("h") - F.col("lo"), step))).cast("int")
-    g_hi = F.least(F.lit(grid - 1), F.floor(F.try_divide(centre + cut * F.col("h") - F.col("lo"), step))).cast("int")
-    spread = (binned.withColumn("centre", centre)
-              .withColumn("g", F.explode(F.sequence(g_lo, F.greatest(g_lo, g_hi))))
-              .where(F.col("g") <= g_hi))
-    x = F.col("lo") + F.col("g") * step
-    zz = F.try_divide(x - F.col("centre"), F.col("h"))
-    dens = F.try_divide(F.col("c") * F.exp(-0.5 * zz * zz), F.col("n") * F.col("h") * F.lit(2.5066282746310002))
-    return (spread.withColumn("x", x).groupBy("g", "x").agg(F.sum(dens).alias("density"))
-            .withColumnRenamed("g", "point"))
+    x = F.col("lo") + F.col("point") * ((F.col("hi") - F.col("lo")) / (grid - 1))
+    zz = F.try_divide(F.col("x") - F.col("v"), F.col("h"))
+    dens = F.try_divide(F.exp(-0.5 * zz * zz), F.col("n") * F.col("h") * F.lit(2.5066282746310002))
+    return (base.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("x", x)
+            .groupBy("point", "x").agg(F.sum(dens).alias("density")))
 
 
 def box_summary(df: DataFrame, value: str, by: Sequence[str] | str | None = None,
@@ -184,7 +167,7 @@ def box_summary(df: DataFrame, value: str, by: Sequence[str] | str | None = None
 def regression_lines(df: DataFrame, x: str, y: str, by: Sequence[str] | str | None = None) -> DataFrame:
     """Slope, intercept, R^2 and r of y on x per group (D4h, H1)."""
     by = as_list(by)
-    aggs = [F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"),
+    aggs = [F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"),
             F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
             F.corr(x, y).alias("r")]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)

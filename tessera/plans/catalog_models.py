@@ -563,7 +563,7 @@ def _score(spark, sf, kind):
     n = train.count()
     stages = {"logistic": models.logistic(cols, "quality", n),
               "forest": models.forest_classifier(cols, "quality", 40, 20, max_depth=8),
-              "gbt": models.gbt(cols, "quality", 30, 3)}[kind]
+              "gbt": models.gbt(cols, "quality", 100, 3)}[kind]
     m = models.fit_pipeline(train, stages)
     scored = models.with_score(m.transform(split)).select("doc_id", "split", "quality", "score")
     return evaluate.auc(scored, "quality", "score", "split").withColumn("model", F.lit(kind))

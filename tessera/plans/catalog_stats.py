@@ -256,19 +256,13 @@ def distribution_profile(spark, sf):
 @query("kde", "D2h", sql="""
 WITH st AS (SELECT count(o_totalprice) AS n, stddev_samp(o_totalprice) AS sd, min(o_totalprice) AS lo,
                    max(o_totalprice) AS hi FROM orders),
-s2 AS (SELECT *, sd * pow(n, -0.2) AS h, (hi - lo) / 1024 AS pw, (hi - lo) / 63 AS step FROM st),
-b AS (SELECT CAST(least(1023, floor((o_totalprice - lo) / pw)) AS BIGINT) AS pb, count(*) AS c
-      FROM orders, s2 GROUP BY 1),
-c AS (SELECT b.pb, b.c, s2.*, lo + (b.pb + 0.5) * pw AS centre FROM b, s2),
-g AS (SELECT *, CAST(greatest(0, ceil((centre - 3.0 * h - lo) / step)) AS INTEGER) AS g_lo,
-             CAST(least(63, floor((centre + 3.0 * h - lo) / step)) AS INTEGER) AS g_hi FROM c),
-e AS (SELECT *, unnest(range(g_lo, g_hi + 1)) AS g FROM g WHERE g_hi >= g_lo)
-SELECT CAST(g AS INTEGER) AS point, round(lo + g * step, 6) AS x,
-       round(sum(c * exp(-0.5 * ((lo + g * step - centre) / h) * ((lo + g * step - centre) / h))
-                 / (n * h * 2.5066282746310002)) * 1e6, 6) AS density_per_million
-FROM e GROUP BY g, lo, step""")
+s2 AS (SELECT *, sd * pow(n, -0.2) AS h, (hi - lo) / 63 AS step FROM st),
+e AS (SELECT g.g, lo + g.g * step AS x, n, h, o_totalprice AS v FROM orders, s2, range(64) AS g(g))
+SELECT CAST(g AS INTEGER) AS point, round(x, 6) AS x,
+       round(sum(exp(-0.5 * ((x - v) / h) * ((x - v) / h)) / (n * h * 2.5066282746310002)) * 1e6, 6) AS density_per_million
+FROM e GROUP BY g, x""")
 def kde(spark, sf):
-    out = summary.kde(load(spark, sf, "orders"), "o_totalprice", grid=64, cut=3.0)
+    out = summary.kde(load(spark, sf, "orders"), "o_totalprice", grid=64)
     return out.select("point", F.round("x", 6).alias("x"),
                       F.round(F.col("density") * 1e6, 6).alias("density_per_million"))
 

@@ -261,16 +261,16 @@ def loan_study(spark: SparkSession, sf: str, seed: int = 42, forest_trees: int =
     # every fit and every resampling below reads the written table
     split = materialize(sampling.stratified_split(data, "default", "id", 0.2, seed))
     train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
-    n_train = train.count()
     schemes = {"none": train, "undersample": materialize(sampling.undersample(train, "default", "id", seed)),
                "oversample": materialize(sampling.oversample(train, "default", "id", seed))}
-    specs = {"logistic": lambda: models.logistic(cols, "default", n_train),
-             "random_forest": lambda: models.forest_classifier(cols, "default", forest_trees, None, max_depth=10,
-                                                              seed=seed),
-             "gradient_boosting": lambda: models.gbt(cols, "default", gbt_trees, 3, 0.1, seed)}
+    size = {sc: frame.count() for sc, frame in schemes.items()}  # the penalty is by the rows of the fit
+    specs = {"logistic": lambda sc: models.logistic(cols, "default", size[sc]),
+             "random_forest": lambda sc: models.forest_classifier(cols, "default", forest_trees, None, max_depth=10,
+                                                                 seed=seed),
+             "gradient_boosting": lambda sc: models.gbt(cols, "default", gbt_trees, 3, 0.1, seed)}
     jobs = [(sc, name) for sc in schemes for name in specs]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fitted = list(pool.map(lambda j: models.fit_pipeline(schemes[j[0]], specs[j[1]]()), jobs))
+        fitted = list(pool.map(lambda j: models.fit_pipeline(schemes[j[0]], specs[j[1]](j[0])), jobs))
     scored = []
     for (sc, name), m in zip(jobs, fitted):
         for part, frame in (("train", schemes[sc]), ("test", test)):
