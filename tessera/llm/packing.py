@@ -152,7 +152,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     that is a power of two, else ``length``) and ``ids`` (32-bit binary).
 
     Documents are cut wherever a window's share of their source ends. A null text is empty and
-    packs as its end id; a null source belongs to the shared queue; null and repeated ids are
+    packs as its end id; the string of a special token is that token, as the vocabulary file
+    has it; a null source belongs to the shared queue; null and repeated ids are
     packed like others. Within a queue documents follow by a hash of their id, then by id.
     ``targets`` sets proportions by source (unnamed sources get what is left to 1); a source
     that runs dry leaves its share to the others. An empty table gives no rows.
@@ -161,7 +162,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     vocabulary = vocabulary or vocabulary_path()
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
                         F.col(f"`{text_col}`").alias("text"))
-    tokens = save(token_table(named, ["id", "source"], "text", vocabulary, end_id), "pack-tokens")
+    tokens = save(token_table(named, ["id", "source"], "text", vocabulary, end_id, special_as_text=False), "pack-tokens")
     own, mix = queues(tokens.groupBy("source").agg(F.sum("n").alias("n")), length, targets)
     total = mix.tokens if mix else 0
     parts = max(1, -(-total // BUCKET_TOKENS))
@@ -186,7 +187,7 @@ def _cut(spark, placed: DataFrame, id_col: str, mix: Mixture | None, vocabulary:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         plan = Schedule(m) if m else None
-        dtype = encoder(vocabulary).dtype
+        dtype = encoder(vocabulary, special_as_text=False).dtype
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length", "ids"]
         for b in parts:
             if not b.num_rows:

@@ -39,14 +39,19 @@ class WordBpe:
     Each batch is split and dictionary-encoded by Arrow, only chunks not met before are
     encoded, and the ids are gathered with numpy. Anything outside plain Latin text goes
     through the full tokenizer. ``exact=True`` (tests) sends everything through it.
+
+    ``special_as_text=False`` gives the ids of the vocabulary file as it is: the string of an
+    added token, as in "a <|endoftext|> b", is that token. True encodes such strings like other
+    text, for files in which the token's id must only stand between documents.
     """
 
-    def __init__(self, path: str, exact: bool = False):
+    def __init__(self, path: str, exact: bool = False, special_as_text: bool = True):
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
+        self._added = [t for t in self.tok.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.exact = exact
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         # Fixed value: the split pattern of the vocabulary file.
@@ -78,6 +83,13 @@ class WordBpe:
             return self._piece(chunk)
         return b"".join([self._kept(p, self._piece) for p in pieces])
 
+    def _adds(self, chunks: pa.Array) -> np.ndarray:
+        """Places of the chunks that hold the string of an added token."""
+        held = np.zeros(len(chunks), bool)
+        for t in self._added:
+            held |= pc.match_substring(chunks, t.content, ignore_case=t.normalized).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(held)
+
     def _kept(self, key: str, make) -> bytes:
         got = self._young.get(key)
         if got is None:
@@ -104,7 +116,11 @@ class WordBpe:
         words = pc.dictionary_encode(split.flatten())
         begin -= begin[0]
         del split
-        ids = [self._kept(c, self._chunk) for c in words.dictionary.to_pylist()]
+        chunks = words.dictionary.to_pylist()
+        adds = {int(i): self._full(chunks[i]) for i in self._adds(words.dictionary)}
+        ids = [adds[i] if i in adds else self._kept(c, self._chunk) for i, c in enumerate(chunks)] if adds else [
+            self._kept(c, self._chunk) for c in chunks]
+        del chunks
         if not ids:
             return np.empty(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
@@ -125,14 +141,15 @@ class WordBpe:
         return flat[place], np.concatenate([[0], ends])[begin].astype(np.int64)
 
 
-_made: dict[str, WordBpe] = {}
+_made: dict[tuple[str, bool], WordBpe] = {}
 
 
-def encoder(path: str) -> WordBpe:
+def encoder(path: str, special_as_text: bool = True) -> WordBpe:
     """The worker's encoder for a vocabulary file, made once."""
-    if path not in _made:
-        _made[path] = WordBpe(path)
-    return _made[path]
+    key = path, special_as_text
+    if key not in _made:
+        _made[key] = WordBpe(path, special_as_text=special_as_text)
+    return _made[key]
 
 
 def batches(texts: pa.Array, chars: int = 4 << 20):
@@ -148,15 +165,17 @@ def batches(texts: pa.Array, chars: int = 4 << 20):
         yield start, len(size)
 
 
-def token_table(docs, keep: list[str], text_col: str = "text", path: str | None = None, end_id: int | None = 2):
+def token_table(docs, keep: list[str], text_col: str = "text", path: str | None = None, end_id: int | None = 2,
+                special_as_text: bool = True):
     """``keep`` columns, ``n`` (number of ids) and ``ids`` (little-endian binary, 2 bytes an id
-    where the vocabulary allows, else 4) of every whole text, ``end_id`` last. Null is empty."""
+    where the vocabulary allows, else 4) of every whole text, ``end_id`` last. Null is empty.
+    ``special_as_text`` as in ``WordBpe``."""
     from pyspark.sql import functions as F
 
     path = path or vocabulary_path()
 
     def run(parts):
-        enc = encoder(path)
+        enc = encoder(path, special_as_text)
         tail = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         width = enc.dtype.itemsize
         for b in parts:

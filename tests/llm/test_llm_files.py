@@ -11,8 +11,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from tessera.llm import ann, extract, token_counts, training_order, warc
+from tessera.llm import ann, extract, packing, token_counts, training_order, warc
 from tessera.llm.common import new_path
 from tessera.llm.dom import Page
 from tessera.llm.files import AtomicFile
@@ -20,6 +21,8 @@ from tessera.llm.tokens import WordBpe, vocabulary_path
 
 EXACT = WordBpe(vocabulary_path(), exact=True)
 FAST = WordBpe(vocabulary_path())
+AS_FILE = WordBpe(vocabulary_path(), special_as_text=False)
+FRESH = Tokenizer.from_file(vocabulary_path())
 DOCS = "doc_id long, text string, name string, ordinal int"
 TEXTS = ["Hello, World! It's 2024.", None, "", "a\x1cb c\x85d", "İstanbul ΣΑΣ é ﬁ", "<|endoftext|> x", "日本語 text", "word " * 5000, "Hello, World! It's 2024."]
 
@@ -40,6 +43,22 @@ def test_fast_ids_equal_the_tokenizer(texts):
         assert ids[at[i]:at[i + 1]].tolist() == FAST.tok.encode(t or "", add_special_tokens=False).ids
 
 
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", " ", "\n", "\x1c", "a", "É", "e\u0301", "\u0301", "日本", "'s", "7"]), max_size=12).map("".join))
+@settings(max_examples=150, deadline=None)
+def test_special_tokens_are_those_of_the_vocabulary_file(text):
+    ids, _ = AS_FILE.encode(pa.array([text]))
+    assert ids.tolist() == FRESH.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_keeps_the_ids_of_the_vocabulary_file(spark):
+    rows = packing.pack(docs_of(spark, TEXTS), source_col="name").orderBy("sequence_id", "offset").collect()
+    for i, t in enumerate(TEXTS):
+        want = [*FRESH.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
+        mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert b"".join(r["ids"] for r in mine) == np.array(want, "<u4").tobytes()
+        assert {r["doc_tokens"] for r in mine} == {len(want)}
+
+
 def test_token_counts(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.document_token_counts(docs_of(spark, TEXTS)).collect()}
     assert got == {i: len(ids_of(t)) for i, t in enumerate(TEXTS)}
