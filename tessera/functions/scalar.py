@@ -52,9 +52,10 @@ def parse_list(c, strip: str = "[]\"' ") -> Column:
                        lambda x: F.nullif(F.btrim(x, F.lit(strip)), F.lit("")))
 
 
-def words(c) -> Column:
-    """Non-letters to spaces, lower case, split on whitespace, no empty tokens."""
-    cleaned = F.lower(F.regexp_replace(_c(c), "[^a-zA-Z]", " "))
+def words(c, letters: str = "a-zA-Z") -> Column:
+    """Non-letters to spaces, lower case, split on whitespace, no empty tokens.
+    ``letters``: what counts as one, as inside a regex class (``\\p{L}\\p{M}``: any script)."""
+    cleaned = F.lower(F.regexp_replace(_c(c), f"[^{letters}]", " "))
     return F.filter(F.split(F.trim(cleaned), r"\s+"), lambda w: w != F.lit(""))
 
 

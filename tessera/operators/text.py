@@ -10,7 +10,9 @@ equi-join on rank + 1, not a global window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +26,24 @@ def default_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def tokenize(df: DataFrame, text: str, out: str = "tokens", stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Letters only, lower case, whitespace split, stop words removed."""
+def tokenize(df: DataFrame, text: str, out: str = "tokens",
+             stop_words: Sequence[str] | Mapping[str, Sequence[str]] | None = None,
+             lang: str | None = None, letters: str = "a-zA-Z") -> DataFrame:
+    """Letters only, lower case, whitespace split, stop words removed (B1, X6). Stop words by
+    language go with its column ``lang``; texts of a null or other language keep all words."""
+    toks = words(text, letters)
+    if isinstance(stop_words, Mapping):
+        if lang is None:
+            raise ValueError("stop words by language need the language column")
+        given = [(F.col(lang).eqNullSafe(F.lit(name)), sorted(set(some))) for name, some in stop_words.items() if some]
+
+        def stops_here(w):
+            return reduce(or_, [here & w.isin(some) for here, some in given])
+
+        if given:
+            toks = F.filter(toks, lambda w: ~stops_here(w))
+        return df.withColumn(out, toks)
     stops = list(stop_words) if stop_words is not None else default_stop_words()
-    toks = words(text)
     if stops:
         stop_arr = F.array(*[F.lit(w) for w in sorted(set(stops))])
         toks = F.filter(toks, lambda w: ~F.array_contains(stop_arr, w))

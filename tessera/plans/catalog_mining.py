@@ -12,6 +12,15 @@ from tessera.sources.tables import load
 # own list; the source analysis downloads an external corpus).
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "he", "in",
               "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with")
+STOP_WORDS_BY_LANG = {
+    "en": STOP_WORDS,
+    "de": ("aber", "als", "am", "an", "auch", "auf", "aus", "bei", "das", "dass", "dem", "den", "der", "des", "die", "ein", "eine",
+           "er", "es", "für", "im", "in", "ist", "mit", "nicht", "sich", "sie", "sind", "und", "von", "war", "zu", "zum", "zur"),
+    "fr": ("au", "aux", "avec", "ce", "ces", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "la", "le", "les", "ne",
+           "on", "ou", "par", "pas", "pour", "que", "qui", "se", "son", "sur", "un", "une"),
+    "es": ("al", "como", "con", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "más", "no", "o", "para", "pero", "por",
+           "que", "se", "su", "sus", "un", "una", "y"),
+}
 
 _ITEMS = ("click", "error", "purchase", "signup", "view")
 _MIN_SUPPORT = 0.008
@@ -166,3 +175,18 @@ def doc_bigrams(spark, sf):
     docs = load(spark, sf, "documents").where(F.col("lang") == "en")
     t = text.tokenize(docs, "text", stop_words=STOP_WORDS)
     return text.bigram_counts(t).orderBy(F.desc("n"), "first", "second").limit(50)
+
+
+_LANG_STOPS_SQL = "CASE lang " + " ".join(
+    f"WHEN '{g}' THEN [" + ", ".join(f"'{w}'" for w in ws) + "]" for g, ws in STOP_WORDS_BY_LANG.items()) + " ELSE CAST([] AS VARCHAR[]) END"
+_LETTERS = r"\p{L}\p{M}"
+
+
+@query("doc_bigrams_all", "B1 B2 W4", sql=_BIGRAM_SQL.format(
+    key="doc_id", table="documents", where="", extra="",
+    tok=f"list_filter(string_split_regex(trim(lower(regexp_replace(text, '[^{_LETTERS}]', ' ', 'g'))), '\\s+'), "
+        f"lambda w: w <> '' AND NOT list_contains({_LANG_STOPS_SQL}, w))"))
+def doc_bigrams_all(spark, sf):
+    """Every bigram of all documents, of any language or none, with the stop words of its language."""
+    t = text.tokenize(load(spark, sf, "documents"), "text", stop_words=STOP_WORDS_BY_LANG, lang="lang", letters=_LETTERS)
+    return text.bigram_counts(t)

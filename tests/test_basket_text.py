@@ -83,3 +83,13 @@ def test_tokens_and_bigrams(spark):
 def test_default_stop_words_are_spark_list(spark):
     t = text.tokenize(spark.createDataFrame([("the cat and a hat",)], "s string"), "s")
     assert t.first()["tokens"] == ["cat", "hat"]
+
+
+def test_doc_bigrams_all_reads_every_document(spark, tmp_path):
+    from tessera.plans.catalog import REGISTRY
+    rows = [(1, "The cat sat", "en"), (2, "Über die Straße", "de"), (3, "Über die Straße", None), (4, "mañana the día", "es"),
+            (5, "the été", "xx"), (6, None, "en"), (7, "кот и пёс", "ru"), (8, "x", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["first"], r["second"]): r["n"] for r in REGISTRY["doc_bigrams_all"].build(spark, str(tmp_path)).collect()}
+    assert got == {("cat", "sat"): 1, ("über", "straße"): 1, ("über", "die"): 1, ("die", "straße"): 1, ("mañana", "the"): 1,
+                   ("the", "día"): 1, ("the", "été"): 1, ("кот", "и"): 1, ("и", "пёс"): 1}
