@@ -2,10 +2,12 @@
 
 Vectors of inner-product search are first made into points whose Euclidean distance orders
 them alike: each is scaled by the largest norm and gets one more component that fills its norm
-up to one. A table's hash is a few whole numbers floor((a . x + b) / w) with normal (2-stable)
+up to one. So that one large norm does not press all others together, vectors are dealt into
+bands of norms within a factor of two, each with a largest norm, hashes and probes of its own. A table's hash is a few whole numbers floor((a . x + b) / w) with normal (2-stable)
 a. A query visits, besides its own bucket, those reached by stepping some of the numbers up or
 down, in the order of the estimated chance of success. Candidates of all tables are ranked by
-their exact inner product.
+their exact inner product. Where the probes that a band needs are more than ``MAX_PROBES``, or a
+query finds too few rows, all of its rows are visited in blocks.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ FIT_ROWS = 8192
 FIT_QUERIES = 128
 #: Vectors of a region that one task holds with its queries; larger regions are split.
 REGION_ROWS = 4096
+#: Bands of fewer vectors are visited whole.
+LEAST_BAND = 256
+#: Probes with which the number needed is first looked for, as long lists take time to make.
+FIRST_PROBES = 600
+#: The table number of vectors without hashes.
+NO_TABLE = -1
 
 
 @dataclass(frozen=True)
@@ -101,10 +109,11 @@ def probe_codes(place: np.ndarray, probes: int, coarse: int) -> tuple[np.ndarray
     return _codes(numbers[:, :coarse]), _codes(numbers)
 
 
-def fit(sample: np.ndarray, total: int, top: float, k: int) -> Hashes:
+def fit(sample: np.ndarray, total: int, top: float, k: int) -> Hashes | None:
     """Hashes for ``total`` vectors, and the least number of probes with which the sample's queries
     find the ``RECALL`` part of their nearest in the sample. Of these as many are taken as the k
-    nearest of all vectors leave in a sample, one at least, so the estimate errs to more probes."""
+    nearest of all vectors leave in a sample, one at least, so the estimate errs to more probes.
+    None where ``MAX_PROBES``, or all sets of single steps, do not find that part."""
     rng = np.random.default_rng(SEED)
     dims = sample.shape[1] + 1
     functions = int(np.clip(round(np.log2(max(2, total)) / 2), 2, 24))
@@ -123,19 +132,22 @@ def fit(sample: np.ndarray, total: int, top: float, k: int) -> Hashes:
     of = np.unique(q)
     place = made.project(points(sample[of], top, True))
     code = _codes(np.floor(made.project(points(sample, top, False))))
-    rank = np.full(len(q), MAX_PROBES + 1)
     limit = min(MAX_PROBES, 3 ** functions)
-    for i, who in enumerate(of):
-        mine = np.flatnonzero(q == who)
-        for t in range(TABLES):
-            _, visited = probe_codes(place[i, t], limit if functions <= 6 else min(limit, 600), coarse)
-            order = np.argsort(visited, kind="stable")
-            at = np.searchsorted(visited[order], code[v[mine], t]).clip(0, len(visited) - 1)
-            hit = visited[order][at] == code[v[mine], t]
-            rank[mine] = np.minimum(rank[mine], np.where(hit, order[at], MAX_PROBES + 1))
-    rank.sort()
-    need = int(rank[int(np.ceil(RECALL * len(rank))) - 1]) + 1
-    return Hashes(a, b, top, int(min(limit, max(8, need))), coarse)
+    missed = limit  # a rank that no probe has
+    rank = np.full(len(q), missed)
+    for tried in sorted({min(limit, FIRST_PROBES), limit}):
+        for i, who in enumerate(of):
+            mine = np.flatnonzero((q == who) & (rank == missed))
+            for t in range(TABLES if len(mine) else 0):
+                _, visited = probe_codes(place[i, t], tried, coarse)
+                order = np.argsort(visited, kind="stable")
+                at = np.searchsorted(visited[order], code[v[mine], t]).clip(0, len(visited) - 1)
+                hit = visited[order][at] == code[v[mine], t]
+                rank[mine] = np.minimum(rank[mine], np.where(hit, order[at], missed))
+        need = int(np.sort(rank)[int(np.ceil(RECALL * len(rank))) - 1]) + 1
+        if need <= limit:
+            return Hashes(a, b, top, min(limit, max(8, need)), coarse)
+    return None
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -181,16 +193,36 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         F.array_sort(F.collect_list("id")).alias("ids"))
     queries = rows.filter(is_query(F.col("id")))
     asked = queries.select("v").distinct().withColumn("asked", F.lit(True))
-    distinct = save(copies.join(asked, "v", "left").select(
-        F.xxhash64("v").alias("rep"), "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked")), "ann-distinct")
-    total = distinct.count()
+    largest = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
+    norm = F.aggregate(F.transform("v", lambda x: x / F.col("largest")), F.lit(0.0), lambda s, x: s + x * x)
+    distinct = copies.join(asked, "v", "left").withColumn("largest", largest).withColumn("ratio", F.sqrt(norm))
+    # bands lie around powers of two, so that vectors of length one are in one band
+    band = F.round(F.log2("largest") + F.log2("ratio")).cast("int")
+    distinct = save(distinct.select(
+        F.xxhash64("v").alias("rep"), "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked"), band.alias("band"),
+        (F.col("largest") * F.col("ratio")).alias("norm")), "ann-distinct")
+    # at most one row for each power of two that a double can have
+    bands = distinct.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).orderBy("band").collect()
+    total = sum(r["n"] for r in bands)
     if not total:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    top = distinct.agg(F.max(norm)).first()[0]
-    some = distinct.orderBy(F.xxhash64("rep", F.lit(3))).limit(FIT_ROWS).select("v").toArrow()["v"]
-    hashes = fit(_matrix(some.combine_chunks() if isinstance(some, pa.ChunkedArray) else some), total, top, k)
+    hashes = {}
+    for r in bands:
+        if len(bands) == 1 or r["n"] >= LEAST_BAND:
+            some = distinct.filter(F.col("band") == r["band"]).orderBy(F.xxhash64("rep", F.lit(3))).limit(FIT_ROWS).select("v").toArrow()["v"]
+            made = fit(_matrix(some.combine_chunks() if isinstance(some, pa.ChunkedArray) else some), r["n"], r["top"], k)
+            if made:
+                hashes[r["band"]] = made
     found = _search(distinct, hashes, k + 1)
+    if hashes:
+        found = save(found, "ann-found")
+        whole = min(k + 1, total)
+        counts = found.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+        short = save(distinct.filter("asked").select("rep").join(counts, "rep", "left").filter(
+            F.coalesce("n", F.lit(0)) < whole).select("rep", F.lit(True).alias("short")), "ann-short")
+        if short.head(1):
+            again = distinct.join(short, "rep", "left").withColumn("asked", F.coalesce("short", F.lit(False)))
+            found = found.join(short, "rep", "left_anti").unionByName(_search(again, {}, k + 1).select(*found.columns))
     # expand copies: the k + 1 nearest ids of a vector, its own copies included
     near = found.join(distinct.select(F.col("rep").alias("near"), "ids"), "near")
     spread = near.select("rep", "score", F.explode("ids").alias("id"))
@@ -204,38 +236,50 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     return out.select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
-def _search(distinct: DataFrame, hashes: Hashes, k: int) -> DataFrame:
-    """(rep, near, score): for every asked vector the ``k`` best distinct vectors among the visited buckets."""
-    held = distinct.sparkSession.sparkContext.broadcast(hashes)  # tables x functions x dimensions
+def _search(distinct: DataFrame, hashes: dict[int, Hashes], k: int) -> DataFrame:
+    """(rep, near, score): for every asked vector the ``k`` best distinct vectors among the visited buckets
+    of the bands with hashes and all vectors of the others."""
+    held = distinct.sparkSession.sparkContext.broadcast(hashes)  # bands x tables x functions x dimensions
+    # vectors without hashes meet the queries in blocks of both: each group of queries is a region
+    bare = distinct.filter(~F.col("band").isin(list(hashes))) if hashes else distinct
+    groups = -(-distinct.filter("asked").count() // REGION_ROWS) if bare.head(1) else 0
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = held.value
+        names = ["t", "region", "asks", "rep", "codes", "v"]
         for b in parts:
-            x, rep = _matrix(b.column(1)), b.column(0).to_numpy()
-            n = np.floor(h.project(points(x, h.top, False)))
-            region, code = _codes(n[..., :h.coarse]), _codes(n)
-            for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), t, np.int32)), pa.array(region[:, t]), pa.array([False] * len(x)), pa.array(rep),
-                     pa.array([[c] for c in code[:, t].tolist()], pa.list_(pa.int64())), b.column(1)],
-                    ["t", "region", "asks", "rep", "codes", "v"])
+            every, reps, bands = _matrix(b.column(1)), b.column(0).to_numpy(), b.column(3).to_numpy()
             asked = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
-            spots = h.project(points(x[asked], h.top, True)) if len(asked) else []
-            for i, spot in zip(asked, spots, strict=True):
-                out = []
-                for t in range(TABLES):
-                    regions, codes = probe_codes(spot[t], h.probes, h.coarse)
-                    by = defaultdict(list)
-                    for r, c in zip(regions.tolist(), codes.tolist(), strict=True):
-                        by[r].append(c)
-                    out += [(t, r, cs) for r, cs in by.items()]
+            without = np.flatnonzero(~np.isin(bands, list(held.value)))
+            blocks = [(without, np.full(len(without), g), False) for g in range(groups)]
+            for some, group, asks in [*blocks, (asked, reps[asked] % groups, True)] if groups else []:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([True] * len(out)),
-                     pa.array([int(rep[i])] * len(out), pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64())),
-                     b.column(1).take(pa.array([int(i)] * len(out), pa.int64()))], ["t", "region", "asks", "rep", "codes", "v"])
+                    [pa.array(np.full(len(some), NO_TABLE, np.int32)), pa.array(group.astype(np.int64)), pa.array([asks] * len(some), pa.bool_()),
+                     pa.array(reps[some]), pa.array([[0]] * len(some), pa.list_(pa.int64())), b.column(1).take(pa.array(some))], names)
+            for j, (band, h) in enumerate(sorted(held.value.items())):
+                here = np.flatnonzero(bands == band)
+                x, rep, vectors = every[here], reps[here], b.column(1).take(pa.array(here))
+                n = np.floor(h.project(points(x, h.top, False)))
+                region, code = _codes(n[..., :h.coarse]), _codes(n)
+                for t in range(TABLES if len(here) else 0):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x), j * TABLES + t, np.int32)), pa.array(region[:, t]), pa.array([False] * len(x)), pa.array(rep),
+                         pa.array([[c] for c in code[:, t].tolist()], pa.list_(pa.int64())), vectors], names)
+                spots = h.project(points(every[asked], h.top, True)) if len(asked) else []
+                for i, spot in zip(asked, spots, strict=True):
+                    out = []
+                    for t in range(TABLES):
+                        regions, codes = probe_codes(spot[t], h.probes, h.coarse)
+                        by = defaultdict(list)
+                        for r, c in zip(regions.tolist(), codes.tolist(), strict=True):
+                            by[r].append(c)
+                        out += [(j * TABLES + t, r, cs) for r, cs in by.items()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([True] * len(out)),
+                         pa.array([int(reps[i])] * len(out), pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64())),
+                         b.column(1).take(pa.array([int(i)] * len(out), pa.int64()))], names)
 
     schema = "t int, region long, asks boolean, rep long, codes array<long>, v array<double>"
-    dealt = save(distinct.select("rep", "v", "asked").mapInArrow(place, schema), "ann-dealt")
+    dealt = save(distinct.select("rep", "v", "asked", "band").mapInArrow(place, schema), "ann-dealt")
     hot = hot_keys(dealt.filter("not asks"), ["t", "region"], REGION_ROWS, "ann-hot-regions")
     cut = dealt.join(hot, ["t", "region"], "left").withColumn(
         "cuts", F.coalesce(F.ceil(F.col("n_rows") / REGION_ROWS), F.lit(1)).cast("int"))

@@ -256,6 +256,33 @@ def test_search_edge_cases(spark):
     assert ann.nearest(vectors.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_search_with_one_huge_norm_and_probes_that_do_not_reach(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[3] *= 1000
+    x[4] *= 1e-200
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    def recall():
+        got = ann.nearest(vectors, lambda i: i % 50 == 0, k=10).collect()
+        hits = 0
+        for q in range(0, 1500, 50):
+            mine = {r["vec_id"] for r in got if r["query_id"] == q}
+            assert len(mine) == 10
+            scores = x @ x[q]
+            hits += len(mine & set([i for i in np.argsort(-scores, kind="stable") if i != q][:10]))
+        return hits / 300
+
+    assert recall() >= 0.9
+    monkeypatch.setattr(ann, "MAX_PROBES", 8)
+    assert recall() == 1
+    # queries that the buckets leave short
+    monkeypatch.setattr(ann, "fit", lambda sample, total, top, k: ann.Hashes(
+        100 * rng.normal(size=(ann.TABLES, 8, 25)), rng.uniform(0, 2, size=(ann.TABLES, 8)), top, 1, 0))
+    assert recall() == 1
+
+
 def test_probes_come_in_the_order_of_their_cost():
     rng = np.random.default_rng(1)
     fraction = rng.random(5)
