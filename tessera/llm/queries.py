@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontaminate, extract, langid, packing, quality, simhash, token_counts, training_order, warc
+from tessera.llm import alignment, ann, decontaminate, extract, langid, packing, quality, simhash, token_counts, training_order, warc
 from tessera.llm.common import crc_mod
 from tessera.sources.tables import load
 
@@ -60,6 +60,10 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(load(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_multiprobe_search": op1_multiprobe_search,
     "op2_language_id": op2_language_id,
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_warc_segments": op9_warc_segments,
     "op10_training_order": op10_training_order,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 _WORDS = ("list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
