@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, ann, decontaminate, extract, langid, packing, quality, simhash, token_counts, training_order, warc
+from tessera.llm import alignment, ann, decontaminate, extract, langid, lm, packing, phrases, quality, simhash, token_counts, training_order, warc
 from tessera.llm.common import crc_mod
 from tessera.sources.tables import load
 
@@ -64,6 +64,15 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_documents(load(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_mod(F.col("doc_id"), 10)
+    return lm.scores(load(spark, sf_dir, "documents"), fold != 0).withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))
+
+
 QUERIES = {
     "op1_multiprobe_search": op1_multiprobe_search,
     "op2_language_id": op2_language_id,
@@ -76,6 +85,8 @@ QUERIES = {
     "op9_warc_segments": op9_warc_segments,
     "op10_training_order": op10_training_order,
     "op11_token_alignment": op11_token_alignment,
+    "op12_collocations": op12_collocations,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 _WORDS = ("list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
