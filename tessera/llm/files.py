@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 
 
@@ -54,3 +56,18 @@ def size_of(folder: str, name: str) -> int:
     f, base = filesystem(folder)
     info = f.get_file_info(f"{base}/{name}")
     return info.size if info.type == fs.FileType.File else -1
+
+
+def by_key(df, key: str, folder: str) -> str:
+    """Write ``df`` to ``folder``, the rows of each ``key`` apart, for the task that needs them."""
+    df.repartition(key).sortWithinPartitions(key).write.option("compression", "zstd").partitionBy(key).parquet(folder)
+    return folder
+
+
+def of_key(folder: str, key: str, value: int) -> pa.Table | None:
+    """The rows written for one key; None if there are none."""
+    where, base = filesystem(folder)
+    files = where.get_file_info(fs.FileSelector(f"{base}/{key}={value}", allow_not_found=True))
+    paths = sorted(f.path for f in files if f.type == fs.FileType.File and f.path.endswith(".parquet"))
+    tables = [pq.ParquetFile(where.open_input_file(p)).read() for p in paths]
+    return pa.concat_tables(tables) if tables else None

@@ -15,15 +15,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import new_path, save
-from tessera.llm.files import filesystem
+from tessera.llm.files import by_key, of_key
 
 #: A shard is closed when it holds this many words; a longer text is a shard of its own.
 SHARD_WORDS = 2_000_000
@@ -109,18 +107,12 @@ def label(number: Column, n: Column, first: int) -> Column:
 
 def by_shard(df: DataFrame, name: str) -> str:
     """Write ``df`` to the shared folder, each shard's rows apart for the task that reads the shard."""
-    path = new_path(df.sparkSession, name)
-    df.repartition("shard").sortWithinPartitions("shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    return path
+    return by_key(df, "shard", new_path(df.sparkSession, name))
 
 
 def of_shard(folder: str, shard: int) -> pa.Table | None:
     """The rows written for one shard; None if there are none."""
-    where, base = filesystem(folder)
-    files = where.get_file_info(fs.FileSelector(f"{base}/shard={shard}", allow_not_found=True))
-    paths = sorted(f.path for f in files if f.type == fs.FileType.File and f.path.endswith(".parquet"))
-    tables = [pq.ParquetFile(where.open_input_file(p)).read() for p in paths]
-    return pa.concat_tables(tables) if tables else None
+    return of_key(folder, "shard", shard)
 
 
 def numpy_of(table: pa.Table, column: str) -> np.ndarray:

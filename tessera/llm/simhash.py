@@ -8,12 +8,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hot_keys, private, save
+from tessera.llm.common import hot_keys, new_path, private, save
 from tessera.llm.components import connected_components
+from tessera.llm.files import by_key, of_key
 
 SEED = 42
 #: Children below one index node.
@@ -60,16 +62,20 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 3) -> DataFrame:
-    """(id, fp): the 64-bit fingerprint of every row's whole text as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 3,
+                 key: list[Column] | None = None) -> DataFrame:
+    """(id, fp) and the ``key`` columns: the 64-bit fingerprint of every row's whole text as a
+    signed long."""
+    key = key or []
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             fps = np.array([majority(shingle_hashes(t.as_py(), length)) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed(fps))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed(fps)), *b.columns[2:]], ["id", "fp", *b.schema.names[2:]])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *key)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[2:])
+    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, fp long" + (f", {schema}" if schema else ""))
 
 
 # --- the index ---------------------------------------------------------------------------
@@ -231,6 +237,12 @@ def fingerprint_links(fps: DataFrame, bound: int) -> DataFrame:
     return dealt.repartition(*where).sortWithinPartitions(*where).mapInArrow(run, "u long, v long")
 
 
+def fingerprint_roots(fps: DataFrame, bound: int) -> DataFrame:
+    """(fp, root) of distinct fingerprints ``fp``: the smallest one connected with each."""
+    roots = connected_components(fingerprint_links(fps.select("fp"), bound))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select(fps["fp"], F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 3,
                        bound: int = 2) -> DataFrame:
     """One row per row of ``docs``: the id, ``fingerprint`` (16 hexadecimal digits) and
@@ -241,36 +253,61 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row and takes no part in the smallest id; repeated rows are returned each. Other columns
     of ``docs`` are not used; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     fps = save(fingerprints(docs, id_col, text_col, length), "fingerprints")
     reps = save(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(fingerprint_links(reps.select("fp"), bound))
-    if not roots.head(1):
-        classes = reps.select("fp", F.col("least").alias("component_id"))
-    else:
-        placed = reps.join(roots, reps["fp"] == roots["node"], "left").select(
-            "fp", "least", F.coalesce("root", "fp").alias("root"))
-        placed = save(placed, "fingerprint-roots")
-        least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-        classes = placed.join(least, "root").select("fp", "component_id")
-    classes = save(classes, "fingerprint-classes")
+    placed = save(reps.join(fingerprint_roots(reps, bound), "fp"), "fingerprint-roots")
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = save(placed.join(least, "root").select("fp", "component_id"), "fingerprint-classes")
     out = fps.join(classes, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 3,
-                         bound: int = 2) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class kept: the one with the smallest id.
+                         bound: int = 2, stored: bool = False) -> DataFrame:
+    """``docs`` with exactly one row of each near-duplicate class: that with the smallest id.
+
+    Rows are told apart by their file and their place in it, so repeated ids with other texts, null
+    ids (which come after all others) and repeated rows are rows like any other; null and empty
+    texts are one class with what lies within ``bound`` bits of zero. All columns stay as they are.
+    An empty table gives an empty result.
 
-    Rows whose id is null are kept (nothing tells them apart); rows that repeat id and text
-    of the kept one are dropped. All columns stay as they are.
+    No text is shuffled: only ids, fingerprints and keys are, and the task that reads a file keeps
+    the rows listed for it. ``stored`` says that ``docs`` is a table as read from Parquet files;
+    other tables are written first.
     """
-    found = save(simhash_components(docs, id_col, text_col, length, bound), "simhash-classes")
-    (mark,) = private(docs.columns, "kept_id")
-    kept = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(mark)).agg(
-        F.count(F.lit(1)).alias("n"))
-    out = docs.join(kept, docs[id_col] == kept[mark], "left_semi")
-    if kept.filter("n > 1").head(1):
-        out = out.dropDuplicates([id_col, text_col])
-    return out.unionByName(docs.filter(docs[id_col].isNull()))
+    docs = docs if stored else save(docs, "near-dedup-docs")
+    spot = docs.metadataColumn("_metadata")
+    file, place = spot.getField("file_path"), spot.getField("row_index")
+    key = [file.alias("path"), place.alias("place")]
+    fps = save(fingerprints(docs, id_col, text_col, length, key), "fingerprints")
+    first = F.struct(F.col("id").isNull().alias("last"), "id", "path", "place")
+    reps = save(fps.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
+    kept = reps.join(fingerprint_roots(reps, bound), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.xxhash64("first.path").alias("file"), "first.path", "first.place")
+    return keep_places(docs, file, place, by_key(kept, "file", new_path(docs.sparkSession, "kept-places")))
+
+
+def keep_places(docs: DataFrame, file: Column, place: Column, kept: str) -> DataFrame:
+    """The rows of ``docs`` whose place is listed for their file in the table ``kept``."""
+    names = docs.columns
+    extra = private(names, "path", "file", "place")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed: dict[str, np.ndarray] = {}
+        for b in parts:
+            paths, files, places = b.columns[-3:]
+            paths = paths.dictionary_encode()
+            keep = np.zeros(b.num_rows, bool)
+            for i, path in enumerate(paths.dictionary.to_pylist()):
+                here = np.flatnonzero(paths.indices.to_numpy() == i)
+                if path not in listed:
+                    table = of_key(kept, "file", files[int(here[0])].as_py())
+                    rows = table.filter(pc.equal(table["path"], path))["place"].to_numpy() if table else np.empty(0, np.int64)
+                    listed = {path: rows}  # rows come file by file
+                keep[here] = np.isin(places.to_numpy()[here], listed[path])
+            out = pa.RecordBatch.from_arrays(b.columns[:-3], b.schema.names[:-3])
+            yield out.filter(pa.array(keep))
+
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], *[c.alias(n) for c, n in zip((file, F.xxhash64(file), place), extra, strict=True)])
+    return keyed.mapInArrow(run, docs.schema)

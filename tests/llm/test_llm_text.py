@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import decontaminate, langid, packing, quality, simhash
+from tessera.llm.common import save
 from tessera.llm.components import connected_components
 from tessera.llm.tokens import WordBpe, vocabulary_path
 
@@ -121,10 +122,31 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert got.columns == docs.columns
     ids = [r["doc_id"] for r in got.collect()]
     want = {r["component_id"] for r in simhash.simhash_components(table(spark, TEXTS)).collect()}
-    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
+    # the row without an id repeats a text of the table, so it goes: exactly one row a class
+    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 0
     assert simhash.drop_near_duplicates(table(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_dedup_of_repeated_and_null_ids(spark, tmp_path):
+    """One row a class, whatever the ids: the ids of both texts repeat, and rows repeat whole."""
+    a, b = "one text that is long enough to be told", "quite another set of words in its place"
+    rows = [(5, a), (5, b), (3, b), (7, a), (None, a), (None, "third words"), (None, "third words"), (9, None), (9, ""), (5, a)]
+    docs = spark.createDataFrame([(i, t, "p", 1) for i, t in rows], "doc_id long, text string, path string, file int")
+    docs.repartition(4).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for got in (simhash.drop_near_duplicates(stored, stored=True), simhash.drop_near_duplicates(docs)):
+        assert got.columns == docs.columns
+        out = sorted((r["text"] or "", r["doc_id"] or 0) for r in got.collect())
+        assert out == [("", 9), (a, 5), (b, 3), ("third words", 0)]
+
+
+def test_dedup_moves_no_text(spark):
+    """The plan that keeps the rows reads the table once and has no exchange."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = simhash.drop_near_duplicates(docs, stored=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
 # --- decontamination ---------------------------------------------------------------------
 
 def norm(text):
@@ -302,7 +324,7 @@ def test_pipeline_stages_against_brute_force(spark):
     cols = docs.columns
     for name, stage in cp.STAGES[:-1]:
         before = {r["doc_id"]: r for r in docs.collect()}
-        docs = stage(spark, docs, sf)
+        docs = save(stage(spark, docs, sf), "stage")
         assert docs.columns == cols
         after = {r["doc_id"]: r for r in docs.collect()}
         assert all(before[i] == r for i, r in after.items())
