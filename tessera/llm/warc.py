@@ -7,7 +7,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -98,15 +98,27 @@ def read_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byte
 
 # --- writing -----------------------------------------------------------------------------
 
+def _name(page: object, digest: str) -> str:
+    """What the record ids of a page's payload begin with: rows that repeat a page's id with another
+    payload have other names. A null id is an empty one."""
+    return f"urn:x-page:{'' if page is None else quote(str(page), safe='')}:{digest}"
+
+
+def _page(name: str | None) -> str | None:
+    """The page id in a record name, None for null."""
+    return None if name is None else unquote(name.strip("<>").split(":")[2]) or None
+
+
 def _records(page: object, url: str | None, html: bytes, digest: str, refers: object, place: str) -> Iterator[bytes]:
-    name = f"<urn:x-page:{page}:{place}>"
-    target = quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else f"urn:x-page:{page}"
+    own = _name(page, digest)
+    name = f"<{own}:{place}>"
+    target = quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else own
     fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", name),
               ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}"),
               ("Content-Type", "application/http; msgtype=response")]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers is not None:
-        yield record([*fields, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:x-page:{refers}>")], head)
+        yield record([*fields, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{_name(refers, digest)}>")], head)
         return
     block = head + chunked(html)
     if len(block) <= SEGMENT_BYTES:
@@ -115,7 +127,7 @@ def _records(page: object, url: str | None, html: bytes, digest: str, refers: ob
     cuts = range(0, len(block), SEGMENT_BYTES)
     yield record([*fields, ("WARC-Segment-Number", "1")], block[:SEGMENT_BYTES])
     for k, at in enumerate(cuts[1:], 2):
-        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:x-page:{page}:{place}:{k}>"), ("WARC-Date", DATE),
+        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{own}:{place}:{k}>"), ("WARC-Date", DATE),
                 ("WARC-Target-URI", target), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(k))]
         if k == len(cuts):
             more.append(("WARC-Segment-Total-Length", str(len(block))))
@@ -210,14 +222,37 @@ def reassemble(records: DataFrame) -> DataFrame:
     segment counts once."""
     whole = records.filter("part = 0").select("type", "record", "url", "refers", "block", F.lit(True).alias("complete"))
     cut = records.filter("part > 0").withColumn("key", F.coalesce("origin", "record"))
-    cut = cut.groupBy("key").agg(
-        F.max(F.when(F.col("part") == 1, F.col("type"))).alias("type"), F.max("url").alias("url"), F.max("whole").alias("whole"),
-        F.array_sort(F.collect_set(F.struct("part", "block"))).alias("s"))
-    block = F.aggregate("s", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"]))
-    joined = cut.select("type", F.col("key").alias("record"), "url", F.lit(None).cast("string").alias("refers"), block.alias("block"),
-                        "whole", F.expr("transform(s, x -> x.part) = sequence(1, size(s))").alias("row"))
-    ok = F.coalesce(F.col("row") & (F.octet_length("block") == F.col("whole")) & F.col("type").isNotNull(), F.lit(False))
-    return whole.unionByName(joined.select("type", "record", "url", "refers", "block", ok.alias("complete")))
+    cut = cut.select("key", "part", "type", "url", "whole", "block").repartition("key").sortWithinPartitions("key", "part")
+    joined = cut.mapInArrow(_join_segments, "type string, record string, url string, block binary, complete boolean")
+    return whole.unionByName(joined.withColumn("refers", F.lit(None).cast("string")))
+
+
+def _join_segments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records from segments in the order of their records and numbers. Each segment is
+    copied once, so the work is linear in the record's length."""
+    key, held = None, []
+
+    def close() -> pa.RecordBatch:
+        numbers = [p for p, *_ in held]
+        block = b"".join([x for *_, x in held])
+        first = next((kind for p, kind, *_ in held if p == 1), None)
+        total = max((w for _, _, _, w, _ in held if w is not None), default=None)
+        ok = numbers == list(range(1, len(held) + 1)) and len(block) == total and first is not None
+        url = max((u for _, _, u, _, _ in held if u is not None), default=None)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in (
+            (first, pa.string()), (key, pa.string()), (url, pa.string()), (block, pa.binary()), (ok, pa.bool_()))],
+            ["type", "record", "url", "block", "complete"])
+
+    for b in parts:
+        for k, *segment in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            if held and k != key:
+                yield close()
+                held = []
+            key = k
+            if not held or segment[0] != held[-1][0]:  # a repeated segment counts once
+                held.append(segment)
+    if held:
+        yield close()
 
 
 def payload_of(block: bytes) -> bytes | None:
@@ -231,8 +266,8 @@ def payload_of(block: bytes) -> bytes | None:
 
 
 def read_archives(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
-    """(id, url, type, payload, payload_bytes, digest, refers, complete) of the pages in the
-    archives. A revisit has its response's length and digest and no payload of its own; where a
+    """(id, url, type, payload, payload_bytes, digest, refers, complete, name, target) of the
+    pages in the archives; ``target`` is the ``name`` of the record that a revisit refers to. A revisit has its response's length and digest and no payload of its own; where a
     record is incomplete or its response missing, ``complete`` is false and these are null."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -241,26 +276,28 @@ def read_archives(spark: SparkSession, folder: str, id_type: str = "bigint") ->
                 data = payload_of(block.as_py()) if complete and kind == "response" else None
                 payload.append(data)
                 digest.append(None if data is None else hashlib.sha256(data).hexdigest())
-            ids = [[None if x is None or x == "None" else x for x in col] for col in (
-                [r.strip("<>").split(":")[2] for r in b.column(1).to_pylist()],
-                [r and r.strip("<>").split(":")[2] for r in b.column(3).to_pylist()])]
+            ids = [[_page(r) for r in b.column(i).to_pylist()] for i in (1, 3)]
+            names = [[r and ":".join(r.strip("<>").split(":")[:4]) for r in b.column(i).to_pylist()] for i in (1, 3)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[0], pa.string()), b.column(2), b.column(0), pa.array(payload, pa.binary()), pa.array(digest, pa.string()),
-                 pa.array(ids[1], pa.string()), b.column(5)], ["id", "url", "type", "payload", "digest", "refers", "complete"])
+                 pa.array(ids[1], pa.string()), b.column(5), pa.array(names[0], pa.string()), pa.array(names[1], pa.string())],
+                ["id", "url", "type", "payload", "digest", "refers", "complete", "name", "target"])
 
     rows = reassemble(scan_archives(spark, folder)).mapInArrow(
-        run, "id string, url string, type string, payload binary, digest string, refers string, complete boolean")
+        run, "id string, url string, type string, payload binary, digest string, refers string, complete boolean, name string, target string")
     return rows.select(F.col("id").cast(id_type).alias("id"), "url", "type", "payload",
                        F.octet_length("payload").cast("long").alias("payload_bytes"), "digest",
                        F.col("refers").cast(id_type).alias("refers"),
-                       (F.col("complete") & (F.col("digest").isNotNull() | (F.col("type") == "revisit"))).alias("complete"))
+                       (F.col("complete") & (F.col("digest").isNotNull() | (F.col("type") == "revisit"))).alias("complete"),
+                       "name", "target")
 
 
 def resolve_revisits(read: DataFrame) -> DataFrame:
-    """Lengths and digests of revisits from the responses they refer to."""
-    answers = read.filter("type = 'response' and id is not null").groupBy(F.col("id").alias("refers")).agg(
+    """Lengths and digests of revisits from the responses they name. A page id may stand in several
+    records with other payloads; a record's name tells these apart."""
+    answers = read.filter("type = 'response'").groupBy(F.col("name").alias("target")).agg(
         F.max("payload_bytes").alias("n"), F.max("digest").alias("d"))
-    again = read.filter("type = 'revisit'").join(answers, "refers", "left").select(
+    again = read.filter("type = 'revisit'").join(answers, "target", "left").select(
         "id", "type", F.col("n").alias("payload_bytes"), F.col("d").alias("digest"), "refers",
         (F.col("complete") & F.col("d").isNotNull()).alias("complete"))
     return read.filter("type = 'response'").select(*again.columns).unionByName(again)
@@ -271,8 +308,9 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", text_col: str
     """Writes a record per row and reads the archives back: per row the id, ``payload_bytes``,
     ``payload_digest``, ``record_type``, ``refers_to`` and ``complete``.
 
-    A null html is an empty payload. Null and repeated ids are written each; rows that repeat
-    the smallest id of equal payloads are responses too. Payloads of any length are segmented.
+    A null html is an empty payload. Null and repeated ids are written each, and revisits name the
+    payload they refer to beside its id, so a repeated id with other payloads does no harm; rows that
+    repeat the smallest id of equal payloads are responses too. Payloads of any length are segmented.
     Columns other than the id, the html and ``url`` are not used; an empty table writes no
     archive and gives no rows.
     """

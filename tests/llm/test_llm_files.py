@@ -4,6 +4,7 @@ brute force, and edge cases."""
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -151,6 +152,36 @@ def test_archive_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_revisits_of_repeated_ids(spark):
+    """Each row's digest and length are those of its own payload, whatever ids repeat."""
+    a, b = "A" * 306, "B" * 406
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, a), (None, b), (1, a), (4, "x:" * 9000), (4, "y" * 60), (5, "x:" * 9000)]
+    pages = spark.createDataFrame([(i, h, "u") for i, h in rows], "page_id long, html string, name string")
+    got = warc.archive_round_trip(pages.withColumnRenamed("name", "url")).collect()
+    full = lambda h: (len(h), hashlib.sha256(h.encode()).hexdigest())
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert all(r["complete"] for r in got)
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in got), key=key) == sorted(
+        ((i, *full(h), {a: 1, b: 1, "x:" * 9000: 4}.get(h) if i not in (1, 4) else None) for i, h in rows), key=key)
+    text = spark.createDataFrame([("p:1 é", a), ("p:2", a)], "page_id string, html string")
+    assert {(r["page_id"], r["refers_to"]) for r in warc.archive_round_trip(text).collect()} == {("p:1 é", None), ("p:2", "p:1 é")}
+
+
+def test_long_pages_are_put_together(spark):
+    """A page of 64 MB: every segment is copied once (a quadratic join would move 130 GB)."""
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * (64 << 20)
+    parts = [block[i:i + warc.SEGMENT_BYTES] for i in range(0, len(block), warc.SEGMENT_BYTES)]
+    n = len(parts)
+    rows = pa.RecordBatch.from_arrays([
+        pa.array(["r"] * n), pa.array(range(1, n + 1), pa.int32()), pa.array(["response"] + ["continuation"] * (n - 1)),
+        pa.array([None] * n, pa.string()), pa.array([None] * (n - 1) + [len(block)], pa.int64()), pa.array(parts, pa.binary())],
+        ["key", "part", "type", "url", "whole", "block"])
+    begin = time.perf_counter()
+    (got,) = warc._join_segments(iter([rows]))
+    assert time.perf_counter() - begin < 5
+    assert got.column(4)[0].as_py() and got.column(3)[0].as_buffer().size == len(block)
+
+
 def test_broken_segments_are_told(spark):
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"x" * 90)
     a, b, c = block[:50], block[50:100], block[100:]
