@@ -78,7 +78,7 @@ def _splits(cuts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _transducers(shards: DataFrame, side: str, ranges: int) -> DataFrame:
-    """(lang, range, blob): a shard's n-grams of frequent words with their counts."""
+    """(lang, range, blob): a shard's n-grams with their counts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -240,7 +240,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     totals = save(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
     size = totals.groupBy("lang").agg(F.sum("n").alias("n"))
     ranges = max(1, (totals.agg(F.sum("n").alias("n")).first()["n"] or 0) // ngrams.RANGE_WORDS)
-    known = save(ngrams.numbered(totals.filter(F.col("n") >= least), "phrase-numbers").select(
+    # rare words are numbered too: leaving them out would save little of a large corpus, where few
+    # occurrences are of rare words, and make what is shuffled depend on its size
+    known = save(ngrams.numbered(totals, "phrase-numbers").select(
         "lang", "word", ngrams.label(F.col("number"), F.col("n"), 1).alias("label")), "phrase-labels")
     side = ngrams.by_shard(words.join(known, ["lang", "word"]).select("shard", "local", "label"), "phrase-sides")
 
