@@ -36,6 +36,7 @@ DISCOUNT = 0.75
 #: Bytes of text held for a shard at most, but for a longer text.
 SHARD_BYTES = 12 << 20
 
+SCORES = "`{}` {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 KINDS = ngrams.byte_kinds(b" \t\n\x0b\x0c\r")
 # Labels: no word, a word never seen in training, the end of a text (and what stands before it);
 # odd ones do not end a prefix.
@@ -78,11 +79,12 @@ def _shards(docs: DataFrame, id_col: str, text_col: str, usable: Column) -> Data
         seq = np.insert(code + 1, np.searchsorted(text, np.arange(len(texts)), "right"), 0).astype("<u4")
         return pa.RecordBatch.from_arrays(
             [pa.array([number]), ngrams.one_list(ids), ngrams.one_list(pa.array(train)), ngrams.one_list(words.cast(pa.string())),
-             ngrams.one_list(pa.array(n)), pa.array([seq.tobytes()], pa.binary())], ["shard", "keys", "train", "words", "counts", "seq"])
+             ngrams.one_list(pa.array(n)), pa.array([len(n)]), pa.array([len(seq)]), pa.array([seq.tobytes()], pa.binary())],
+            ["shard", "keys", "train", "words", "counts", "n_words", "n_tokens", "seq"])
 
     given = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(usable, F.lit(False)), F.col(f"`{text_col}`").cast("string"))
     kind = given.schema["id"].dataType.simpleString()
-    return given.mapInArrow(run, f"shard long, keys array<{kind}>, train array<boolean>, words array<string>, counts array<long>, seq binary")
+    return given.mapInArrow(run, f"shard long, keys array<{kind}>, train array<boolean>, words array<string>, counts array<long>, n_words long, n_tokens long, seq binary")
 
 
 class _Sequence:
@@ -91,14 +93,13 @@ class _Sequence:
 
     def __init__(self, seq: bytes, train: list[bool], side: str, shard: int, texts: int):
         ids = np.frombuffer(seq, "<u4")
-        known = ngrams.of_shard(side, shard)
-        local = ngrams.numpy_of(known, "local") if known else np.zeros(0, np.int64)
-        label = ngrams.numpy_of(known, "label") if known else np.zeros(0, np.int64)
-        by = np.argsort(label)
-        self.labels = np.concatenate([[NONE, UNKNOWN, END], label[by]])
-        self.counts = np.concatenate([[0, 0, texts], ngrams.numpy_of(known, "total")[by] if known else []]).astype(np.int64)
-        number = np.full(max(int(ids.max(initial=0)), int(local.max(initial=0)) + 1) + 1, 1, np.uint32)
-        number[local[by] + 1] = np.arange(3, 3 + len(by))
+        label, total = ngrams.labels_of_shard(side, shard)
+        local = np.flatnonzero(total)
+        local = local[np.argsort(label[local])]
+        self.labels = np.append([NONE, UNKNOWN, END], label[local])
+        self.counts = np.append([0, 0, texts], total[local])
+        number = np.ones(len(label) + 1, np.uint32)
+        number[local + 1] = np.arange(3, 3 + len(local))
         number[0] = 2
         self.seq = np.append(2, number[ids]).astype(np.uint32)
         self.ends = np.flatnonzero(self.seq == 2)  # the first is the start
@@ -108,7 +109,7 @@ class _Sequence:
 
 
 def _dealt(s: _Sequence, ranges: int) -> Dealt:
-    return Dealt(s.windows.cols, s.windows.weights, s.labels, ranges, longest=2)
+    return Dealt(s.windows.cols, s.windows.weights, s.labels, ranges, longest=2, ordered=True)
 
 
 def _asked(shards: DataFrame, side: str, ranges: int, texts: int) -> DataFrame:
@@ -208,18 +209,19 @@ def _answers(asked: DataFrame, scale: Scale) -> DataFrame:
         run, "shard long, range long, sizes array<long>, codes binary, hot array<long>, left array<double>")
 
 
-def _sums(shards: DataFrame, side: str, hot: str, begin: float, answers: str, ranges: int, total: int, texts: int, distinct: int,
+def _sums(shards: DataFrame, side: str, hot: dict[int, float], answers: str, ranges: int, total: int, texts: int, distinct: int,
           scale: Scale, id_col: str, kind: str) -> DataFrame:
     """Scores of all texts from the answers to their shard's n-grams."""
+    held = shards.sparkSession.sparkContext.broadcast(hot)  # fewer than ngrams.MAX_HOT words
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for row in range(b.num_rows):
                 shard, train, seq = (b.column(i)[row].as_py() for i in (0, 2, 3))
                 s = _Sequence(seq, train, side, shard, texts)
-                yield _scored(s, ngrams.of_shard(answers, shard), ngrams.of_shard(hot, shard), b.column(1)[row].values, train)
+                yield _scored(s, ngrams.of_shard(answers, shard), b.column(1)[row].values, train)
 
-    def _scored(s: _Sequence, table: pa.Table, hot: pa.Table | None, keys: pa.Array, train: list[bool]) -> pa.RecordBatch:
+    def _scored(s: _Sequence, table: pa.Table, keys: pa.Array, train: list[bool]) -> pa.RecordBatch:
         dealt = _dealt(s, ranges)
         found = [[] for _ in range(4)]
         for i in np.argsort(ngrams.numpy_of(table, "range")):
@@ -232,10 +234,8 @@ def _sums(shards: DataFrame, side: str, hot: str, begin: float, answers: str, ra
         left = np.ones(len(s.labels))
         own = left1 > 0
         left[np.searchsorted(s.labels, dealt.labels[0][own])] = left1[own]
-        left[2] = begin / texts if texts else 1.0
-        if hot is not None:
-            at = np.searchsorted(s.labels, ngrams.numpy_of(hot, "label"))
-            left[at] = ngrams.numpy_of(hot, "left") / np.maximum(s.counts[at], 1)
+        for i in np.flatnonzero((s.labels & 1) & (s.counts > 0)).tolist():
+            left[i] = held.value[int(s.labels[i])] / s.counts[i]
         two, three = dealt.state(1), dealt.state(2)
         w, v = s.seq[1:], s.seq[:-1]  # each token and the one before it
         base = (s.counts[w] + ADD) / (total + ADD * (distinct + 1))
@@ -254,17 +254,14 @@ def _sums(shards: DataFrame, side: str, hot: str, begin: float, answers: str, ra
             [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return shards.select("shard", "keys", "train", "seq").mapInArrow(
-        run, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        run, SCORES.format(id_col, kind))
 
 
-def _hot(spark: SparkSession, words: DataFrame, known: DataFrame, answers: str) -> tuple[str, float]:
-    """What the hot words of each shard leave to shorter contexts, summed over all ranges, and
-    what the beginning of a text leaves."""
+def _hot(spark: SparkSession, answers: str) -> dict[int, float]:
+    """What hot words leave to shorter contexts, summed over all ranges. There are less than
+    one for ``HOT_WORDS`` words of the corpus."""
     each = spark.read.parquet(f"{answers}/shard=-1").select(F.inline(F.arrays_zip("hot", "left")))
-    sums = save(each.groupBy(F.col("hot").alias("label")).agg(F.sum("left").alias("left")), "lm-hot")
-    begin = sums.filter(F.col("label") == END).first()
-    side = ngrams.by_shard(words.join(known.join(sums, "label"), "word").select("shard", "label", "left"), "lm-hot-sides")
-    return side, begin["left"] if begin else 0.0
+    return {r["hot"]: r["left"] for r in each.groupBy("hot").agg(F.sum("left").alias("left")).collect()}
 
 
 def scores(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,17 +276,18 @@ def scores(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: st
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shards = save(_shards(docs, id_col, text_col, usable), "lm-shards")
-    words = ngrams.shard_words(shards, [])
-    totals = save(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("total")), "lm-words")
-    sums = totals.agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    texts = shards.agg(F.sum(F.size(F.filter("train", lambda x: x))).alias("n")).first()["n"] or 0
-    total, distinct = (sums["n"] or 0) + texts, sums["v"] + (texts > 0)
-    every = shards.agg(F.sum(F.octet_length("seq")).alias("n")).first()["n"] or 0
-    ranges = max(1, every // 4 // ngrams.RANGE_WORDS)
-    known = save(ngrams.numbered(totals, "lm-numbers").select(
-        "word", "total", ngrams.label(F.col("number"), F.col("total"), 3).alias("label")), "lm-labels")
-    side = ngrams.by_shard(words.join(known, "word").select("shard", "local", "label", "total"), "lm-sides")
+    every = shards.agg(F.count(F.lit(1)).alias("shards"), F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens"),
+                       F.sum(F.size(F.filter("train", lambda x: x))).alias("texts")).first()
+    if not every["shards"]:
+        return docs.sparkSession.createDataFrame([], SCORES.format(id_col, kind))
+    side = ngrams.number_words(shards, [], 3, UNKNOWN, "lm-sides")
+    sums = {"n": 0, "v": 0}
+    if every["words"]:
+        sums = docs.sparkSession.read.parquet(f"{side}/shard=-1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    texts = every["texts"]
+    total, distinct = sums["n"] + texts, sums["v"] + (texts > 0)
+    ranges = max(1, every["tokens"] // ngrams.RANGE_WORDS)
     scale = Scale(np.log10(total + 1) + 1.5)
     answers = ngrams.by_shard(_answers(_asked(shards, side, ranges, texts), scale), "lm-answers")
-    hot, begin = _hot(docs.sparkSession, words, known, answers) if every else (side, 0.0)
-    return _sums(shards, side, hot, begin, answers, ranges, total, texts, distinct, scale, id_col, kind)
+    hot = _hot(docs.sparkSession, answers)
+    return _sums(shards, side, hot, answers, ranges, total, texts, distinct, scale, id_col, kind)

@@ -1,14 +1,15 @@
 """N-grams of a corpus as weighted acyclic automata.
 
-Texts are gathered to shards of bounded size. A shard's words are counted and numbered by Spark
-joins; its sorted n-grams become one automaton for each range of prefixes, which holds a state for
-every n-gram and the weight (count) of each. Automata of a range are united level by level. Every
-n-gram belongs to the range that its shortest prefix with a rare last word hashes to, so no range
-depends on how frequent a word is.
+Texts are gathered to shards of bounded size. A shard's words are dealt to ranges of their checksum,
+which sum up and number them for all shards. Its sorted n-grams become one automaton for each range
+of prefixes, which holds a state for every n-gram and the weight (count) of each. Automata of a
+range are united level by level. Every n-gram belongs to the range that its shortest prefix with a
+rare last word hashes to, so no range depends on how frequent a word is.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,18 +18,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, save
+from tessera.llm.common import new_path
 from tessera.llm.files import by_key, of_key
 
 #: A shard is closed when it holds this many words; a longer text is a shard of its own.
 SHARD_WORDS = 2_000_000
 #: Words of the corpus for each range of prefixes.
 RANGE_WORDS = 1_000_000
-#: Words with more occurrences than this do not end a prefix.
+#: Distinct words of shards, summed over the shards, for each range of words.
+RANGE_DISTINCT = 500_000
+#: Words with more occurrences than this, and than one in ``MAX_HOT`` of all, do not end a prefix.
 HOT_WORDS = 250_000
+#: So there are fewer such words than this.
+MAX_HOT = 1_000_000
 
 WORD, WHITE, BREAK = 0, 1, 2
 
@@ -41,7 +46,7 @@ def byte_kinds(white: bytes, breaks: bytes = b"") -> np.ndarray:
 
 
 def split_words(texts: list[bytes], kinds: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of lower-cased texts in byte order, the number of each word in turn, its
+    """Distinct words of lower-cased texts by their checksums, the number of each word in turn, its
     text, and its piece (words with no break between them)."""
     lower = b" ".join([t.lower() for t in texts]) + b" "
     data = np.frombuffer(lower, np.uint8)
@@ -60,7 +65,7 @@ def split_words(texts: list[bytes], kinds: np.ndarray) -> tuple[pa.Array, np.nda
     del kind, inside, data
     words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(letters)])
     coded = words.dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
+    order = np.argsort(checksums(coded.dictionary), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     return coded.dictionary.take(pa.array(order)).cast(pa.binary()), rank[coded.indices.to_numpy()], text, piece
@@ -80,29 +85,100 @@ def one_list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-# --- numbers for words -------------------------------------------------------------------
+def checksums(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words.cast(pa.large_binary()).to_pylist()), np.int64, len(words))
+
+
+# --- bytes -------------------------------------------------------------------------------
 
-def numbered(df: DataFrame, name: str, number: str = "number") -> DataFrame:
-    """``df`` with numbers from 0 without gaps: rows are counted for each task that wrote them."""
-    (df,) = [save(df.withColumn("__id", F.monotonically_increasing_id()), name)]
-    task = F.shiftright("__id", 33)
-    sizes = df.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("n")).orderBy("__task").collect()  # one a task
-    before = np.cumsum([0, *(r["n"] for r in sizes)]).tolist()
-    base = df.sparkSession.createDataFrame([(r["__task"], b) for r, b in zip(sizes, before, strict=False)], "__task long, __base long")
-    joined = df.withColumn("__task", task).join(F.broadcast(base), "__task")
-    return joined.withColumn(number, F.col("__base") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__task", "__base", "__id")
+def pack(arrays: list[np.ndarray], tail: bytes = b"") -> bytes:
+    """Arrays of unsigned numbers and some bytes, compressed; the bytes of equal place together."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], "<i8").tobytes()
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *planes, tail]))
 
 
-def shard_words(shards: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, shard, local, word, n): the words of every shard, numbered within it."""
-    both = F.arrays_zip("words", "counts")
-    rows = shards.select(*keep, "shard", F.posexplode(both).alias("local", "w"))
-    return rows.select(*keep, "shard", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+def unpack(data: bytes) -> tuple[list[np.ndarray], memoryview]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    sizes, out, at = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2).tolist(), [], 8 + 16 * n
+    for size, width in sizes:
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(size))
+        at += size * width
+    return out, memoryview(raw)[at:]
 
 
-def label(number: Column, n: Column, first: int) -> Column:
-    """The label of a word: even if it is rare, odd if it is hot; labels under ``2 * first`` are free."""
-    return (number + first) * 2 + (n > HOT_WORDS).cast("long")
+def words_of(lengths: np.ndarray, letters) -> pa.Array:
+    cuts = np.append(0, np.cumsum(lengths, dtype=np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(cuts), pa.py_buffer(letters)])
+
+
+# --- numbers for words -------------------------------------------------------------------
+
+def number_words(shards: DataFrame, keep: list[str], first: int, unknown: int, name: str, least: int | None = None) -> str:
+    """Writes for every shard the labels and totals of its words, in their order, and returns the
+    folder. Words are summed over all shards with equal ``keep`` columns.
+
+    The label is even if a word is rare, odd if it is hot; labels under ``2 * first`` are free; words
+    whose total is 0 have the label ``unknown``. Shard -1 holds a row for each range: ``n`` (the sum of
+    the totals), ``v`` (words with a total), and the words of a total of ``least`` and their labels.
+    """
+    sums = shards.agg(F.sum("n_words").alias("n"), F.sum("n_tokens").alias("tokens")).first()
+    ranges = max(1, (sums["n"] or 0) // RANGE_DISTINCT)
+    hot = max(HOT_WORDS, (sums["tokens"] or 0) // MAX_HOT)
+
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for i in range(b.num_rows):
+                words = b.column(b.num_columns - 2)[i].values.cast(pa.large_binary())
+                counts = b.column(b.num_columns - 1)[i].values.to_numpy()
+                lengths = pc.binary_length(words).to_numpy().astype("<u4")
+                cuts = np.searchsorted(checksums(words) * ranges >> 32, np.arange(ranges + 1))
+                blobs = [(r, pack([lengths[a:z], counts[a:z].astype("<u8")], b"".join(words.slice(a, z - a).to_pylist())))
+                         for r, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < z]
+                same = [pa.array([b.column(c)[i].as_py()] * len(blobs), b.column(c).type) for c in range(b.num_columns - 2)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([r for r, _ in blobs], pa.int64()), pa.array([x for _, x in blobs], pa.binary())],
+                                                 [*b.schema.names[:-2], "range", "data"])
+
+    def number(table: pa.Table) -> pa.Table:
+        parts = [unpack(x.as_py()) for x in table.column("data")]
+        every = pa.concat_arrays([words_of(lengths, letters) for (lengths, _), letters in parts]).dictionary_encode()
+        code = every.indices.to_numpy()
+        totals = np.zeros(len(every.dictionary), np.int64)
+        np.add.at(totals, code, np.concatenate([c for (_, c), _ in parts]).astype(np.int64))
+        r = table.column("range")[0].as_py()
+        label = ((np.arange(len(totals)) * ranges + r + first) * 2 + (totals > hot)).astype(np.int64)
+        label[totals == 0] = unknown
+        if label.max(initial=0) >= 1 << 32:
+            raise ValueError("more words than 32-bit labels")
+        cuts = np.cumsum([0, *(len(c) for (_, c), _ in parts)]).tolist()
+        out = [pack([label[x].astype("<u4"), totals[x].astype("<u8")]) for x in (code[a:z] for a, z in zip(cuts, cuts[1:], strict=False))]
+        listed = np.flatnonzero(totals >= least) if least else np.zeros(0, np.int64)
+        n = len(out)
+        last = [pa.array([table.column(c)[0].as_py()], table.schema.field(c).type) for c in keep]
+        cols = {c: pa.concat_arrays([table.column(c).combine_chunks(), x]) for c, x in zip(keep, last, strict=True)}
+        none = lambda x, kind: pa.array([None] * n + [x], kind)
+        return pa.table({
+            **cols, "range": pa.array([r] * (n + 1)), "shard": pa.concat_arrays([table.column("shard").combine_chunks(), pa.array([-1])]),
+            "data": pa.array([*out, None], pa.binary()), "n": none(int(totals.sum()), pa.int64()), "v": none(int((totals > 0).sum()), pa.int64()),
+            "words": none([w.decode() for w in every.dictionary.take(pa.array(listed)).to_pylist()], pa.list_(pa.string())),
+            "labels": none(label[listed].tolist(), pa.list_(pa.int64()))})
+
+    kinds = "".join(f"{c} {shards.schema[c].dataType.simpleString()}, " for c in keep)
+    dealt = shards.select(*keep, "shard", "words", "counts").mapInArrow(deal, f"{kinds}shard long, range long, data binary")
+    done = dealt.groupBy(*keep, "range").applyInArrow(
+        number, f"{kinds}range long, shard long, data binary, n long, v long, words array<string>, labels array<long>")
+    return by_shard(done, name)
+
+
+def labels_of_shard(folder: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and totals of a shard's words, in their order."""
+    table = of_shard(folder, shard)
+    if table is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts = [unpack(table.column("data")[int(i)].as_py())[0] for i in np.argsort(numpy_of(table, "range"))]
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
 
 
 def by_shard(df: DataFrame, name: str) -> str:
@@ -136,28 +212,13 @@ class Levels:
         return np.repeat(np.arange(len(self.labels[depth - 1])), self.children[depth - 1])
 
     def to_bytes(self) -> bytes:
-        planes = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
-        head = np.array([len(self.labels), *map(len, self.labels)], "<u4").tobytes()
-        data = b"".join([head, *(planes(x.astype("<u4")) for x in self.labels + self.children), *(planes(x.astype("<u8")) for x in self.weights)])
-        return zstandard.ZstdCompressor(level=1).compress(data)
+        return pack([x.astype("<u4") for x in self.labels + self.children] + [x.astype("<u8") for x in self.weights])
 
     @staticmethod
     def from_bytes(data: bytes) -> Levels:
-        raw = zstandard.ZstdDecompressor().decompress(data)
-        depth = int(np.frombuffer(raw, "<u4", 1)[0])
-        sizes = np.frombuffer(raw, "<u4", depth, 4).tolist()
-        at = 4 + 4 * depth
-
-        def take(n: int, kind: str) -> np.ndarray:
-            nonlocal at
-            width = np.dtype(kind).itemsize
-            planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
-            at += n * width
-            return np.ascontiguousarray(planes.T).view(kind).reshape(n)
-
-        labels = [take(n, "<u4") for n in sizes]
-        children = [take(n, "<u4") for n in sizes[:-1]]
-        return Levels(labels, [take(n, "<u8").astype(np.int64) for n in sizes], children)
+        arrays, _ = unpack(data)
+        depth = (len(arrays) + 1) // 3
+        return Levels(arrays[:depth], [x.astype(np.int64) for x in arrays[2 * depth - 1:]], arrays[depth:2 * depth - 1])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -176,7 +237,7 @@ def _order(cols: list[np.ndarray], size: int, first: np.ndarray | None = None) -
             key = key << np.uint64(bits) | c.astype(np.uint64)
         keys.append(key)
     if first is None and len(keys) == 1:
-        return np.argsort(keys[0], kind="stable")
+        return np.argsort(keys[0])  # equal rows may come in any order
     return np.lexsort([*reversed(keys), *([] if first is None else [first])])
 
 
@@ -234,11 +295,12 @@ class Dealt:
 
     ``labels`` gives the label of each number (0: none) in ascending order. A row belongs to the
     range of its shortest prefix that ends with a rare word, or of the whole row, or of its first
-    ``longest`` labels. It adds its weight to its states at the depths ``low`` to ``high``.
+    ``longest`` labels. It adds its weight to its states from that depth on, or to the last one
+    where ``whole`` holds. ``ordered``: the rows are in order.
     """
 
     def __init__(self, cols: list[np.ndarray], weights: np.ndarray, labels: np.ndarray, ranges: int,
-                 whole: np.ndarray | None = None, longest: int | None = None):
+                 whole: np.ndarray | None = None, longest: int | None = None, ordered: bool = False):
         n, order = len(cols[0]), len(cols)
         length = sum((c > 0).astype(np.int64) for c in cols)
         depth = np.full(n, 1, np.int64)
@@ -254,7 +316,7 @@ class Dealt:
         dealt = ((chosen >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         low = depth if whole is None else np.where(whole, length, depth)
         high = np.full(n, order) if whole is None else np.where(whole, length, order)
-        by = _order(cols, len(labels), dealt)
+        by = np.argsort(dealt.astype(np.uint16) if ranges < 1 << 16 else dealt, kind="stable") if ordered else _order(cols, len(labels), dealt)
         self.by, self.range = by, dealt[by]
         cols, weights, low, high = [c[by] for c in cols], weights[by], low[by], high[by]
         self.new = [s & (c > 0) for s, c in zip(_changes(cols, self.range), cols, strict=True)]

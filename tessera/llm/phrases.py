@@ -31,6 +31,7 @@ SHARD_BYTES = 16 << 20
 #: Phrases that one task of the report ranks first.
 RANK_ROWS = 200_000
 
+REPORT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 KINDS = ngrams.byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 
 
@@ -45,15 +46,16 @@ def _shards(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             words, code, _, piece = ngrams.split_words(held.pop(lang), KINDS)
             size.pop(lang)
             cuts = np.flatnonzero(np.diff(piece)) + 1
-            for a, b in zip([0, *cuts[_splits(cuts, len(code))]], [*cuts[_splits(cuts, len(code))], len(code)], strict=True):
-                if a == b:
+            for a, z in zip([0, *cuts[_splits(cuts, len(code))]], [*cuts[_splits(cuts, len(code))], len(code)], strict=True):
+                if a == z:
                     continue
-                part, inner = code[a:b], cuts[(cuts > a) & (cuts < b)] - a
+                part, inner = code[a:z], cuts[(cuts > a) & (cuts < z)] - a
                 present, local, n = np.unique(part, return_inverse=True, return_counts=True)
                 ids = np.insert(local + 1, inner, 0).astype("<u4")
                 yield pa.RecordBatch.from_arrays([
                     pa.array([next(numbers)]), pa.array([lang]), ngrams.one_list(words.take(pa.array(present)).cast(pa.string())),
-                    ngrams.one_list(pa.array(n)), pa.array([ids.tobytes()], pa.binary())], ["shard", "lang", "words", "counts", "ids"])
+                    ngrams.one_list(pa.array(n)), pa.array([len(n)]), pa.array([z - a]), pa.array([ids.tobytes()], pa.binary())],
+                    ["shard", "lang", "words", "counts", "n_words", "n_tokens", "ids"])
 
         for b in parts:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -67,7 +69,7 @@ def _shards(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             yield from close(lang)
 
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string"))
-    return rows.mapInArrow(run, "shard long, lang string, words array<string>, counts array<long>, ids binary")
+    return rows.mapInArrow(run, "shard long, lang string, words array<string>, counts array<long>, n_words long, n_tokens long, ids binary")
 
 
 def _splits(cuts: np.ndarray, n: int) -> np.ndarray:
@@ -83,13 +85,10 @@ def _transducers(shards: DataFrame, side: str, ranges: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for shard, lang, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                known = ngrams.of_shard(side, shard)
-                if known is None:
-                    continue
-                seq, labels = np.frombuffer(data, "<u4"), ngrams.numpy_of(known, "label")
+                seq, (labels, _) = np.frombuffer(data, "<u4"), ngrams.labels_of_shard(side, shard)
                 by = np.argsort(labels)
-                number = np.zeros(max(int(seq.max()), int(ngrams.numpy_of(known, "local").max()) + 1) + 1, np.uint32)
-                number[ngrams.numpy_of(known, "local")[by] + 1] = np.arange(1, len(by) + 1)
+                number = np.zeros(len(by) + 1, np.uint32)
+                number[by + 1] = np.arange(1, len(by) + 1)
                 labels = np.append(0, labels[by])
                 w = ngrams.windows(number[seq], LONGEST, len(labels))
                 some = w.cols[0] > 0
@@ -236,15 +235,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     columns are not used; an empty table gives no rows.
     """
     shards = save(_shards(docs, text_col, lang_col), "phrase-shards")
-    words = ngrams.shard_words(shards, ["lang"])
-    totals = save(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
-    size = totals.groupBy("lang").agg(F.sum("n").alias("n"))
-    ranges = max(1, (totals.agg(F.sum("n").alias("n")).first()["n"] or 0) // ngrams.RANGE_WORDS)
-    # rare words are numbered too: leaving them out would save little of a large corpus, where few
-    # occurrences are of rare words, and make what is shuffled depend on its size
-    known = save(ngrams.numbered(totals, "phrase-numbers").select(
-        "lang", "word", ngrams.label(F.col("number"), F.col("n"), 1).alias("label")), "phrase-labels")
-    side = ngrams.by_shard(words.join(known, ["lang", "word"]).select("shard", "local", "label"), "phrase-sides")
+    side = ngrams.number_words(shards, ["lang"], 1, 0, "phrase-sides", least)
+    if not shards.head(1):
+        return docs.sparkSession.createDataFrame([], REPORT)
+    known = docs.sparkSession.read.parquet(f"{side}/shard=-1")
+    size = save(known.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-sizes")
+    ranges = max(1, (size.agg(F.sum("n").alias("n")).first()["n"] or 0) // ngrams.RANGE_WORDS)
+    known = known.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("labels").alias("label"))))
 
     def unite(table: pa.Table) -> pa.Table:
         automaton, _ = Automaton.union([Levels.from_bytes(x.as_py()) for x in table.column("blob")], least)
