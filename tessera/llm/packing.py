@@ -154,7 +154,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Documents are cut wherever a window's share of their source ends. A null text is empty and
     packs as its end id; the string of a special token is that token, as the vocabulary file
     has it; a null source belongs to the shared queue; null and repeated ids are
-    packed like others. Within a queue documents follow by a hash of their id, then by id.
+    packed like others, dealt out by their tokens' hash too. Within a queue documents follow by a
+    hash of their id and tokens, then by id.
     ``targets`` sets proportions by source (unnamed sources get what is left to 1); a source
     that runs dry leaves its share to the others. An empty table gives no rows.
     """
@@ -164,19 +165,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
                         F.col(f"`{text_col}`").alias("text"))
     tokens = save(token_table(named, ["id", "source"], "text", vocabulary, end_id, special_as_text=False), "pack-tokens")
     own, mix = queues(tokens.groupBy("source").agg(F.sum("n").alias("n")), length, targets)
-    total = mix.tokens if mix else 0
-    parts = max(1, -(-total // BUCKET_TOKENS))
+    # parts of a queue by its own tokens; rows that repeat an id, or have none, are told apart by their ids' hash
+    many = [max(1, -(-t // BUCKET_TOKENS)) for t in (mix.totals if mix else ())] or [1]
     number = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(own)], F.lit(len(own)))
-    dealt = tokens.select("id", "n", "ids", number.alias("queue"),
-                          F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(5)), F.lit(parts)).alias("part"))
+    parts = F.element_at(F.array(*map(F.lit, many)), F.col("queue") + 1)
+    key = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "ids", F.lit(5))
+    dealt = tokens.select("id", "n", "ids", number.alias("queue")).withColumn("part", F.pmod(key, parts))
     sizes = dealt.groupBy("queue", "part").agg(F.sum("n").alias("size"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("queue", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     base = save(base, "pack-bases")
     inside = Window.partitionBy("queue", "part").orderBy("id", "ids").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    # queues x parts rows: at most length / 2 queues, and parts of BUCKET_TOKENS tokens
-    small = F.broadcast(base) if (len(own) + 1) * parts <= 100_000 else base
+    # a row for each part: at most length / 2 queues, and parts of BUCKET_TOKENS tokens
+    small = F.broadcast(base) if sum(many) <= 100_000 else base
     placed = placed.join(small, ["queue", "part"]).select("id", "queue", "n", "ids", (F.col("base") + F.col("inside")).alias("place"))
     return _cut(spark, placed, id_col, mix, vocabulary)
 
