@@ -11,12 +11,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 #: Training documents per language that are read and whose features reach the driver at most.
 SAMPLE_PER_LANGUAGE = 250
+#: Languages learned at most, those with the most training rows.
+MAX_LANGUAGES = 64
 #: Hashed features.
 DIM = 1 << 12
 #: Bytes of text that are featurised at once.
@@ -37,7 +41,9 @@ FAMILIES = {
 }
 FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 
-_OTHER = re.compile(r"[\W\d_]+")
+# Word characters of regular expressions that are numbers, not letters (Unicode category L): ½ ² ①.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha())
+_OTHER = re.compile(f"[\\W\\d_{_NUMBERS}]+")
 
 
 def normalise(text: str | None) -> bytes:
@@ -105,26 +111,43 @@ def _families(langs: list[str], centres: dict[str, np.ndarray]) -> tuple[tuple[s
 
 def learn(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Fit on at most ``sample`` documents a language, chosen by a hash of the id among rows
-    with a language, an id and ``usable``; whole texts are read, mean vectors reach the driver."""
+    """Fit on at most ``sample`` documents of each of the ``MAX_LANGUAGES`` most frequent languages,
+    chosen by a hash of the id among rows with a language, an id and ``usable``; whole texts are
+    read, mean vectors reach the driver (16 KB each).
+
+    Ids are chosen, not rows: of rows that repeat an id and a language the one whose text has the
+    smallest hash is learned. Null texts and texts without a letter teach nothing; an empty table
+    gives a model that predicts ``und``.
+    """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.filter(usable) if usable is not None else rows
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(11)), "id")
-    chosen = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("id", "lang").distinct()
+    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("h"))
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("id").alias("d"))
+    sizes = {r["lang"]: r["d"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    # some times the sample by their hash first, so that no language's ids meet in one task
+    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, 8 * (sample + 10) / max(1, d)))) for x, d in sizes.items()], F.lit(0.0))
+    some = ids.filter(F.pmod("h", F.lit(1 << 20)) <= share * (1 << 20)).filter(share > 0).distinct()
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    chosen = some.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("id", "lang")
     some = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    some = some.join(F.broadcast(chosen), ["id", "lang"])
+    some = some.join(F.broadcast(chosen), ["id", "lang"])  # MAX_LANGUAGES x sample ids
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple[int, str]] = {}  # of each chosen id the text with the smallest hash
         for b in parts:
-            texts = [normalise(t.as_py()) for t in b.column(0)]
-            full = [i for i, t in enumerate(texts) if t]
-            yield pa.RecordBatch.from_arrays([
-                b.column(1).take(pa.array(full, pa.int64())), b.column(2).take(pa.array(full, pa.int64())),
-                pa.array([vector(texts[i]).astype("<f4").tobytes() for i in full], pa.binary())], ["lang", "id", "v"])
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    got = some.select("text", "lang", "id").mapInArrow(run, f"lang string, id {kind}, v binary").collect()
+            for text, lang, i in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                if text:
+                    h = xxhash.xxh64_intdigest(text) >> 1
+                    if (lang, i) not in best or h < best[lang, i][0]:
+                        best[lang, i] = h, text
+        found = [(lang, i, h, vector(x).astype("<f4").tobytes()) for (lang, i), (h, t) in best.items() if (x := normalise(t))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+            list(zip(*found, strict=True)) or [[]] * 4, (pa.string(), key, pa.int64(), pa.binary()), strict=True)], ["lang", "id", "h", "v"])
+
+    kind = rows.schema[id_col].dataType
+    key = to_arrow_type(kind)
+    got = some.select("text", "lang", "id").mapInArrow(run, f"lang string, id {kind.simpleString()}, h long, v binary")
+    got = got.groupBy("lang", "id").agg(F.min_by("v", "h").alias("v")).collect()
     got.sort(key=lambda r: (r["lang"], r["id"]))
     langs = sorted({r["lang"] for r in got})
     x = np.array([np.frombuffer(r["v"], "<f4") for r in got], float).reshape(-1, DIM) if got else np.zeros((0, DIM))
@@ -207,7 +230,11 @@ def decide(margins: np.ndarray, model: LanguageModel) -> tuple[list[str], np.nda
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` (0 to 1) of every whole text. Null and texts
-    without a letter are ``und`` with score 0, as is all text where nothing was learned."""
+    without a letter are ``und`` with score 0, as is all text where nothing was learned. Repeated rows
+    and null ids stay as they are; an empty table gives an empty result; ``keep`` must not name a
+    column like the results."""
+    if {c.lower() for c in keep} & {"lang_pred", "score"}:
+        raise ValueError("kept columns clash with lang_pred and score")
     held = docs.sparkSession.sparkContext.broadcast(model)  # (DIM + 1) x pairs and families
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

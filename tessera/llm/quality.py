@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from pyspark.sql.window import Window
 #: Labelled documents per class that may reach the driver: two thirds make the dictionary,
 #: one third the calibration.
 SAMPLE_PER_CLASS = 1200
-#: Pieces taken at even distances over the whole text of a training document at most.
+#: Pieces taken at even distances over the whole text of a training document at most: what one
+#: document may bring to the driver (24 KB), so that long texts do not outweigh the others.
 PIECES_PER_SAMPLE = 24
 #: Bytes compressed at a time, so that the dictionary counts everywhere in a long text.
 PIECE = 1024
@@ -93,11 +95,15 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
-          text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_PER_CLASS) -> QualityModel:
-    """Fit on at most ``sample`` labelled documents a class, chosen by a hash of the id.
+          text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_PER_CLASS,
+          pieces_each: int = PIECES_PER_SAMPLE) -> QualityModel:
+    """Fit on at most ``sample`` labelled documents a class, chosen by a hash of the id, and at most
+    ``pieces_each`` pieces of 1 KB of each.
 
     ``usable`` is a condition on the label table's id. Ids labelled 0 and 1 at once, null
     labels and labels other than 0 and 1 are left out. Class shares come from all usable labels.
+    Of documents that repeat a chosen id the one whose text has the smallest hash is learned; null
+    and empty texts teach nothing. Without both classes the model is the share of good labels.
     """
     lab = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     lab = lab.filter(usable) if usable is not None else lab
@@ -108,20 +114,31 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     prior = (counts.get(1, 0) + 1) / (total + 2)
     if len(counts) < 2:
         return QualityModel(prior)
-    order = Window.partitionBy("y").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(7)), "id")
-    chosen = lab.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample)
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # some times the sample by their hash first, so that no class meets in one task
+    lab = lab.withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit(7)))
+    share = F.when(F.col("y") == 1, F.lit(min(1.0, 4 * (sample + 20) / counts[1]))).otherwise(F.lit(min(1.0, 4 * (sample + 20) / counts[0])))
+    order = Window.partitionBy("y").orderBy("h", "id")
+    few = lab.filter(F.pmod("h", F.lit(1 << 20)) <= share * (1 << 20))
+    chosen = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("id", "y", "k")
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # 2 x sample
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], tuple[int, str]] = {}  # of each chosen id the text with the smallest hash
         for b in parts:
-            out = []
-            for t in b.column(0):
-                p = pieces(t.as_py())
-                out.append(p if len(p) <= PIECES_PER_SAMPLE else
-                           [p[int(i)] for i in np.linspace(0, len(p) - 1, PIECES_PER_SAMPLE)])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary())), b.column(1), b.column(2)], ["p", "y", "k"])
-
-    rows = some.select("text", "y", "k").mapInArrow(cut, "p array<binary>, y int, k int").collect()
+            for text, y, k in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                if text:
+                    h = xxhash.xxh64_intdigest(text) >> 1
+                    if (y, k) not in best or h < best[y, k][0]:
+                        best[y, k] = h, text
+        out = []
+        for (y, k), (h, text) in best.items():
+            p = pieces(text)
+            out.append((p if len(p) <= pieces_each else [p[int(i)] for i in np.linspace(0, len(p) - 1, pieces_each)], y, k, h))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+            list(zip(*out, strict=True)) or [[]] * 4, (pa.list_(pa.binary()), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["p", "y", "k", "h"])
+
+    rows = some.select("text", "y", "k").mapInArrow(cut, "p array<binary>, y int, k int, h long")
+    rows = rows.groupBy("y", "k").agg(F.min_by("p", "h").alias("p")).collect()
     rows.sort(key=lambda r: (r["y"], r["k"]))
     by = {y: [r for r in rows if r["y"] == y and r["p"]] for y in (0, 1)}
     train = {y: [bytes(p) for r in by[y] if r["k"] % 3 for p in r["p"]] for y in by}
@@ -140,7 +157,10 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns and ``score`` (0 to 1, higher is better) of every whole text. A null or
-    empty text gets the share of good labels."""
+    empty text gets the share of good labels. Repeated rows and null ids stay as they are; an empty
+    table gives an empty result; ``keep`` must not name a column ``score``."""
+    if "score" in {c.lower() for c in keep}:
+        raise ValueError("kept columns clash with score")
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES
 
