@@ -10,11 +10,11 @@ import numpy as np
 
 # Fixed values from the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math select object noframes".split())
+RAW = set("script style textarea title iframe template noframes".split())
 BLOCK = set("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure "
-            "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre "
-            "search section summary table tbody td tfoot th thead tr ul caption".split())
-CLOSES_P = BLOCK - set("body html button option optgroup li dd dt td th tr tbody thead tfoot caption legend summary".split())
+            "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol optgroup option p pre "
+            "search section select summary table tbody td tfoot th thead tr ul caption".split())
+CLOSES_P = BLOCK - set("body html button noscript select option optgroup li dd dt td th tr tbody thead tfoot caption legend summary".split())
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "td": {"td", "th"},
             "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"},
@@ -23,7 +23,7 @@ FENCES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"tr", "
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|"
                     r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Parts of class, id, role and label values that tell what an element is for.
 KINDS = [
@@ -41,36 +41,63 @@ KINDS = [
 ]
 _KIND = {w: i for i, line in enumerate(KINDS) for w in line.split()}
 TAGS = ["article main section div", "p blockquote pre dl dd dt", "h1 h2 h3 h4 h5 h6 hgroup", "nav menu", "header", "footer address",
-        "aside", "form fieldset input button label legend search", "ul ol", "li", "table tbody thead tr td th caption",
-        "figure figcaption details summary", "body html"]
+        "aside", "form fieldset input button label legend search select option",  "ul ol", "li", "table tbody thead tr td th caption",
+        "figure figcaption details summary", "body html", "noscript", "span a b i em strong font small"]
 _TAG = {w: i for i, line in enumerate(TAGS) for w in line.split()}
 
 
 class Page:
-    """Block elements of a page in page order, 0 the root, and its text runs.
+    """Elements of a page in page order, 0 the root, and its text.
 
-    ``parent``, ``tag``, ``kinds`` (bits of ``KINDS``), ``hidden`` per element; runs are
-    (element, text, characters within links). Inline elements belong to the block around them.
+    Elements are block elements, and inline ones that say what they are for or are hidden; other
+    inline elements belong to the element around them. ``parent``, ``tag``, ``kinds`` (bits of
+    ``KINDS``), ``hidden`` per element; ``runs`` are (element, text with its white space, characters
+    within links); ``ends`` are the runs after which a block ends.
     """
 
     def __init__(self, source: str | None):
         self.parent, self.tag, self.kinds, self.hidden = [-1], ["html"], [0], [False]
         self.runs: list[tuple[int, str, int]] = []
+        self.ends: list[int] = []
         self._read(source or "")
 
+    def text(self, keep) -> str:
+        """The runs of kept elements: white space inside a block is one space, as are its ends."""
+        blocks, line, end = [], [], iter([*self.ends, len(self.runs)])
+        stop = next(end)
+        for i, (node, text, _) in enumerate(self.runs):
+            while i >= stop:
+                blocks.append("".join(line))
+                line, stop = [], next(end, len(self.runs))
+            if keep[node]:
+                line.append(text)
+        return " ".join(" ".join([*blocks, "".join(line)]).split())
+
+    def _add(self, tag: str, parent: int, kinds: int, hidden: bool) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.kinds.append(kinds)
+        self.hidden.append(hidden)
+        return len(self.tag) - 1
+
     def _read(self, s: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]  # tag, block element it is or lies in
+        stack: list[tuple[str, int]] = [("html", 0)]  # tag, element it is or lies in
         line: list[str] = []
         linked, in_link = 0, 0
 
-        def end_run():
+        def end_part():
             nonlocal linked
-            text = " ".join("".join(line).split())
+            text = "".join(line)
             if text:
                 self.runs.append((stack[-1][1], text, min(linked, len(text))))
             line.clear()
             linked = 0
 
+        def end_run():
+            end_part()
+            if self.runs and (not self.ends or self.ends[-1] != len(self.runs)):
+                self.ends.append(len(self.runs))
+
         def add(text: str):
             nonlocal linked
             if text:
@@ -81,9 +108,11 @@ class Page:
         def pop_to(depth: int):
             nonlocal in_link
             while len(stack) > depth:
-                tag = stack[-1][0]
+                tag, node = stack[-1]
                 if tag in BLOCK:
                     end_run()
+                elif node != stack[-2][1]:
+                    end_part()
                 stack.pop()
                 in_link -= tag == "a"
 
@@ -137,12 +166,9 @@ class Page:
                 if tag in BLOCK:
                     end_run()
                     kinds, hidden = self._kinds(attrs)
-                    self.parent.append(stack[-1][1])
-                    self.tag.append(tag)
-                    self.kinds.append(kinds)
-                    self.hidden.append(hidden or tag == "dialog" and " open" not in f" {attrs.lower()}")
+                    node = self._add(tag, stack[-1][1], kinds, hidden or tag == "dialog" and " open" not in f" {attrs.lower()}")
                     if tag != "hr":
-                        stack.append((tag, len(self.tag) - 1))
+                        stack.append((tag, node))
                 elif tag in VOID:
                     line.append(" " if tag == "br" else "")
                 elif not attrs.rstrip().endswith("/"):
@@ -153,7 +179,12 @@ class Page:
                                 break
                             if stack[i][0] in BLOCK:
                                 break
-                    stack.append((tag, stack[-1][1]))
+                    kinds, hidden = self._kinds(attrs)
+                    node = stack[-1][1]
+                    if kinds or hidden:
+                        end_part()
+                        node = self._add(tag, node, kinds, hidden)
+                    stack.append((tag, node))
                     in_link += tag == "a"
             elif m.group().startswith("<![CDATA["):
                 line.append(" ")
@@ -163,13 +194,13 @@ class Page:
         bits, hidden = 0, False
         if attrs and not attrs.isspace():
             for name, value in _ATTR.findall(attrs):
-                name, value = name.lower(), value.strip("\"'").lower()
+                name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id", "role", "aria-label", "itemprop", "data-role", "data-component"):
                     for w in _PART.findall(value):
-                        if w in _KIND:
-                            bits |= 1 << _KIND[w]
-                elif name == "hidden" or name == "aria-hidden" and value == "true" or \
-                        name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                        if w.lower() in _KIND:
+                            bits |= 1 << _KIND[w.lower()]
+                elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or \
+                        name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
                     hidden = True
         return bits, hidden
 
@@ -178,7 +209,7 @@ FEATURES = 3 * len(KINDS) + 3 * len(TAGS) + 20
 
 
 def node_features(pages: list[Page]) -> np.ndarray:
-    """One row per block element of all pages, page after page: attribute parts and tags of its
+    """One row per element of all pages, page after page: attribute parts and tags of its
     own, of what lies around it and of what lies inside, size and density of its subtree, depth,
     and how it stands among its siblings."""
     rows: list[list] = [[] for _ in range(16)]
@@ -188,8 +219,11 @@ def node_features(pages: list[Page]) -> np.ndarray:
         marked = [k | (1 << len(KINDS) + _TAG[t] if t in _TAG else 0) for k, t in zip(page.kinds, page.tag, strict=True)]
         own, linked, runs, stops = [0] * n, [0] * n, [0] * n, [0] * n
         for node, text, in_links in page.runs:
-            own[node] += len(text)
-            linked[node] += in_links
+            size_ = len(text.strip())
+            if not size_:
+                continue
+            own[node] += size_
+            linked[node] += min(in_links, size_)
             runs[node] += 1
             stops[node] += text.count(".") + text.count(",")
         text, size, paragraphs = own[:], [1] * n, [int(t == "p") for t in page.tag]

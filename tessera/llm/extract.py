@@ -1,4 +1,4 @@
-"""Main text of web pages: boosted trees judge every block element, and a decoding over the tree
+"""Main text of web pages: boosted trees judge every element, and a decoding over the tree
 settles the judgements so that what lies inside a dropped element is dropped too.
 
 No labels come with pages, so the trees learn from pages of known main text that are made
@@ -59,6 +59,32 @@ class _Maker:
         plain = tag in ("div", "section", "ul", "p", "span")
         return f"<{tag}{self.attrs(*names, p=0.97 if plain else 0.4)}>{inside}</{tag}>"
 
+    def veil(self, p: float) -> str:
+        """Hides an element, now and then."""
+        r = self.r
+        return r.choice((" hidden", ' aria-hidden="true"', ' style="display:none"', ' style="visibility: hidden"')) if r.random() < p else ""
+
+    def inline(self) -> str:
+        """Something within a line that is not of the article."""
+        tag, names = self.r.choice((("span", ("ad", "ads", "sponsored", "promo", "advert")), ("span", ("share", "social", "share-line")),
+                                    ("a", ("ad", "share", "promo", "sponsor")), ("x-box", ("ad", "promo")), ("span", ("comment-count", "newsletter", "subscribe"))))
+        return f"<{tag}{self.attrs(*names, p=1)}>{self.words(1, 12, stops=False)}</{tag}>"
+
+    def within(self, lo: int, hi: int) -> str:
+        """A line of the article with inline elements, some of which say what they are for."""
+        r, out = self.r, [self.words(lo, hi, True)]
+        while r.random() < 0.3:
+            kind = r.random()
+            if kind < 0.45:
+                out.append(self.inline())
+            elif kind < 0.75:
+                out.append(f"<span{self.attrs('text', 'entry', 'main-term', 'story', 'content-part', p=.9)}>{self.words(1, 8, True)}</span>")
+            else:
+                out.append(f"{r.choice(('<b>', '<math>', '<svg><text>', '<object>'))}{self.words(1, 6, True)}")
+                out[-1] += {"<b>": "</b>", "<ma": "</math>", "<sv": "</text></svg>", "<ob": "</object>"}[out[-1][:3]]
+            out.append(self.words(1, 20, True))
+        return " ".join(out)
+
     def links(self, lo: int, hi: int) -> str:
         items = "".join(f'<li><a href="#">{self.words(1, 4, stops=self.r.random() < .2)}</a></li>' for _ in range(self.r.randint(lo, hi)))
         return f"<ul>{items}</ul>" if self.r.random() < 0.8 else items.replace("<li>", "").replace("</li>", " ")
@@ -87,6 +113,10 @@ class _Maker:
 
     def notice(self) -> str:
         text = self.words(4, 40) + self.r.choice(("", "<button>ok</button>"))
+        if self.r.random() < 0.1:
+            return f"<noscript>{text}</noscript>"
+        if self.r.random() < 0.15:
+            return f"<div{self.attrs('cookie', 'popup', 'modal', 'menu', 'overlay', 'toast', p=.8)}{self.veil(1)}>{text}</div>"
         return self.el("div div section aside", ("cookie-notice", "consent", "notice", "alert", "popup", "gdpr", "cookie-banner"),
                        self.r.choice((text, f"<p>{text}</p>")))
 
@@ -113,7 +143,7 @@ class _Maker:
         for _ in range(r.choice((1, 1, 2, 3, 5, 9))):
             kind = r.random()
             if kind < 0.68:
-                out.append(f"<p>{r.choice(('', '<b>'))}{self.words(1, r.choice((8, 60, 200)), True)}{r.choice(('', '<br>'))}{r.choice(('</p>', '</p>', ''))}")
+                out.append(f"<p>{r.choice(('', '<b>'))}{self.within(1, r.choice((8, 60, 200)))}{r.choice(('', '<br>'))}{r.choice(('</p>', '</p>', ''))}")
             elif kind < 0.76:
                 out.append(f"<h2>{self.words(1, 8, True)}</h2>")
             elif kind < 0.84:
@@ -141,15 +171,15 @@ class _Maker:
         kind = r.random()
         names = ("article", "content", "post", "entry-content", "main", "story-body", "post-content", "article-body", "text")
         if kind < 0.45:
-            main = f"<article{self.attrs(*names, p=.3)}>{body}</article>"
+            main = f"<article{self.attrs(*names, p=.3)}{self.veil(.04)}>{body}</article>"
         elif kind < 0.6:
-            main = f"<main{self.attrs(*names, p=.3)}>{body}</main>"
+            main = f"<main{self.attrs(*names, p=.3)}{self.veil(.04)}>{body}</main>"
         elif kind < 0.94:
-            main = f"<div{self.attrs(*names, p=.92)}>{body}</div>"
+            main = f"<div{self.attrs(*names, p=.92)}{self.veil(.04)}>{body}</div>"
         else:
             main = body
         if r.random() < 0.3:
-            main = f"<div{self.attrs('content', 'main', 'page', 'wrapper', 'container', 'layout')}>{main}{self.side() if r.random() < .4 else ''}</div>"
+            main = f"<div{self.attrs('content', 'main', 'page', 'wrapper', 'container', 'layout')}{self.veil(.04)}>{main}{self.side() if r.random() < .4 else ''}</div>"
         before = [f() for f, p in ((self.head, .4), (self.nav, .6), (self.notice, .25), (self.ad, .4), (self.form, .15), (self.side, .15)) if r.random() < p]
         after = [f() for f, p in ((self.share, .15), (self.comments, .35), (self.side, .25), (self.ad, .2), (self.form, .15), (self.notice, .1), (self.nav, .1)) if r.random() < p]
         r.shuffle(before)
@@ -169,7 +199,7 @@ def training_rows(pages: int = TRAIN_PAGES, seed: int = 20240229) -> tuple[np.nd
         for i in range(len(keep) - 1, 0, -1):
             keep[page.parent[i]] |= keep[i]
         some = np.zeros(len(keep), bool)
-        some[[node for node, _, _ in page.runs]] = True
+        some[[node for node, t, _ in page.runs if not t.isspace()]] = True
         for i in range(len(some) - 1, 0, -1):
             some[page.parent[i]] |= some[i]
         some[0] = False  # the root is kept in any case
@@ -206,7 +236,8 @@ def decode(parent: list[int], margin: np.ndarray) -> np.ndarray:
 
 
 def texts(pages: list[Page], trees: boosting.Trees) -> list[str]:
-    """Main text of each page: runs of kept, visible elements, joined by one space."""
+    """Main text of each page: the text of kept elements, blocks joined by one space. Only the trees
+    judge: a hidden element is one with that feature."""
     if not pages:
         return []
     margins = trees.margin(node_features(pages))
@@ -214,15 +245,13 @@ def texts(pages: list[Page], trees: boosting.Trees) -> list[str]:
     for p in pages:
         m = margins[at:at + len(p.parent)].copy()
         at += len(p.parent)
-        m[np.array(p.hidden)] = -np.inf
         # an element without text of its own or below it must not sway its parents
         some = np.zeros(len(m), bool)
-        some[[node for node, _, _ in p.runs]] = True
+        some[[node for node, t, _ in p.runs if not t.isspace()]] = True
         for i in range(len(m) - 1, 0, -1):
             some[p.parent[i]] |= some[i]
         m[~some] = 0.0
-        keep = decode(p.parent, m)
-        out.append(" ".join(t for node, t, _ in p.runs if keep[node]))
+        out.append(p.text(decode(p.parent, m)))
     return out
 
 
@@ -231,8 +260,11 @@ def main_text(pages: DataFrame, keep: list[str], html_col: str = "html") -> Data
 
     Null and empty html, and pages without an article, give an empty text. Broken markup is read
     as far as it goes: open elements end with their parents, stray ends are passed over. Repeated
-    rows and null ids stay; an empty table gives an empty result.
+    rows and null ids stay; an empty table gives an empty result; ``keep`` must not name a column
+    ``text``.
     """
+    if "text" in {c.lower() for c in keep}:
+        raise ValueError("kept columns clash with text")
     held = pages.sparkSession.sparkContext.broadcast(model())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -226,7 +226,9 @@ def test_extraction_of_other_layouts():
     same = 0
     for _ in range(150):
         page = maker.page()
-        want = " ".join(t for _, t, _ in Page(page).runs if maker.MARK in t).replace(maker.MARK, "")
+        marked = Page(page)
+        kept = [any(maker.MARK in t for n, t, _ in marked.runs if n == i) for i in range(len(marked.parent))]
+        want = marked.text(kept).replace(maker.MARK, "")
         same += extract.texts([Page(page.replace(maker.MARK, ""))], trees)[0] == want
     assert same >= 130
 
@@ -245,6 +247,21 @@ def test_extraction_edge_cases(spark):
     assert extract.main_text(pages.limit(0), ["page_id"]).count() == 0
 
 
+def test_extraction_drops_nothing_by_rule():
+    """Hidden wrappers, mathematics and drawings are judged like other elements, adverts within a
+    line are told from it, and white space is kept where an inline element ends."""
+    trees = extract.model()
+    text = lambda page: extract.texts([Page(page)], trees)[0]
+    long = "Some long text of an article, with words. And more of them."
+    for veil in ('aria-hidden="true"', "hidden", 'style="display:none"'):
+        assert text(f"<body><article {veil}><h1>Title</h1><p>{long}</p><p>{long}</p></article></body>") == f"Title {long} {long}"
+    assert text(f"<article><p>energy is <math>E = mc2</math> said <object>so</object>. {long}</p></article>") == f"energy is E = mc2 said so. {long}"
+    assert text(f"<article><p>foo<b>bar</b>baz <svg><text>lab</text></svg> {long}</p></article>") == f"foobarbaz lab {long}"
+    assert text(f'<article><p>{long} <span class="ad">Buy now cheap</span> {long}</p><p>{long}</p></article>') == f"{long} {long} {long}"
+    assert text(f'<main><p>foo<span class="main-text">bar</span>baz {long}</p></main>') == f"foobarbaz {long}"
+    assert text(f"<form><select><option>one<option>two</select></form><article><p>{long}</p><p>{long}</p></article>") == f"{long} {long}"
+
+
 def test_decoding_drops_what_lies_in_dropped_elements():
     keep = extract.decode([-1, 0, 1, 1, 0, 4], np.array([0.0, -1.0, 3.0, -2.0, -3.0, 1.0]))
     assert keep.tolist() == [True, True, True, False, False, False]
