@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,33 +114,88 @@ def minmax_scale(df: DataFrame, score: str, order: int = 1, digits: int | None =
     return attach_scalars(df, st).withColumn(name, v).drop("__lo", "__hi")
 
 
-def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
-               pairs_per_pass: int = 500) -> DataFrame:
+#: Rows of the correlation matrix that travel together.
+BLOCK_ROWS = 64
+#: Rows whose means become the origin of the moments.
+PIVOT_ROWS = 1000
+
+
+def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True) -> DataFrame:
     """Pearson correlation of every pair i < j, long form (N11), over the rows where both
-    are known; NULL where one of them is constant there.
+    are known (neither NULL nor NaN); NULL where there are none or one of them is constant there.
 
-    One aggregate per ``pairs_per_pass`` pairs (scan of their columns, partial
-    aggregation); the moments are the same for any number of columns.
+    One scan for any number of columns: every task multiplies its batches into the moment matrix
+    of the columns and their masks of known values (counts, sums, squares and products by pair), and
+    blocks of the matrix's rows are summed across tasks and turned into correlations where they
+    meet. Moments are taken about the means of a few rows, so columns far from zero keep their
+    digits.
     """
     cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
+    if len(cols) < 2:
         raise ValueError("two columns are needed")
-
-    def r(a: str, b: str):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        sd = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.try_divide(F.covar_pop(x, y), sd)
-
-    out = None
-    for k in range(0, len(pairs), pairs_per_pass):
-        part = pairs[k:k + pairs_per_pass]
-        wide = df.agg(*[r(cols[i], cols[j]).alias(f"__r{i}_{j}") for i, j in part])
-        structs = [F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
-                            F.col(f"__r{i}_{j}").alias("r")) for i, j in part]
-        rows = wide.select(F.inline(F.array(*structs)))
-        out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("r", F.abs("r")) if absolute else out
+    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    known = x.limit(PIVOT_ROWS).agg(*[F.avg(F.when(~F.isnan(c), F.col(c))) for c in x.columns]).first()
+    pivot = np.array([v if v is not None else 0.0 for v in known])
+    blocks = x.mapInArrow(_moment_blocks(pivot), "block int, moments binary")
+    pairs = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(
+        _block_correlations(cols, absolute), "feature_a string, feature_b string, r double")
+    return pairs
+
+
+def _moment_blocks(pivot: np.ndarray):
+    """Moments of a task's rows. With x the values less their pivot, 0 where unknown, and m the
+    mask: for each pair the products x x', and m m', x m', m x', x^2 m', m x^2'."""
+    d = len(pivot)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, d, d))
+        for b in parts:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) - pivot  # NULL comes as NaN
+            m = (~np.isnan(x)).astype(float)
+            x = np.where(m > 0, x, 0.0)
+            xm, sm = x.T @ m, (x * x).T @ m
+            total += np.stack([x.T @ x, m.T @ m, xm, xm.T, sm, sm.T])
+        starts = range(0, d, BLOCK_ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i // BLOCK_ROWS for i in starts], pa.int32()),
+             pa.array([np.ascontiguousarray(total[:, i:i + BLOCK_ROWS]).tobytes() for i in starts], pa.binary())], ["block", "moments"])
+
+    return run
+
+
+def _block_correlations(cols: list[str], absolute: bool):
+    """Correlations from blocks of moments that come block by block; one block is held."""
+    d = len(cols)
+
+    def rows(block: int, total: np.ndarray) -> pa.RecordBatch:
+        xx, n, xi, xj, si, sj = total
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mi, mj = xi / n, xj / n
+            vi, vj = si / n - mi * mi, sj / n - mj * mj
+            r = (xx / n - mi * mj) / np.sqrt(vi * vj)
+            constant = (vi <= 1e-12 * si / n) | (vj <= 1e-12 * sj / n)
+        first = block * BLOCK_ROWS
+        i, j = np.nonzero(np.arange(first, first + total.shape[1])[:, None] < np.arange(d))
+        r = np.clip(r[i, j], -1.0, 1.0)
+        unknown = constant[i, j] | ~np.isfinite(r)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([cols[first + k] for k in i], pa.string()), pa.array([cols[k] for k in j], pa.string()),
+             pa.array(np.abs(r) if absolute else r, mask=unknown)], ["feature_a", "feature_b", "r"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for b in parts:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                moments = np.frombuffer(data.as_buffer(), float).reshape(6, -1, d)
+                if block != at:
+                    if at is not None:
+                        yield rows(at, total)
+                    at, total = block, np.zeros_like(moments)
+                total += moments
+        if at is not None:
+            yield rows(at, total)
+
+    return run
 
 
 def collinear_flag(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
