@@ -30,6 +30,31 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
         "*", *[F.col("__scalars")[c].alias(c) for c in cols]).drop("__scalars")
 
 
+#: Rows of a table that is broadcast at most; larger ones are joined by a shuffle.
+MAX_SMALL_ROWS = 100_000
+
+
+def counted_side(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, and broadcast where its counted rows prove it small.
+
+    For the small side of a join with raw rows: one row per group or per few buckets. The raw rows
+    are then not shuffled, whatever the session's own limit; a side that grew too large is joined by
+    a shuffle as usual.
+    """
+    from tessera.session import materialize
+
+    written = materialize(df)
+    return F.broadcast(written) if written.count() <= MAX_SMALL_ROWS else written
+
+
+def pair_corr(x: str, y: str) -> Column:
+    """Pearson r of two columns over the rows where both are known; NULL where one of them is
+    constant there."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    sd = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), sd)
+
+
 def unpivot_row(df: DataFrame, keep: Sequence[str], groups: dict[str, dict[str, Column]],
                 label: str = "column") -> DataFrame:
     """Turn a wide aggregate into long form: one output row per entry of ``groups``.

@@ -73,8 +73,8 @@ def auc(df: DataFrame, label: str, score: str, scope: Sequence[str] | str | None
 def threshold_sweep(df: DataFrame, label: str, score: str,
                     thresholds: Sequence[float] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
     """Confusion matrix, accuracy, false-positive and false-negative rate at each
-    threshold, predicting positive when score > t (E7-E9). One scan: four
-    conditional counts per threshold, then unpivoted."""
+    threshold, predicting positive when score > t (E7-E9), over the rows that have a score and a
+    label. One scan: four conditional counts per threshold, then unpivoted."""
     y = F.col(label).cast("int") == 1
     s = F.col(score)
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -82,7 +82,7 @@ def threshold_sweep(df: DataFrame, label: str, score: str,
         p = s > F.lit(t)
         aggs += [F.count_if(p & y).alias(f"tp{i}"), F.count_if(p & ~y).alias(f"fp{i}"),
                  F.count_if(~p & ~y).alias(f"tn{i}"), F.count_if(~p & y).alias(f"fn{i}")]
-    wide = df.where(s.isNotNull()).agg(*aggs)
+    wide = _judged(df, label, score).agg(*aggs)
     structs = [F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"),
                         F.col(f"tn{i}").alias("tn"), F.col(f"fn{i}").alias("fn")) for i, t in enumerate(thresholds)]
     out = wide.select("n", F.inline(F.array(*structs)))
@@ -94,8 +94,10 @@ def threshold_sweep(df: DataFrame, label: str, score: str,
 
 def regression_metrics(df: DataFrame, label: str, prediction: str,
                        scope: Sequence[str] | str | None = None) -> DataFrame:
-    """R^2 = 1 - SSE/SST and RMSE (E1), one aggregate pass."""
+    """R^2 = 1 - SSE/SST and RMSE (E1), one aggregate pass over the rows that have a label and a
+    prediction; ``n`` counts these."""
     scope = as_list(scope)
+    df = _judged(df, label, prediction)
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     e = y - p
     agg = [F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("__sse"), F.var_pop(y).alias("__vy")]

@@ -15,8 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dist
-from tessera.operators._util import as_list
-from tessera.operators.rank import histogram_by, midranks
+from tessera.operators._util import as_list, counted_side, pair_corr
+from tessera.operators.rank import cumulative_counts, histogram_by, midranks
+
+
+#: Pairs from which on the signed-rank test is approximated.
+EXACT_BELOW = 50
 
 
 def _div(a, b):
@@ -26,19 +30,23 @@ def _div(a, b):
 # ----------------------------------------------------------------- correlation
 
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] | str | None = None) -> DataFrame:
-    """Pearson r overall or per group (H1), with n, the rows where both are known."""
+    """Pearson r overall or per group (H1), with n, the rows where both are known; NULL where a
+    column is constant there."""
     by = as_list(by)
-    agg = [F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"), F.corr(x, y).alias("r")]
+    agg = [F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"), pair_corr(x, y).alias("r")]
     return df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
 
 
 def f_scores(df: DataFrame, y: str, features: Sequence[str], with_p: bool = True) -> DataFrame:
     """Univariate regression F-test per feature (H2, scikit-learn ``f_regression``):
-    F = r^2 / (1 - r^2) * (n - 2), p from F(1, n - 2). One scan for all features."""
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.corr(f, y).alias(f"__r{i}") for i, f in enumerate(features)]
+    F = r^2 / (1 - r^2) * (n - 2), p from F(1, n - 2). One scan for all features; n counts the
+    rows where the feature and the response are known."""
+    aggs = []
+    for i, f in enumerate(features):
+        aggs += [F.count_if(F.col(f).isNotNull() & F.col(y).isNotNull()).alias(f"__n{i}"), pair_corr(f, y).alias(f"__r{i}")]
     wide = df.agg(*aggs)
-    structs = [F.struct(F.lit(f).alias("feature"), F.col(f"__r{i}").alias("r")) for i, f in enumerate(features)]
-    out = wide.select("n", F.inline(F.array(*structs)))
+    structs = [F.struct(F.col(f"__n{i}").alias("n"), F.lit(f).alias("feature"), F.col(f"__r{i}").alias("r")) for i, f in enumerate(features)]
+    out = wide.select(F.inline(F.array(*structs)))
     out = out.withColumn("f", _div(F.col("r") * F.col("r"), 1 - F.col("r") * F.col("r")) * (F.col("n") - 2))
     if with_p:
         out = out.withColumn("p_value", dist.f_sf_col("f", 1.0, F.col("n") - 2))
@@ -99,8 +107,8 @@ def levene(df: DataFrame, group: str, value: str, scope: Sequence[str] | str | N
     else:
         from tessera.operators.rank import exact_quantiles
         c = exact_quantiles(df, value, [0.5], keys, weight=weight).select(*keys, F.col("q").alias("__c"))
-    # one row per (scope, group); AQE broadcasts it when its runtime size is small
-    z = df.join(c, keys).withColumn("__z", F.abs(x - F.col("__c")))
+    # one row per (scope, group): raw rows stay where they are
+    z = df.join(counted_side(c), keys).withColumn("__z", F.abs(x - F.col("__c")))
     out = _anova_of(z, scope, group, "__z", weight)
     if with_p:
         out = out.withColumn("p_value", dist.f_sf_col("f", "df1", "df2"))
@@ -237,26 +245,46 @@ def holm(df: DataFrame, p: str, family: Sequence[str] | str | None = None,
 
 def signed_rank(df: DataFrame, x: str, y: str, scope: Sequence[str] | str | None = None,
                 with_p: bool = True, weight: str | None = None) -> DataFrame:
-    """Paired Wilcoxon signed-rank test, normal approximation with tie and
-    continuity correction, zero differences dropped (H10). ``weight``: ``df``
-    is a frequency table of (x, y) pairs."""
+    """Paired Wilcoxon signed-rank test, zero differences dropped (H10): the exact distribution for
+    fewer than ``EXACT_BELOW`` pairs without ties or zeros (``exact``), else the normal approximation
+    with tie and continuity correction. ``weight``: ``df`` is a frequency table of (x, y) pairs."""
     scope = as_list(scope)
     d = (F.col(x) - F.col(y)).cast("double")
     w = F.col(weight) if weight else F.lit(1)
-    base = df.select(*scope, d.alias("__d"), w.alias("__w")).where((F.col("__d") != 0) & F.col("__d").isNotNull())
+    known = df.select(*scope, d.alias("__d"), w.alias("__w")).where(F.col("__d").isNotNull())
+    base = known.where(F.col("__d") != 0)
     hist = (base.groupBy(*scope, F.abs("__d").alias("__v"), (F.col("__d") > 0).alias("__pos"))
             .agg(F.sum("__w").cast("long").alias("__n")))
+    # pairs without a difference: one more row of no rank, so that they are counted with the others
+    none = known.where(F.col("__d") == 0).groupBy(*scope).agg(F.sum("__w").cast("long").alias("__zeros"))
     ranked, _ = midranks(hist, scope, bounds=(base, F.abs("__d")))
-    agg = [F.sum(F.when(F.col("__pos"), F.col("__n") * F.col("midrank")).otherwise(0.0)).alias("v_stat"),
-           F.sum("__n").alias("__N"), F.sum(_tie_share()).alias("__T")]
-    j = ranked.groupBy(*scope).agg(*agg) if scope else ranked.agg(*agg)
+    ranked = ranked.withColumn("__zeros", F.lit(0).cast("long")).unionByName(none, allowMissingColumns=True)
+    agg = [F.sum("__zeros").alias("__zeros"),
+           F.sum(F.when(F.col("__pos"), F.col("__n") * F.col("midrank")).otherwise(0.0)).alias("v_stat"),
+           F.sum("__n").alias("__N"), F.coalesce(F.sum(_tie_share()), F.lit(0.0)).alias("__T")]
+    j = (ranked.groupBy(*scope).agg(*agg) if scope else ranked.agg(*agg)).where(F.col("__N").isNotNull())
     n = F.col("__N").cast("double")
     zc = F.col("v_stat") - n * (n + 1) / 4
     sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__T") / 48)
-    out = j.select(*scope, F.col("__N").alias("n"), "v_stat", _div(zc - F.signum(zc) * 0.5, sigma).alias("z"))
+    exact = (F.col("__N") < EXACT_BELOW) & (F.col("__T") == 0) & (F.col("__zeros") == 0)
+    out = j.select(*scope, F.col("__N").alias("n"), "v_stat", _div(zc - F.signum(zc) * 0.5, sigma).alias("z"), exact.alias("exact"))
     if with_p:
-        out = out.withColumn("p_value", dist.norm_two_sided_col("z"))
-    return out
+        out = out.withColumn("__normal", dist.norm_two_sided_col("z"))
+        out = out.withColumn("p_value", F.when(F.col("exact"), _signed_rank_p(F.col("n"), F.col("v_stat"))).otherwise(F.col("__normal")))
+    return out.drop("__normal")
+
+
+def _signed_rank_p(n, v):
+    """Two-sided p-value from the distribution of the sum of positive ranks under no difference: how
+    many subsets of 1..n have each sum, by adding one rank at a time to an array of counts
+    (whole numbers in doubles, exact below 2^53)."""
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    step = lambda c, i: F.zip_with(F.concat(c, zeros(i)), F.concat(zeros(i), c), lambda a, b: a + b)
+    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), step)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    whole, at = add(counts), F.floor(v).cast("int")
+    below, above = add(F.slice(counts, 1, at + 1)), add(F.slice(counts, at + 1, F.size(counts) - at))
+    return F.least(F.lit(1.0), 2 * F.least(below, above) / whole)
 
 
 # -------------------------------------------------------------- normality
@@ -273,7 +301,7 @@ def residual_moments(df: DataFrame, y: str, factor: str | None, scope: Sequence[
     base = df.where(yy.isNotNull())
     m = (base.groupBy(*keys) if keys else base).agg((F.sum(w * yy) / F.sum(w)).alias("__m"))
     from tessera.operators._util import attach_scalars
-    r = (base.join(m, keys) if keys else attach_scalars(base, m)).withColumn("__e", yy - F.col("__m"))
+    r = (base.join(counted_side(m), keys) if keys else attach_scalars(base, m)).withColumn("__e", yy - F.col("__m"))
     e = F.col("__e")
     sw = F.sum(w)
     agg = [sw.cast("long").alias("n"), (F.sum(w * e * e) / sw).alias("m2"), (F.sum(w * e * e * e) / sw).alias("m3"),
@@ -290,35 +318,40 @@ def residual_moments(df: DataFrame, y: str, factor: str | None, scope: Sequence[
 
 
 def residual_ks(df: DataFrame, y: str, factor: str | None, scope: Sequence[str] | str | None = None) -> DataFrame:
-    """Kolmogorov-Smirnov test of the residuals of ``y ~ factor`` against a normal
-    distribution with their own mean and sd (H11), one Spark ML
-    ``KolmogorovSmirnovTest`` per scope value (a distributed sort each; the
-    scopes are a handful of slices such as devices)."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest
-    spark = df.sparkSession
+    """Kolmogorov-Smirnov test of the residuals of ``y ~ factor`` against a normal distribution with
+    their own mean and sd (H11): n, the largest distance between the two distribution functions
+    and its p-value (asymptotic Kolmogorov distribution with Stephens' correction for n).
+
+    One plan for all scopes: residuals are counted by value, cumulative counts give the empirical
+    function before and after each value, and the supremum is one maximum per scope. A NULL scope
+    is a scope like any other; without spread the statistic is NULL.
+    """
+    from tessera.operators._util import attach_scalars
+
     scope = as_list(scope)
     keys = [*scope] + ([factor] if factor else [])
     yy = F.col(y).cast("double")
-    base = df.where(yy.isNotNull())
-    m = (base.groupBy(*keys) if keys else base).agg(F.avg(yy).alias("__m"))
-    from tessera.operators._util import attach_scalars
-    r = (base.join(m, keys) if keys else attach_scalars(base, m)).select(*scope, (yy - F.col("__m")).alias("residual"))
-    slices = [tuple(row) for row in r.select(*scope).distinct().collect()] if scope else [()]
-    rows = []
-    for vals in slices:
-        part = r
-        for c, v in zip(scope, vals):
-            part = part.where(F.col(c) == F.lit(v))
-        st = part.agg(F.count("residual").alias("n"), F.avg("residual").alias("mu"),
-                      F.stddev_samp("residual").alias("sd")).first()
-        if not st["n"] or not st["sd"]:
-            rows.append((*vals, int(st["n"] or 0), None, None))
-            continue
-        t = KolmogorovSmirnovTest.test(part, "residual", "norm", float(st["mu"]), float(st["sd"])).first()
-        rows.append((*vals, int(st["n"]), float(t.statistic), float(t.pValue)))
-    schema = ", ".join([f"{c} {r.schema[c].dataType.simpleString()}" for c in scope]
-                       + ["n long", "ks_statistic double", "p_value double"])
-    return spark.createDataFrame(rows, schema)
+    # a name of its own for each scope, so that NULL scopes meet in joins
+    name = F.to_json(F.struct(*[F.col(c) for c in scope])) if scope else F.lit("all")
+    cell = F.to_json(F.struct(*[F.col(c) for c in keys])) if keys else F.lit("all")
+    base = df.where(yy.isNotNull()).select(*scope, name.alias("__s"), cell.alias("__c"), yy.alias("__y"))
+    m = base.groupBy("__c").agg(F.avg("__y").alias("__m"))
+    e = base.join(counted_side(m), "__c").select(*scope, "__s", (F.col("__y") - F.col("__m")).alias("__e"))
+    ties = e.groupBy("__s", "__e").agg(F.count(F.lit(1)).alias("__n"))
+    whole = e.groupBy("__s", *scope).agg(F.count(F.lit(1)).alias("n"), F.avg("__e").alias("__mu"), F.stddev_samp("__e").alias("__sd"))
+    ranked = cumulative_counts(ties, ["__s"], "__e", "__n", out="__below", bounds=(e, "__e"))
+    z = ranked.join(counted_side(whole), "__s").where(F.col("__sd") > 0)
+    p = dist.norm_cdf_col((F.col("__e") - F.col("__mu")) / F.col("__sd"))
+    far = z.withColumn("__p", p).select("__s", F.greatest(
+        F.abs(F.col("__p") - F.col("__below") / F.col("n")),
+        F.abs(F.col("__p") - (F.col("__below") + F.col("__n")) / F.col("n"))).alias("__d"))
+    most = far.groupBy("__s").agg(F.max("__d").alias("ks_statistic"))
+    out = whole.join(most, "__s", "left").select(*scope, "n", "ks_statistic")
+    root = F.sqrt(F.col("n").cast("double"))
+    lam = F.col("ks_statistic") * (root + 0.12 + 0.11 / root)
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda t, k: t + F.when(k % 2 == 1, 1.0).otherwise(-1.0)
+                        * F.exp(-2.0 * k * k * lam * lam))
+    return out.withColumn("p_value", F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * terms))))
 
 
 def qq_points(df: DataFrame, value: str, n_points: int = 99, scope: Sequence[str] | str | None = None,

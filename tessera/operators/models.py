@@ -13,11 +13,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dist
@@ -56,8 +58,8 @@ class OlsFit:
         f = ((self.sst - self.sse) / p) / (self.sse / self.df_resid) if p > 0 and self.sse > 0 else float("nan")
         ll = -n / 2 * (math.log(2 * math.pi) + math.log(self.sse / n) + 1) if self.sse > 0 else float("nan")
         m = self.moments
-        skew = m["m3"] / m["m2"] ** 1.5 if m["m2"] > 0 else float("nan")
-        kurt = m["m4"] / m["m2"] ** 2 if m["m2"] > 0 else float("nan")
+        skew = m["skew"] if m["m2"] > 0 else float("nan")
+        kurt = m["excess"] + 3 if m["m2"] > 0 else float("nan")
         jb = n / 6 * (skew ** 2 + (kurt - 3) ** 2 / 4)
         return {"n": float(n), "r2": r2, "adj_r2": adj, "f": f, "f_p_value": dist.f_sf(f, p, self.df_resid),
                 "log_likelihood": ll, "aic": -2 * ll + 2 * k, "bic": -2 * ll + math.log(n) * k,
@@ -108,18 +110,48 @@ def ols(df: DataFrame, y: str, xs: Sequence[str]) -> OlsFit:
     fit = OlsFit(["Intercept", *xs], beta, inv, n, n - rank, 0.0, float(s[-1, -1]), {}, rank)
     pred = fit.predict(d.select(*xs, "__y"), "__p")
     res = F.col("__y") - F.col("__p")
-    m = pred.agg(F.sum(res * res).alias("sse"), F.avg(res).alias("m1"),
-                 F.avg(res * res).alias("m2"), F.avg(res * res * res).alias("m3"),
-                 F.avg(res * res * res * res).alias("m4")).first()
+    m = pred.agg(F.sum(res * res).alias("sse"), F.var_pop(res).alias("m2"), F.skewness(res).alias("skew"),
+                 F.kurtosis(res).alias("excess")).first()  # centred moments
     fit.sse = float(m["sse"])
-    mu = m["m1"]
-    fit.moments = {"m2": m["m2"] - mu * mu, "m3": m["m3"] - 3 * mu * m["m2"] + 2 * mu ** 3,
-                   "m4": m["m4"] - 4 * mu * m["m3"] + 6 * mu * mu * m["m2"] - 3 * mu ** 4}
+    fit.moments = {k: m[k] for k in ("m2", "skew", "excess")}
     sigma2 = fit.sse / fit.df_resid if fit.df_resid > 0 else float("nan")
     fit.cov = inv * sigma2
     return fit
 
 
+def durbin_watson(df: DataFrame, residual: str, order: Sequence[str] | str) -> DataFrame:
+    """(n, durbin_watson): the sum of squared steps between successive residuals over their sum of
+    squares (M1). Rows without a residual are left out; ``order`` must tell all rows apart.
+
+    Rows are range-partitioned and sorted within partitions; each task adds up its own steps and
+    passes on its first and last residual, and the steps across the borders are taken between
+    neighbouring partitions (one row each).
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    rows = df.where(F.col(residual).isNotNull()).select(*order, F.col(residual).cast("double").alias("__e"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("__e")
+
+    def run(parts):
+        n, first, last, steps, squares = 0, None, None, 0.0, 0.0
+        for b in parts:
+            e = b.column(0).to_numpy()
+            if not len(e):
+                continue
+            first = e[0] if first is None else first
+            steps += float((np.diff(e, prepend=e[0] if last is None else last) ** 2).sum())
+            squares += float((e * e).sum())
+            n, last = n + len(e), e[-1]
+        if n:
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({"task": [task], "n": [n], "first": [first], "last": [last], "steps": [steps], "squares": [squares]})
+
+    each = rows.mapInArrow(run, "task int, n long, first double, last double, steps double, squares double")
+    border = F.col("first") - F.lag("last").over(Window.orderBy("task"))  # a row for each partition
+    each = each.withColumn("border", F.coalesce(border * border, F.lit(0.0)))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+                    F.try_divide(F.sum(F.col("steps") + F.col("border")), F.sum("squares")).alias("durbin_watson"))
+
+
 # ------------------------------------------------------------------ Spark ML
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:

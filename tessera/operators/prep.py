@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators._util import as_list, attach_scalars, null_any, unpivot_row
+from tessera.operators._util import as_list, attach_scalars, counted_side, null_any, unpivot_row
 from tessera.operators.profile import null_counts
 
 
@@ -55,7 +55,7 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean",
             q.agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"__fill_{i}") for i, c in enumerate(cols)])
     else:
         raise ValueError(strategy)
-    base = df.join(st, by, "left") if by else attach_scalars(df, st)
+    base = df.join(counted_side(st), by, "left") if by else attach_scalars(df, st)
     # like pandas, a column that had missing values becomes floating point
     for i, c in enumerate(cols):
         base = base.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__fill_{i}").cast("double")))
@@ -114,20 +114,21 @@ def minmax_scale(df: DataFrame, score: str, order: int = 1, digits: int | None =
     return attach_scalars(df, st).withColumn(name, v).drop("__lo", "__hi")
 
 
-#: Rows of the correlation matrix that travel together.
+#: Rows of the moment matrix that travel together.
 BLOCK_ROWS = 64
 #: Rows whose means become the origin of the moments.
 PIVOT_ROWS = 1000
 
 
-def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True) -> DataFrame:
+def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pearson correlation of every pair i < j, long form (N11), over the rows where both
     are known (neither NULL nor NaN); NULL where there are none or one of them is constant there.
 
     One scan for any number of columns: every task multiplies its batches into the moment matrix
     of the columns and their masks of known values (counts, sums, squares and products by pair), and
     blocks of the matrix's rows are summed across tasks and turned into correlations where they
-    meet. Moments are taken about the means of a few rows, so columns far from zero keep their
+    meet (``block_rows`` rows of the matrix travel together). Moments are taken about the means of a few rows, so columns far from zero keep their
     digits.
     """
     cols = list(cols)
@@ -136,13 +137,13 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True) -> Dat
     x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     known = x.limit(PIVOT_ROWS).agg(*[F.avg(F.when(~F.isnan(c), F.col(c))) for c in x.columns]).first()
     pivot = np.array([v if v is not None else 0.0 for v in known])
-    blocks = x.mapInArrow(_moment_blocks(pivot), "block int, moments binary")
+    blocks = x.mapInArrow(_moment_blocks(pivot, block_rows), "block int, moments binary")
     pairs = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(
-        _block_correlations(cols, absolute), "feature_a string, feature_b string, r double")
+        _block_correlations(cols, absolute, block_rows), "feature_a string, feature_b string, r double")
     return pairs
 
 
-def _moment_blocks(pivot: np.ndarray):
+def _moment_blocks(pivot: np.ndarray, size: int):
     """Moments of a task's rows. With x the values less their pivot, 0 where unknown, and m the
     mask: for each pair the products x x', and m m', x m', m x', x^2 m', m x^2'."""
     d = len(pivot)
@@ -155,15 +156,15 @@ def _moment_blocks(pivot: np.ndarray):
             x = np.where(m > 0, x, 0.0)
             xm, sm = x.T @ m, (x * x).T @ m
             total += np.stack([x.T @ x, m.T @ m, xm, xm.T, sm, sm.T])
-        starts = range(0, d, BLOCK_ROWS)
+        starts = range(0, d, size)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([i // BLOCK_ROWS for i in starts], pa.int32()),
-             pa.array([np.ascontiguousarray(total[:, i:i + BLOCK_ROWS]).tobytes() for i in starts], pa.binary())], ["block", "moments"])
+            [pa.array([i // size for i in starts], pa.int32()),
+             pa.array([np.ascontiguousarray(total[:, i:i + size]).tobytes() for i in starts], pa.binary())], ["block", "moments"])
 
     return run
 
 
-def _block_correlations(cols: list[str], absolute: bool):
+def _block_correlations(cols: list[str], absolute: bool, size: int):
     """Correlations from blocks of moments that come block by block; one block is held."""
     d = len(cols)
 
@@ -174,7 +175,7 @@ def _block_correlations(cols: list[str], absolute: bool):
             vi, vj = si / n - mi * mi, sj / n - mj * mj
             r = (xx / n - mi * mj) / np.sqrt(vi * vj)
             constant = (vi <= 1e-12 * si / n) | (vj <= 1e-12 * sj / n)
-        first = block * BLOCK_ROWS
+        first = block * size
         i, j = np.nonzero(np.arange(first, first + total.shape[1])[:, None] < np.arange(d))
         r = np.clip(r[i, j], -1.0, 1.0)
         unknown = constant[i, j] | ~np.isfinite(r)

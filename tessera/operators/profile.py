@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators._util import as_list, unpivot_row
+from tessera.operators._util import as_list, attach_scalars, unpivot_row
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -56,7 +56,6 @@ def coverage(used: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
 
     Two global aggregates; the second is attached as a one-row broadcast.
     """
-    from tessera.operators._util import attach_scalars
     a = used.agg(F.countDistinct(key).alias("n_used"))
     b = catalogue.agg(F.countDistinct(key).alias("n_catalogue"))
     return (attach_scalars(a, b)
@@ -66,15 +65,12 @@ def coverage(used: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
 def value_counts(df: DataFrame, col: str, normalize: bool = False, total: str = "n_total") -> DataFrame:
     """Count per value (P7); with ``normalize`` the share of all rows.
 
-    The counted frame (one row per value) is checkpointed; its total is
-    attached as a scalar subquery.
+    The total is a count of the input's rows, attached as a scalar subquery; nothing runs while
+    the plan is built.
     """
-    from tessera.operators._util import attach_scalars
     out = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
-        from tessera.session import materialize
-        out = materialize(out)  # the counts are read twice: write them once
-        totals = out.agg(F.sum("n").alias(total))
+        totals = df.agg(F.count(F.lit(1)).alias(total))
         out = attach_scalars(out, totals).withColumn("share", F.try_divide(F.col("n"), F.col(total)))
     return out
 

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators._util import as_list, attach_scalars
+from tessera.operators._util import as_list, counted_side
 
 
 def bucket_splits(src: DataFrame, col: str, n_buckets: int = 128, sub_buckets: int = 64) -> list[float]:
@@ -120,14 +120,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     1. rows per ordered bucket (map-side combined: at most |scope| x buckets rows);
     2. running offsets over those counts locate the bucket holding each target
        rank p (N - 1) (floor and ceiling);
-    3. only the rows of those few buckets are ordered exactly (a semi-join with
-       the small target table), so the data shuffled for ordering is a tiny
-       slice of the input however large it is.
+    3. only the rows of those few buckets are ordered exactly, so the data shuffled for
+       ordering is a tiny slice of the input however large it is. The target table (a row or
+       two per scope and quantile) is written and counted; while it is small, rows are
+       filtered against it in the scan, and no raw row is shuffled.
     ``weight``: ``df`` is a frequency table with that count column.
     Output: scope..., p, q.
     """
     from pyspark.ml.feature import Bucketizer
 
+    from tessera.session import materialize
+
     scope = as_list(scope)
     w_col = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     base = df.where(F.col(value).isNotNull()).select(*scope, F.col(value).cast("double").alias("__v"),
@@ -145,7 +148,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     targets = (cnt.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
                .where(in_bucket(lo) | in_bucket(hi))
                .select(*scope, "__b", "p", "__off", lo.alias("__lo"), hi.alias("__hi"), (pos - lo).alias("__frac")))
-    need = targets.select(*scope, "__b").distinct()
+    targets = materialize(targets)
+    need = counted_side(targets.select(*scope, "__b").distinct())
     wl = Window.partitionBy(*scope, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     hist = (bk.join(need, [*scope, "__b"], "left_semi")
             .groupBy(*scope, "__b", "__v").agg(F.sum("__w").alias("__t"))
