@@ -2,9 +2,9 @@
 
 Baskets are item sets per basket key; frequent item sets come from Spark ML's
 FPGrowth (a distributed FP-tree, never all item pairs); association rules
-are generated for every split of every frequent item set — multi-item
-consequents included, which ``FPGrowthModel.associationRules`` omits — by
-joining each side to the item-set supports on a canonical string key.
+are grown from the frequent item sets — multi-item consequents included, which
+``FPGrowthModel.associationRules`` omits — and each side is joined to the item-set
+supports on a canonical string key.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators._util import attach_scalars
+from tessera.session import materialize
 
 SEP = "\u001f"
 
@@ -37,6 +38,7 @@ def item_key(items: Column) -> Column:
 
 def frequent_itemsets(bk: DataFrame, min_support: float, items: str = "items") -> DataFrame:
     """(items, freq, support, size, key) of item sets with support >= ``min_support``."""
+    bk = materialize(bk)  # counted once, read twice by the mining
     n = bk.agg(F.count(F.lit(1)).alias("__n"))
     model = FPGrowth(itemsCol=items, minSupport=min_support, minConfidence=0.0).fit(bk)
     fi = model.freqItemsets.withColumn("items", F.array_sort("items"))
@@ -49,23 +51,38 @@ def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold:
     """Every rule A -> C with A, C non-empty, disjoint and A u C frequent (B5):
     support, confidence, lift, leverage, conviction (NULL when confidence is 1).
 
-    Splits are enumerated with a bit mask per item set (2^size - 2 of them);
-    item sets are short, so this stays small next to the FPGrowth output.
+    Rules grow level by level: consequents of one item first, then one item more (after the last, in
+    the order of the set). Confidence falls as a consequent takes items from the antecedent, so with
+    ``metric="confidence"`` a rule under the threshold is not grown, and sets of any length cost what
+    their strong rules do; the other metrics have no such order and look at every split. Both sides
+    get their support by a join with the item sets.
     """
-    sets = itemsets.where(F.col("size") >= 2)
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.col("size")).cast("int") - 2)
-    sp = sets.select("items", F.col("support").alias("support"), F.explode(masks).alias("mask"))
-    bit = lambda i: (F.col("mask") / F.pow(F.lit(2), i)).cast("long") % 2 == 1
-    ante = F.filter("items", lambda x, i: bit(i))
-    cons = F.filter("items", lambda x, i: ~bit(i))
-    rules = sp.select(ante.alias("antecedents"), cons.alias("consequents"), "support")
-    lookup = itemsets.select("key", "support")
-    rules = (rules.withColumn("__ka", item_key(F.col("antecedents"))).withColumn("__kc", item_key(F.col("consequents")))
-             .join(lookup.withColumnRenamed("key", "__ka").withColumnRenamed("support", "antecedent_support"), "__ka")
-             .join(lookup.withColumnRenamed("key", "__kc").withColumnRenamed("support", "consequent_support"), "__kc")
-             .drop("__ka", "__kc"))
-    conf = F.col("support") / F.col("antecedent_support")
-    out = (rules.withColumn("confidence", conf)
+    sets = materialize(itemsets.select("items", "key", "support", "size"))
+    largest = sets.agg(F.max("size")).first()[0] or 0
+    lookup = sets.select("key", "support")
+    level = sets.where(F.col("size") >= 2).select(
+        "items", "support", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.array(i))).alias("__c"))
+    out = None
+    for m in range(1, max(2, largest)):
+        ante = F.filter("items", lambda x, i: ~F.array_contains("__c", i))
+        cons = F.transform("__c", lambda i: F.get("items", i))
+        found = level.select("items", "__c", ante.alias("antecedents"), cons.alias("consequents"), "support")
+        found = (found.withColumn("__ka", item_key(F.col("antecedents"))).withColumn("__kc", item_key(F.col("consequents")))
+                 .join(lookup.withColumnRenamed("key", "__ka").withColumnRenamed("support", "antecedent_support"), "__ka")
+                 .join(lookup.withColumnRenamed("key", "__kc").withColumnRenamed("support", "consequent_support"), "__kc")
+                 .drop("__ka", "__kc").withColumn("confidence", F.col("support") / F.col("antecedent_support")))
+        if metric == "confidence":
+            found = found.where(F.col("confidence") >= F.lit(min_threshold))
+        if m + 1 < largest:
+            found = materialize(found)
+        out = found if out is None else out.unionByName(found)
+        last = F.element_at("__c", -1)
+        grown = found.where((F.size("items") > m + 1) & (last < F.size("items") - 1))
+        level = grown.select("items", "support", F.explode(F.transform(
+            F.sequence(last + 1, F.size("items") - 1), lambda i: F.concat("__c", F.array(i)))).alias("__c"))
+        if m + 1 >= largest or not level.head(1):
+            break
+    out = (out.drop("items", "__c")
            .withColumn("lift", F.col("confidence") / F.col("consequent_support"))
            .withColumn("leverage", F.col("support") - F.col("antecedent_support") * F.col("consequent_support"))
            .withColumn("conviction", F.when(F.col("confidence") < 1,

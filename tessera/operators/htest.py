@@ -268,10 +268,10 @@ def signed_rank(df: DataFrame, x: str, y: str, scope: Sequence[str] | str | None
     sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__T") / 48)
     exact = (F.col("__N") < EXACT_BELOW) & (F.col("__T") == 0) & (F.col("__zeros") == 0)
     out = j.select(*scope, F.col("__N").alias("n"), "v_stat", _div(zc - F.signum(zc) * 0.5, sigma).alias("z"), exact.alias("exact"))
-    if with_p:
-        out = out.withColumn("__normal", dist.norm_two_sided_col("z"))
-        out = out.withColumn("p_value", F.when(F.col("exact"), _signed_rank_p(F.col("n"), F.col("v_stat"))).otherwise(F.col("__normal")))
-    return out.drop("__normal")
+    if not with_p:
+        return out.drop("exact")
+    out = out.withColumn("__normal", dist.norm_two_sided_col("z"))
+    return out.withColumn("p_value", F.when(F.col("exact"), _signed_rank_p(F.col("n"), F.col("v_stat"))).otherwise(F.col("__normal"))).drop("__normal")
 
 
 def _signed_rank_p(n, v):

@@ -145,7 +145,7 @@ def durbin_watson(df: DataFrame, residual: str, order: Sequence[str] | str) -> D
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict({"task": [task], "n": [n], "first": [first], "last": [last], "steps": [steps], "squares": [squares]})
 
-    each = rows.mapInArrow(run, "task int, n long, first double, last double, steps double, squares double")
+    each = rows.mapInArrow(run, "task long, n long, first double, last double, steps double, squares double")
     border = F.col("first") - F.lag("last").over(Window.orderBy("task"))  # a row for each partition
     each = each.withColumn("border", F.coalesce(border * border, F.lit(0.0)))
     return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
