@@ -619,8 +619,7 @@ def poisson_fit(spark, sf):
 
 def _count_part(spark, sf, model):
     from tessera.operators import counts
-    out = counts.fit_count_models(first_visits(spark, sf), "variant", "shopping_pageviews", "device_type")
-    return out.where(F.col("model") == model)
+    return counts.fit_count_models(first_visits(spark, sf), "variant", "shopping_pageviews", "device_type", (model,))
 
 
 @query("zip_fit", "M12")

@@ -94,10 +94,54 @@ def test_zip_recovers_planted_parameters(spark):
 
 
 def test_zip_closed_form_equation(spark):
-    pi, lam = counts._zip_group(1000.0, 600.0, 700.0)
+    df = spark.createDataFrame([(1000.0, 600.0, 700.0), (100.0, 1.0, 300.0), (100.0, 60.0, 40.0)], "n double, n0 double, total double")
+    a, few_zeros, ones = df.select(counts._inflated(F.col("n"), F.col("n0"), F.col("total"), None).alias("p")).collect()
+    pi, lam = a["p"]["pi"], a["p"]["mu"]
     # lambda / (1 - exp(-lambda)) equals the mean of positives
     assert lam / (1 - math.exp(-lam)) == pytest.approx(700 / 400, rel=1e-9)
     assert (1 - pi) * (1 - math.exp(-lam)) == pytest.approx(400 / 1000, rel=1e-9)
+    # fewer zeros than a Poisson count has, and no positive count above one: a plain Poisson
+    assert few_zeros["p"]["pi"] == pytest.approx(1e-10) and few_zeros["p"]["mu"] == 3.0
+    assert ones["p"]["pi"] == pytest.approx(1e-10) and ones["p"]["mu"] == 0.4
+
+
+def test_count_models_against_numerical_maximum(spark):
+    """ZINB fits, their information and the tests against likelihoods written out and differentiated
+    numerically."""
+    rnd = random.Random(4)
+    rows = [(g, int(y * (1 + 2 * rnd.random())), s) for s in ("x", None) for g, y in _zip_rows(rnd, {"a": (0.6, 1.2, 500), "b": (0.4, 2.0, 500)})]
+    df = spark.createDataFrame([*rows, (None, 3, "x"), ("a", None, "x"), ("empty", 0, "x")], "g string, y int, s string")
+    out = counts.fit_count_models(df, "g", "y", "s").toPandas()
+    for s in ("x", None):
+        mine = out[out["s"].isna() if s is None else out["s"] == s]
+        data = [(g, y) for g, y, ss in rows if ss == s]
+        z = {(r.part, r.term): r for r in mine[mine.model == "zinb"].itertuples()}
+        first = np.array([z["zero", "(Intercept)"].estimate, z["zero", "group1"].estimate, z["count", "(Intercept)"].estimate,
+                          z["count", "group1"].estimate, z["dispersion", "log(theta)"].estimate])
+
+        def ll(x):
+            total = 0.0
+            for j, g in enumerate("ab"):
+                sign, th = 1 - 2 * j, math.exp(x[4])
+                pi, mu = 1 / (1 + math.exp(-(x[0] + sign * x[1]))), math.exp(x[2] + sign * x[3])
+                for y, n in zip(*np.unique([y for gg, y in data if gg == g], return_counts=True)):
+                    lp = (math.lgamma(y + th) - math.lgamma(th) - math.lgamma(y + 1) + th * math.log(th / (th + mu)) + y * math.log(mu / (th + mu)))
+                    total += n * (math.log(pi + (1 - pi) * math.exp(lp)) if y == 0 else math.log(1 - pi) + lp)
+            return total
+
+        best = ll(first)
+        assert best == pytest.approx(z["count", "group1"].loglik, rel=1e-10)
+        step = np.eye(5) * 1e-3
+        assert all(ll(first + d) <= best + 1e-6 and ll(first - d) <= best + 1e-6 for d in step)
+        hess = np.array([[(ll(first + a + b) - ll(first + a - b) - ll(first - a + b) + ll(first - a - b)) / 4e-6 for b in step] for a in step])
+        cov = np.linalg.inv(-hess)
+        errors = [z[k].std_err for k in (("zero", "(Intercept)"), ("zero", "group1"), ("count", "(Intercept)"), ("count", "group1"), ("dispersion", "log(theta)"))]
+        assert errors == pytest.approx(np.sqrt(np.diag(cov)).tolist(), rel=1e-3)
+        w = mine[mine.model == "wald"].set_index("part")["statistic"]
+        assert w["zero"] == pytest.approx(first[1] ** 2 / cov[1, 1], rel=1e-3) and w["count"] == pytest.approx(first[3] ** 2 / cov[3, 3], rel=1e-3)
+    assert len(out[out.model == "vuong"]) == 12 and out[out.model == "poisson"].estimate.notna().all()
+    some = counts.fit_count_models(df, "g", "y", "s", ("wald",)).toPandas()
+    assert set(some.model) == {"wald"}
 
 
 def test_poisson_contrasts_match_count_models(spark):
