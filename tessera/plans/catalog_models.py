@@ -455,11 +455,24 @@ def repay_decision(spark, sf):
     return studies.repay_decision(spark, sf)
 
 
-@query("loan_study", "C4 M5 M6 M7 E5 R2 R4 R5 N5 N8 N9 J6")
+@query("loan_study", "C4 M5 M6 M7 E5 R2 R4 R5 R6 N5 N8 N9 J6")
 def loan_study(spark, sf):
     return studies.loan_study(spark, sf)
 
 
+@query("loan_validation", "C4 E6 R3 M5 M6 M7")
+def loan_validation(spark, sf):
+    return studies.loan_validation(spark, sf)
+
+
+@query("feature_lists", "C1 H2 T4")
+def feature_lists(spark, sf):
+    li = load(spark, sf, "lineitem")
+    p = load(spark, sf, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
+    d = li.join(p, li.l_partkey == p.p_partkey).select("l_extendedprice", *_FR_FEATURES)
+    return studies.feature_lists(d, "l_extendedprice", _FR_FEATURES)
+
+
 @query("poisson_means", "M11", sql="WITH " + Q.FIRST_VISITS.strip() + """
 SELECT device_type, variant AS "group", count(shopping_pageviews) AS n, CAST(sum(shopping_pageviews) AS DOUBLE) AS total,
        round(avg(shopping_pageviews), 8) AS mean, round(ln(NULLIF(avg(shopping_pageviews), 0)), 8) AS eta,

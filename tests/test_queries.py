@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 SQL = E.oracle_sql()
-HEAVY = {"loan_study", "purchase_validation", "repay_decision", "feature_ranking"}
+HEAVY = {"loan_study", "loan_validation", "purchase_validation", "repay_decision", "feature_ranking", "feature_lists"}
 
 
 def _norm(v):
