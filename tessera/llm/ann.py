@@ -16,6 +16,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,26 +67,48 @@ def points(x: np.ndarray, top: float, query: bool) -> np.ndarray:
     return np.c_[x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(1)))]
 
 
-def perturbations(fraction: np.ndarray, count: int) -> list[list[tuple[int, int]]]:
-    """The ``count`` best sets of steps (function, -1 or 1) for a query that lies ``fraction`` of
-    an interval above its lower ends, the empty set first. A step costs the squared distance to
-    the border it crosses; sets come by their sum, and none steps one function both ways."""
-    m = len(fraction)
-    cost = np.concatenate([fraction, 1 - fraction]) ** 2
-    order = np.argsort(cost, kind="stable")
-    cost = cost[order].tolist()
-    steps = [(int(i) % m, -1 if i < m else 1) for i in order]
-    out: list[list[tuple[int, int]]] = [[]]
+@lru_cache(maxsize=64)
+def _template(m: int, count: int) -> np.ndarray:
+    """Sets of steps for ``m`` functions, one a row: ranks of steps by their cost, -1 where none, the empty
+    set first. Rank j and rank 2m - 1 - j are the two ways of one function whatever the query is. Sets
+    come by their expected cost (of order statistics of uniform numbers), twice ``count`` of them, so
+    that a query finds its own best among them."""
+    j = np.arange(1, m + 1)
+    near = j * (j + 1) / (4 * (m + 1) * (m + 2))
+    cost = np.concatenate([near, (1 - j / (m + 1) + near)[::-1]]).tolist()
+    out: list[tuple[int, ...]] = [()]
     heap = [(cost[0], (0,))]
-    while heap and len(out) < count:
+    while heap and len(out) < 2 * count:
         total, chosen = heapq.heappop(heap)
         last = chosen[-1]
         if last + 1 < len(cost):
             heapq.heappush(heap, (total + cost[last + 1], (*chosen, last + 1)))
             heapq.heappush(heap, (total + cost[last + 1] - cost[last], (*chosen[:-1], last + 1)))
-        some = [steps[i] for i in chosen]
-        if len({f for f, _ in some}) == len(some):
-            out.append(some)
+        if len({min(i, 2 * m - 1 - i) for i in chosen}) == len(chosen):
+            out.append(chosen)
+    made = np.full((len(out), max(map(len, out))), -1, np.int64)
+    for row, some in zip(made, out, strict=True):
+        row[:len(some)] = some
+    return made
+
+
+def perturbations(fraction: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` best sets of steps, a row of -1, 0 and 1 for the functions each, for a query that lies
+    ``fraction`` of an interval above its lower ends; no step at all first. A step costs the squared
+    distance to the border it crosses; sets come by their sum, and none steps one function both ways."""
+    m = len(fraction)
+    sets = _template(m, min(count, 3 ** m))
+    cost = np.concatenate([fraction, 1 - fraction]) ** 2
+    order = np.argsort(cost, kind="stable")
+    # the two ways of a function stand at mirrored places of the order, also where costs tie
+    order[m:] = (order[:m][::-1] + m) % (2 * m)
+    total = np.append(cost[order], 0.0)[sets].sum(1)
+    best = np.argsort(total, kind="stable")[:count]
+    out = np.zeros((len(best), m), np.int8)
+    for column in sets[best].T:
+        some = np.flatnonzero(column >= 0)
+        step = order[column[some]]
+        out[some, step % m] = np.where(step < m, -1, 1)
     return out
 
 
@@ -101,11 +124,7 @@ def _codes(numbers: np.ndarray) -> np.ndarray:
 def probe_codes(place: np.ndarray, probes: int, coarse: int) -> tuple[np.ndarray, np.ndarray]:
     """(region code, bucket code) of the buckets that one table's projections visit, best first."""
     base = np.floor(place)
-    steps = perturbations(place - base, probes)
-    numbers = np.tile(base, (len(steps), 1))
-    for row, some in zip(numbers, steps, strict=True):
-        for f, d in some:
-            row[f] += d
+    numbers = base + perturbations(place - base, probes)
     return _codes(numbers[:, :coarse]), _codes(numbers)
 
 
@@ -150,6 +169,14 @@ def fit(sample: np.ndarray, total: int, top: float, k: int) -> Hashes | None:
     return None
 
 
+def visited(hashes: Hashes, queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """For each query a mask of the vectors that its probes visit, in any table."""
+    code = _codes(np.floor(hashes.project(points(vectors, hashes.top, False))))
+    spots = hashes.project(points(queries, hashes.top, True))
+    return np.array([np.logical_or.reduce([np.isin(code[:, t], probe_codes(spot[t], hashes.probes, hashes.coarse)[1]) for t in range(TABLES)])
+                     for spot in spots])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
