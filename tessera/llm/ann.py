@@ -165,7 +165,7 @@ def fit(sample: np.ndarray, total: int, top: float, k: int) -> Hashes | None:
                 rank[mine] = np.minimum(rank[mine], np.where(hit, order[at], missed))
         need = int(np.sort(rank)[int(np.ceil(RECALL * len(rank))) - 1]) + 1
         if need <= limit:
-            return Hashes(a, b, top, min(limit, max(8, need)), coarse)
+            return Hashes(a, b, top, min(limit, max(2, need)), coarse)
     return None
 
 
