@@ -37,7 +37,9 @@ class WordBpe:
 
     Words never merge across white space, so the ids of a text are the ids of its chunks.
     Each batch is split and dictionary-encoded by Arrow, only chunks not met before are
-    encoded, and the ids are gathered with numpy. Anything outside plain Latin text goes
+    encoded, and the ids are gathered with numpy. Texts in Latin letters are lower-cased and split
+    by the vocabulary's pattern in Arrow, so that a chunk is a piece that is encoded by itself; in
+    other texts chunks stand between white space, and those outside plain Latin text go
     through the full tokenizer. ``exact=True`` (tests) sends everything through it.
 
     ``special_as_text=False`` gives the ids of the vocabulary file as it is: the string of an
@@ -56,6 +58,10 @@ class WordBpe:
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         # Fixed value: the split pattern of the vocabulary file.
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # the same in Arrow's expressions, and texts that are not split by it
+        self._pieces = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \p{L}\p{N}]+"
+        held = "|".join(("(?i:" + re.escape(t.content) + ")") if t.normalized else re.escape(t.content) for t in self._added)
+        self._other = r"[^\t-\r -\x{24f}]|[\x{130}\x{85}\x{a0}]" + (f"|{held}" if held else "")
         self._odd = re.compile("[^\t-\r -ɏ]|[İ\u0085 ]").search
         self._letters = _byte_letters()
         self._code = "H" if self.dtype.itemsize == 2 else "I"
@@ -111,24 +117,50 @@ class WordBpe:
             parts = [self._full(t) for t in texts.to_pylist()]
             sizes = np.array([len(p) for p in parts], np.int64) // self.dtype.itemsize
             return np.frombuffer(b"".join(parts), self.dtype), np.concatenate([[0], np.cumsum(sizes)])
-        split = pc.utf8_split_whitespace(texts)
+        other = pc.match_substring_regex(texts, self._other).to_numpy(zero_copy_only=False)
+        if not other.any():
+            return self._encode(self._by_pieces(texts), self._piece)
+        if other.all():
+            return self._by_chunks(texts)
+        rows = np.flatnonzero(~other), np.flatnonzero(other)
+        plain = self._encode(self._by_pieces(texts.take(pa.array(rows[0]))), self._piece)
+        rest = self._by_chunks(texts.take(pa.array(rows[1])))
+        parts: list[np.ndarray] = [np.empty(0, self.dtype)] * len(texts)
+        for which, (ids, at) in zip(rows, (plain, rest), strict=True):
+            for i, a, z in zip(which.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                parts[i] = ids[a:z]
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+
+    def _by_pieces(self, texts: pa.Array) -> pa.Array:
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), self._pieces, "\\0 "))
+
+    def _by_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._encode(pc.utf8_split_whitespace(texts), self._chunk, True)
+
+    def _encode(self, split: pa.Array, make, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lists of chunks, each encoded by ``make`` if it is new; ``added``: look for added tokens."""
+        rows = len(split)
         begin = split.offsets.to_numpy().astype(np.int64)
         words = pc.dictionary_encode(split.flatten())
         begin -= begin[0]
         del split
         chunks = words.dictionary.to_pylist()
-        adds = {int(i): self._full(chunks[i]) for i in self._adds(words.dictionary)}
-        ids = [adds[i] if i in adds else self._kept(c, self._chunk) for i, c in enumerate(chunks)] if adds else [
-            self._kept(c, self._chunk) for c in chunks]
+        adds = {int(i): self._full(chunks[i]) for i in self._adds(words.dictionary)} if added else {}
+        ids = list(map(self._young.get, chunks))
+        for i, got in enumerate(ids):
+            if i in adds:
+                ids[i] = adds[i]
+            elif got is None:
+                ids[i] = self._kept(chunks[i], make)
         del chunks
         if not ids:
-            return np.empty(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
+            return np.empty(0, self.dtype), np.zeros(rows + 1, np.int64)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
         flat = np.frombuffer(b"".join(ids), self.dtype)
         code = words.indices.to_numpy()
         del words, ids
         if not len(code):
-            return np.empty(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
+            return np.empty(0, self.dtype), np.zeros(rows + 1, np.int64)
         kind = np.int32 if size.max() * len(code) < 1 << 31 else np.int64
         length = size.astype(kind)[code]
         ends = np.cumsum(length, dtype=kind)

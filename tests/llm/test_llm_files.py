@@ -44,6 +44,18 @@ def test_fast_ids_equal_the_tokenizer(texts):
         assert ids[at[i]:at[i + 1]].tolist() == FAST.tok.encode(t or "", add_special_tokens=False).ids
 
 
+LATIN = st.text(st.sampled_from("aZÉéßÿƀ'sStTdDmMrRvVeElL 9½²ªµº×÷«»¡¿_-.,!\t\n\x0b\x0c\r"), max_size=60)
+
+
+@given(st.lists(st.one_of(LATIN, st.none(), st.text(max_size=9)), max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_pieces_of_latin_text_equal_the_tokenizer(texts):
+    for tools in (FAST, AS_FILE):
+        ids, at = tools.encode(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[at[i]:at[i + 1]].tolist() == tools.tok.encode(t or "", add_special_tokens=False).ids
+
+
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", " ", "\n", "\x1c", "a", "É", "e\u0301", "\u0301", "日本", "'s", "7"]), max_size=12).map("".join))
 @settings(max_examples=150, deadline=None)
 def test_special_tokens_are_those_of_the_vocabulary_file(text):
