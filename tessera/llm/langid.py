@@ -41,14 +41,18 @@ FAMILIES = {
 }
 FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 
+_OTHER = re.compile(r"[\W\d_]+")
 # Word characters of regular expressions that are numbers, not letters (Unicode category L): ½ ² ①.
-_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha())
-_OTHER = re.compile(f"[\\W\\d_{_NUMBERS}]+")
+_NUMBERS = frozenset(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha())
+_BLANKS = dict.fromkeys(map(ord, _NUMBERS), " ")
 
 
 def normalise(text: str | None) -> bytes:
     """Letters of a whole text in lower case, words between single blanks; empty if it has none."""
-    line = _OTHER.sub(" ", (text or "").lower()).strip()
+    text = text or ""
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = text.translate(_BLANKS)
+    line = _OTHER.sub(" ", text.lower()).strip()
     return f" {line} ".encode("utf-8", "surrogatepass") if line else b""
 
 
