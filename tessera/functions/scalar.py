@@ -76,9 +76,18 @@ def hash_uniform(*cols, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(*[_c(c) for c in cols], F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def ln_jitter(c, seed: int, low: float = 0.01, high: float = 0.1, key=None) -> Column:
+def affine_uniform(key, seed: int = 42) -> Column:
+    """A number in [0, 1) from one whole-number key by plain integer arithmetic, which any SQL engine
+    reproduces: ((k mod p) * 7919 + seed) mod p / p with p = 1000003."""
+    return ((F.pmod(_c(key).cast("long"), F.lit(1000003)) * 7919 + seed) % 1000003) / 1000003.0
+
+
+def ln_jitter(c, seed: int, low: float = 0.01, high: float = 0.1, key=None, method: str = "xxhash64") -> Column:
     """ln(x + U(low, high)) with a seeded uniform (X8). With ``key`` (row
-    identifying columns) the uniform is a hash of the key, stable under retries."""
+    identifying columns) the uniform is a hash of the key, stable under retries; ``affine`` takes
+    one whole-number key and can be reproduced in SQL."""
+    if method == "affine":
+        return F.log(_c(c) + affine_uniform(key, seed) * F.lit(high - low) + F.lit(low))
     u = hash_uniform(*(key if isinstance(key, (list, tuple)) else [key]), seed=seed) if key is not None \
         else F.rand(seed)
     return F.log(_c(c) + u * F.lit(high - low) + F.lit(low))

@@ -214,9 +214,17 @@ def one_hot_columns(df: DataFrame, col: str, levels: Sequence[str], prefix: str
     return out
 
 
-def levels_of(df: DataFrame, col: str) -> list:
-    """Sorted distinct values of a categorical column (bounded by its cardinality)."""
-    return [r[0] for r in df.select(col).distinct().orderBy(col).collect()]
+#: Levels that a column may have to be one-hot encoded in wide form.
+MAX_LEVELS = 10_000
+
+
+def levels_of(df: DataFrame, col: str, limit: int = MAX_LEVELS) -> list:
+    """Sorted distinct values of a categorical column; an error where there are more than ``limit``
+    (each would be a column)."""
+    rows = df.select(col).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{col} has more than {limit} levels")
+    return sorted((r[0] for r in rows), key=lambda v: (v is not None, v))
 
 
 def sum_contrasts(df: DataFrame, col: str, levels: Sequence[str], prefix: str | None = None) -> DataFrame:

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as X
-from tessera.operators import basket, evaluate, htest, models, prep, sampling, smote
+from tessera.operators import basket, counts, evaluate, htest, models, prep, sampling, smote
 from tessera.plans import sqlparts as Q
+from tessera.plans.catalog_basic import first_visits
 from tessera.plans.registry import query
 from tessera.session import scratch_path
 from tessera.sources import files
@@ -185,6 +186,54 @@ def ols_diagnostics(spark, sf):
     return dw.select(*[F.lit(round(st[k], n)).alias(k) for k, n in digits.items()], F.round("durbin_watson", 8).alias("durbin_watson"))
 
 
+# ------------------------------------------------------------------ count models and jitter
+
+_ZIP = "WITH RECURSIVE " + Q.FIRST_VISITS.strip() + """,
+t AS (SELECT device_type AS s, variant AS g, shopping_pageviews AS y FROM first_visits WHERE shopping_pageviews IS NOT NULL),
+g AS (SELECT s, g, CAST(count(*) AS DOUBLE) AS n, CAST(count_if(y = 0) AS DOUBLE) AS n0, CAST(sum(y) AS DOUBLE) AS tot, sum(lgamma(y + 1.0)) AS lf
+      FROM t GROUP BY 1, 2 HAVING sum(y) > 0),
+it AS (SELECT s, g, tot / (n - n0) AS m, tot / (n - n0) AS lam, 0 AS i FROM g
+       UNION ALL SELECT s, g, m, greatest(lam - (lam - m * (1 - exp(-lam))) / (1 - m * exp(-lam)), 1e-12), i + 1 FROM it WHERE i < 60 AND m > 1 + 1e-9),
+r AS (SELECT g.*, CASE WHEN it.i = 60 THEN it.lam END AS lam,
+             CASE WHEN it.i = 60 THEN 1 - (n - n0) / n / (1 - exp(-it.lam)) END AS p0
+      FROM g JOIN it ON it.s = g.s AND it.g = g.g AND it.i = (SELECT max(i) FROM it i2 WHERE i2.s = g.s AND i2.g = g.g)),
+f AS (SELECT s, g, n, n0, tot, lf, CASE WHEN p0 > 1e-10 THEN least(p0, 1 - 1e-10) ELSE 1e-10 END AS pi,
+             CASE WHEN p0 > 1e-10 THEN lam ELSE tot / n END AS mu FROM r),
+h AS (SELECT *, exp(-mu) AS q, pi + (1 - pi) * exp(-mu) AS a, pi * (1 - pi) AS w FROM f),
+i AS (SELECT s, g, n, ln(pi / (1 - pi)) AS zeta, ln(mu) AS eta,
+             n0 * ln(a) + (n - n0) * (ln(1 - pi) - mu) + tot * ln(mu) - lf AS ll,
+             -(n0 * (w * (1 - 2 * pi) * (1 - q) / a - pow(w * (1 - q) / a, 2)) - (n - n0) * w) AS izz,
+             -(n0 * (-(1 - pi) * q * mu * (1 - mu) / a - pow((1 - pi) * q * mu / a, 2)) - (n - n0) * mu) AS iee,
+             -(n0 * (w * q * mu / a + w * (1 - q) * (1 - pi) * q * mu / (a * a))) AS ize FROM h),
+v AS (SELECT *, iee / (izz * iee - ize * ize) AS vz, izz / (izz * iee - ize * ize) AS ve,
+             row_number() OVER (PARTITION BY s ORDER BY g) AS j, count(*) OVER (PARTITION BY s) AS k, sum(ll) OVER (PARTITION BY s) AS tll,
+             sum(n) OVER (PARTITION BY s) AS big FROM i),
+c AS (SELECT s, 'zero' AS part, j, k, tll, big, zeta AS x, vz AS v FROM v UNION ALL SELECT s, 'count', j, k, tll, big, eta, ve FROM v),
+e AS (SELECT *, avg(x) OVER (PARTITION BY s, part) AS mx, sum(v) OVER (PARTITION BY s, part) / (k * k) AS vs FROM c)
+SELECT s AS device_type, part, '(Intercept)' AS term, round(mx, 6) AS estimate, round(sqrt(vs), 6) AS std_err, round(tll, 5) AS loglik,
+       round(-2 * tll + 4 * k, 5) AS aic, round(-2 * tll + ln(big) * 2 * k, 5) AS bic FROM e WHERE j = 1
+UNION ALL SELECT s, part, 'group' || CAST(j AS VARCHAR), round(x - mx, 6), round(sqrt(v * (1 - 2.0 / k) + vs), 6), round(tll, 5),
+       round(-2 * tll + 4 * k, 5), round(-2 * tll + ln(big) * 2 * k, 5) FROM e WHERE j < k"""
+
+
+@query("zip_estimates", "M12", sql=_ZIP)
+def zip_estimates(spark, sf):
+    """Zero-inflated Poisson fits with their errors and information criteria, rounded."""
+    out = counts.fit_count_models(first_visits(spark, sf), "variant", "shopping_pageviews", "device_type", ("zip",))
+    return out.select("device_type", "part", "term", *[F.round(c, d).alias(c) for c, d in (
+        ("estimate", 6), ("std_err", 6), ("loglik", 5), ("aic", 5), ("bic", 5))])
+
+
+@query("log_jitter_affine", "X8 H13", sql="WITH " + Q.FIRST_VISITS.strip() + """,
+l AS (SELECT device_type, ln(shopping_pageviews + ((user_id % 1000003 * 7919 + 7) % 1000003) / 1000003.0 * (0.1 - 0.01) + 0.01) AS v FROM first_visits)
+SELECT device_type, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(min(v), 6) AS min, round(max(v), 6) AS max
+FROM l GROUP BY 1""")
+def log_jitter_affine(spark, sf):
+    fv = first_visits(spark, sf).withColumn("v", X.ln_jitter("shopping_pageviews", 7, key="user_id", method="affine"))
+    out = htest.distribution_profile(fv, "v", "device_type")
+    return out.select("device_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "min", "max")])
+
+
 # ------------------------------------------------------------------ sources, rules, buckets
 
 @query("pipe_table", "S3", sql="""
