@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,9 +56,18 @@ def permute(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
     return out.astype(np.int64)
 
 
+def packed(ids: bytes, width: int) -> bytes:
+    """Ids compressed, the bytes of equal place together: the upper ones of a vocabulary vary little."""
+    return zstandard.ZstdCompressor(level=1).compress(np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes())
+
+
+def unpacked(data: bytes, width: int) -> bytes:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1).T.tobytes()
+
+
 def cut_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                   end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """(part, k, docs, n_tokens, ids): each partition's documents, closed by ``end_id``, one after
+    """(part, k, docs, n_tokens, ids): ``packed`` ids of each partition's documents, closed by ``end_id``, one after
     another in sequences of ``length``; the partition's last one is filled with ``end_id``.
     ``docs`` are the ids of the documents with tokens in it."""
     vocabulary = vocabulary or vocabulary_path()
@@ -85,12 +95,12 @@ def cut_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     who.append(doc)
                     at, size = at + take, size + take
                     if size == stride:
-                        rows.append((k, who, length, b"".join(held)))
+                        rows.append((k, who, length, packed(b"".join(held), width)))
                         held, size, who, k = [], 0, [], k + 1
             yield batch(rows)
         if size:
             fill = np.full((stride - size) // width, end_id, encoder(vocabulary).dtype).tobytes()
-            yield batch([(k, who, size // width, b"".join(held) + fill)])
+            yield batch([(k, who, size // width, packed(b"".join(held) + fill, width))])
 
     tokens = token_table(docs, [id_col], text_col, vocabulary, end_id)
     return tokens.mapInArrow(run, f"part int, k long, docs array<{kind.simpleString()}>, n_tokens int, ids binary")
@@ -119,7 +129,8 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(slotted: DataFrame, total: int, folder: str, stride: int, per_shard: int = SHARD_SEQUENCES) -> DataFrame:
+def write_shards(slotted: DataFrame, total: int, folder: str, stride: int, per_shard: int = SHARD_SEQUENCES,
+                 width: int = 2) -> DataFrame:
     """Range partitions of slots write shard i with slots [i x per_shard, (i + 1) x per_shard), slot
     s at byte (s mod per_shard) x stride. A shard that is there in full size is not written
     again, so a broken job resumes. Returns (slot, shard, byte_offset, ...) per sequence."""
@@ -144,7 +155,7 @@ def write_shards(slotted: DataFrame, total: int, folder: str, stride: int, per_s
                     raise ValueError(f"slot {expect} is missing before {slot}")
                 expect += 1
                 if out:
-                    out.write(data.as_py())
+                    out.write(unpacked(data.as_py(), width))
             offset = pa.array([s % per_shard * stride for s in slots], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), offset], [*keep, "byte_offset"])
         if out:
@@ -197,10 +208,11 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_path()
     folder = folder or new_path(spark, "shards")
-    stride = length * encoder(vocabulary).dtype.itemsize
+    width = encoder(vocabulary).dtype.itemsize
+    stride = length * width
     cut = save(cut_sequences(docs, id_col, text_col, length, END_ID, vocabulary), "sequences")
     slotted, total = assign_slots(cut, key)
-    rows = write_shards(slotted, total, folder, stride, per_shard) if total else slotted.drop("ids").withColumn(
+    rows = write_shards(slotted, total, folder, stride, per_shard, width) if total else slotted.drop("ids").withColumn(
         "shard", F.col("slot")).withColumn("byte_offset", F.col("slot"))
     order = ["slot", "shard", "byte_offset", "index", "n_tokens", "docs"]
     if not total:
