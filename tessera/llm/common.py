@@ -20,11 +20,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost
-    executor costs no recomputation."""
+    executor costs no recomputation. ``level`` of the compression."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

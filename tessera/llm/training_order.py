@@ -198,7 +198,7 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_path()
     folder = folder or new_path(spark, "shards")
     stride = length * encoder(vocabulary).dtype.itemsize
-    cut = save(cut_sequences(docs, id_col, text_col, length, END_ID, vocabulary), "sequences")
+    cut = save(cut_sequences(docs, id_col, text_col, length, END_ID, vocabulary), "sequences", 6)  # the largest table here
     slotted, total = assign_slots(cut, key)
     rows = write_shards(slotted, total, folder, stride, per_shard) if total else slotted.drop("ids").withColumn(
         "shard", F.col("slot")).withColumn("byte_offset", F.col("slot"))
