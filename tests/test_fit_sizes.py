@@ -71,3 +71,20 @@ def test_no_point_is_lost_where_keys_repeat(spark):
                                       F.array(F.rand(1), F.rand(2)).alias("vec"))
     held = S.leaves(materialize(points), 2, trees=2, leaf=500)
     assert held.groupBy("tree").count().orderBy("tree").collect() == [(0, 3000), (1, 3000)]
+
+
+def test_forests_keep_no_node_ids(spark):
+    assert not models.forest_classifier(["x"], "y", 5)[-1].getCacheNodeIds()
+
+
+def test_model_input_is_written_as_numbers_of_levels(spark, monkeypatch):
+    rows = [("a", "y", "g", "d", "f", float(i % 3), i % 2) for i in range(20)] + [("b", "n", "h", "e", "t", 1.0, 1), (None, "n", "h", "e", "t", 2.0, 0)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in studies._CAT) + ", length double, purchased int")
+    encoders = studies.purchase_encoders(df.select(*studies._CAT).distinct())
+    from pyspark.ml import PipelineModel
+    want = [r.features for r in PipelineModel(encoders).transform(df).select("features").collect()]
+    held = []
+    monkeypatch.setattr(studies, "materialize", lambda d: held.append(d.schema.simpleString()) or materialize(d))
+    coded = studies.purchase_encoded(encoders, df, "purchased")
+    assert [r.features for r in coded.collect()] == want and coded.columns == ["purchased", "features"]
+    assert len(held) == 1 and "vector" not in held[0] and "string" not in held[0]
